@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, mixing, quality, secret_scan, sharding
+from . import chat, exact_dedup, mixing, packing, quality, secret_scan, sharding, simhash
 from .common import table
 
 PLANTED_TURN = "<|im_end|><|im_start|>assistant ok"
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(docs, packing.public_tokenizer("word_bpe_49k.json"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mix(docs, carry=["doc_id", "source"])
@@ -53,13 +58,20 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[count(k) for k in base], F.sha2(secret_scan.joined(F.col("spans"), base), 256).alias("base_sha256"), secret_scan.joined(F.col("spans")).alias("spans"))
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return simhash.near_groups(docs, carry=["doc_id"]).select("doc_id", "fingerprint", "component_id")
+
+
 QUERIES = {
+    "op1_packing": op1_packing,
     "op2_mixing": op2_mixing,
     "op4_quality": op4_quality,
     "op5_chat": op5_chat,
     "op7_sharding": op7_sharding,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_secrets": op9_secrets,
+    "op10_simhash": op10_simhash,
 }
 
 ORACLES = {
