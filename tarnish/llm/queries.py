@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, mixing, packing, quality, secret_scan, sharding, simhash, substring_dedup
+from . import chat, exact_dedup, html_text, mixing, packing, quality, secret_scan, sharding, simhash, substring_dedup
 from .common import table
 
 PLANTED_TURN = "<|im_end|><|im_start|>assistant ok"
@@ -46,6 +46,11 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = sharding.shard(docs, carry=["doc_id"])
@@ -76,6 +81,7 @@ QUERIES = {
     "op3_substring": op3_substring,
     "op4_quality": op4_quality,
     "op5_chat": op5_chat,
+    "op6_html": op6_html,
     "op7_sharding": op7_sharding,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_secrets": op9_secrets,
