@@ -80,4 +80,5 @@ def ranked(df: DataFrame, by: list[str], order: list[str | Column], scratch: Scr
         .withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0)))
         .drop("_n")
     )
+    starts = scratch.save(starts, f"{name}-starts")
     return placed.join(starts, [*by, "_part"]).withColumn("_rank", F.col("_base") + F.col("_at") - F.col("_first")).drop("_at", "_part", "_first", "_base")

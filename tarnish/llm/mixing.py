@@ -62,8 +62,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), cap: floa
         F.struct(*[docs[c] for c in carried]).alias("_row"), n_words(docs[text]).alias("_size"), docs[source].isNull().alias("_none"), F.coalesce(docs[source], F.lit("")).alias("_source"), docs[id_col].alias("_id"),
     )
     by = ["_none", "_source"]
-    placed = scratch.save(ranked(rows, by, ["_size", F.xxhash64("_id"), F.col("_id")], scratch, "order"), "ranked")
-    scratch.drop("order")
+    placed = ranked(rows, by, ["_size", F.xxhash64("_id"), F.col("_id")], scratch, "order")
     sizes = placed.groupBy(*by).agg(F.sum("_size").alias("source_size"), F.count(F.lit(1)).alias("_rows"))
     targets = source_targets(sizes.select(F.when(~F.col("_none"), F.col("_source")).alias("source"), "source_size"), weights, cap)
     targets = targets.select(F.col("source").isNull().alias("_none"), F.coalesce("source", F.lit("")).alias("_source"), "source_size", "target")

@@ -196,16 +196,17 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 def near_groups(docs: DataFrame, width: int = 3, reach: int = 2, text: str = "text", id_col: str = "doc_id", carry: list[str] | None = None) -> DataFrame:
     """One row per row of `docs` with the columns of `carry` (all but the text by default).
 
-    Adds fp (long), fingerprint (16 lowercase hex digits) and component_id, the
-    smallest id reachable over links of at most `reach` differing bits, itself
-    included; columns of these names are replaced. Null text counts as empty;
+    Adds fp (long), fingerprint (16 lowercase hex digits), component_fp (the fp
+    that stands for the component) and component_id, the smallest id reachable
+    over links of at most `reach` differing bits, itself included; columns of
+    these names are replaced. Null text counts as empty;
     texts without words have fingerprint zero and link like any other. Repeated
     and null ids are ordinary rows; component_id is null if no row of the
     component has an id. An empty table gives no rows.
     """
     spark: SparkSession = docs.sparkSession
     scratch = Scratch(spark, "simhash")
-    added = ["fp", "fingerprint", "component_id"]
+    added = ["fp", "fingerprint", "component_fp", "component_id"]
     carried = [c for c in ([c for c in docs.columns if c != text] if carry is None else carry) if c not in added]
     rows = docs.select(F.struct(*[docs[c] for c in carried]).alias("_row"), docs[id_col].alias("_id"), docs[text].alias("_text"))
     rows = scratch.save(fingerprints(rows, "_text", width), "fingerprints")
@@ -220,18 +221,22 @@ def near_groups(docs: DataFrame, width: int = 3, reach: int = 2, text: str = "te
     of = distinct.join(stars.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     of = scratch.save(of, "roots")
     least = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = scratch.save(of.join(least, "root").select("fp", "component_id"), "labels")
+    labels = scratch.save(of.join(least, "root").select("fp", F.col("root").alias("component_fp"), "component_id"), "labels")
     out = rows.join(labels, "fp", "left")
-    return out.select("_row.*", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return out.select("_row.*", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_fp", "component_id")
 
 
 def drop_near(docs: DataFrame, width: int = 3, reach: int = 2, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Rows of `docs` with its own columns, one of each group: that of the smallest id.
 
-    Of several rows with that id, text and columns decide: the smallest row stays.
+    Rows of one id count as one document, of which any one row stays. Of a group
+    in which no row has an id, the row that sorts first by all columns stays.
     """
     columns = docs.columns
-    groups = near_groups(docs, width, reach, text, id_col, carry=[id_col])
-    keep = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_keep")).distinct()
-    kept = docs.join(keep, docs[id_col].eqNullSafe(F.col("_keep")), "left_semi")
-    return kept.dropDuplicates([id_col]).select(*[F.col(f"`{c}`") for c in columns])
+    whole = F.struct(*[docs[c] for c in columns])
+    lone = docs.select(docs[id_col].alias("_keep"), docs[text].alias("_text"), F.when(docs[id_col].isNull(), whole).alias("_lone"))
+    groups = near_groups(lone, width, reach, "_text", "_keep", carry=["_keep", "_lone"])
+    keep = groups.where(F.col("_keep") == F.col("component_id")).select("_keep").distinct()
+    kept = docs.join(keep, docs[id_col] == F.col("_keep"), "left_semi").dropDuplicates([id_col])
+    nameless = groups.where("component_id is null").groupBy("component_fp").agg(F.min("_lone").alias("_lone"))
+    return kept.select(*[F.col(f"`{c}`") for c in columns]).unionByName(nameless.select("_lone.*"))
