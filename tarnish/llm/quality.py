@@ -126,7 +126,7 @@ def score(docs: DataFrame, text: str = "text", threshold: float = 0.5, carry: li
     found = measured.groupBy(*votes).agg(F.count(F.lit(1)).alias("n")).collect()
     prior, rates = estimate([(tuple(r[v] for v in votes), r["n"]) for r in found])
     odds = F.lit(math.log(prior / (1 - prior)))
-    for v, r in zip(votes, rates, strict=True):
+    for v, r in zip(votes, rates, strict=bool(found)):  # no rates from an empty table
         odds = odds + F.when(F.col(v) == 1, math.log(r[1][1] / r[0][1])).when(F.col(v) == -1, math.log(r[1][-1] / r[0][-1])).otherwise(0.0)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     scored = measured.withColumns({"base_failed": failed, "p_good": 1 / (1 + F.exp(-odds)), "votes": F.create_map(*[x for r in RULES for x in (F.lit(r), F.col(f"_v_{r}"))])})

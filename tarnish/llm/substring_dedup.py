@@ -1,6 +1,6 @@
 """Substring dedup by fixed-block anchors.
 
-Reference blocks of `width // 2 + 1` words, not overlapping, are indexed; every
+Reference blocks of `(width + 1) // 2` words, not overlapping, are indexed; every
 rolling window of that many words probes them. Any window of `width` words holds
 a whole reference block of its own document, and so do its equals elsewhere:
 only windows round a block that some other place hits can repeat. These are
@@ -215,7 +215,7 @@ def remove_repeats(docs: DataFrame, width: int = 35, text: str = "text", id_col:
     has no words; repeated rows are copies of one another; null ids are
     ordinary. An empty table gives no rows.
     """
-    spark, block = docs.sparkSession, width // 2 + 1
+    spark, block = docs.sparkSession, (width + 1) // 2
     scratch = Scratch(spark, "substring")
     chunks = scratch.save(packed(docs, text, id_col, chunk_bytes), "chunks")
     size = chunks.agg(F.sum(F.octet_length("lengths")).alias("rows"), F.count(F.lit(1)).alias("n")).first()
