@@ -12,6 +12,7 @@ then looked up by each piece where it lies.
 from __future__ import annotations
 
 import bisect
+import json
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -25,9 +26,11 @@ from .common import Scratch, filled, ranked
 
 #: Rounded sizes at most, and the part of a sequence beyond which a piece is large.
 GROUPS, LARGE = 64, 8
-#: Words whose ids a Python worker remembers.
-WORDS_KEPT = 600_000
-_known: dict[str, tuple[object, dict[bytes, bytes]]] = {}
+#: Words, and pieces of words, whose ids a Python worker remembers.
+WORDS_KEPT = 900_000
+#: Fixed value: how the tokenizer cuts text into the pieces that its merges work on.
+PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_known: dict[str, Words] = {}
 
 
 def public_tokenizer(name: str) -> str:
@@ -36,35 +39,60 @@ def public_tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def token_bytes(texts: Iterable[str], path: str) -> Iterator[bytes]:
-    """Ids of each text as little-endian unsigned 32-bit numbers.
+class Words(dict):
+    """Ids of words (UTF-8) as little-endian unsigned 32-bit numbers, found when first asked for.
 
-    The tokenizer never joins characters across ASCII white space, so it is
-    asked once for each word, and the answer remembered. Where lower-casing is
-    known to change nothing (Latin-1 texts without special tokens), words are
-    lower-cased first, so that fewer are met.
+    The tokenizer never joins characters across ASCII white space, so words are
+    looked up one by one. Words of printable Latin-1 characters, which its
+    normaliser only lower-cases, are cut into pieces and these given to its
+    merge model; for any other word the whole tokenizer is asked.
     """
-    if path not in _known:
+
+    def __init__(self, path: str):
+        import regex
         from tokenizers import Tokenizer
 
-        _known[path] = (Tokenizer.from_file(path), {})
-    tokenizer, known = _known[path]
+        super().__init__()
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.pieces = self.tokenizer.model, {}
+        told = json.loads(self.tokenizer.to_str())
+        steps, cut = (told.get("normalizer") or {}).get("normalizers", []), (told.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        same = [x["type"] for x in steps] == ["NFC", "Replace", "Lowercase"] and len(cut) == 2 and cut[0].get("pattern") == {"Regex": PIECE} and cut[1]["type"] == "ByteLevel"
+        self.cut = regex.compile(PIECE).findall if same else None
+        self.plain = regex.compile(r"[!-~\xa1-\xff]+").fullmatch
+        # Byte-level alphabet: printable bytes stand for themselves, the others for the code points from 256 on.
+        printable = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        others = [b for b in range(256) if b not in printable]
+        self.alphabet = {b: b for b in printable} | {b: 256 + k for k, b in enumerate(others)}
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= WORDS_KEPT:
+            self.clear()
+        text = word.decode()
+        if self.cut and "<|" not in text and self.plain(text):
+            ids = b"".join([self.piece(p) for p in self.cut(text.lower())])
+        else:
+            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        self[word] = ids
+        return ids
+
+    def piece(self, piece: str) -> bytes:
+        ids = self.pieces.get(piece)
+        if ids is None:
+            if len(self.pieces) >= WORDS_KEPT:
+                self.pieces.clear()
+            tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(self.alphabet))
+            ids = self.pieces[piece] = b"".join([t.id.to_bytes(4, "little") for t in tokens])
+        return ids
+
+
+def token_bytes(texts: Iterable[str], path: str) -> Iterator[bytes]:
+    """Ids of each text as little-endian unsigned 32-bit numbers."""
+    if path not in _known:
+        _known[path] = Words(path)
+    known = _known[path]
     for text in texts:
-        if "<|" not in text:
-            try:
-                text.encode("latin-1")
-                text = text.lower()
-            except UnicodeEncodeError:
-                pass
-        words = text.encode("utf-8", "replace").split()
-        new = [w for w in set(words) if w not in known]
-        if new:
-            if len(known) + len(new) > WORDS_KEPT:
-                known.clear()
-                new = list(set(words))
-            for w, e in zip(new, tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        yield b"".join(map(known.__getitem__, words))
+        yield b"".join(map(known.__getitem__, text.encode("utf-8", "replace").split()))
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, text: str = "text", id_col: str = "doc_id", with_ids: bool = False) -> DataFrame:
