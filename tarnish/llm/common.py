@@ -35,6 +35,13 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def bounded_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """From now on the session hands Python at most so many bytes of rows at once, and one row at least."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("b")) > most:
+        spark.conf.set(key, str(most))
+
+
 class Scratch:
     """Tables written once to the folder that driver and executors share.
 

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 # HTML element kinds.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
@@ -202,6 +204,7 @@ def extract(pages: DataFrame, html: str = "html") -> DataFrame:
     empty; markup of any length is read whole; repeated pages are extracted
     alike. An empty table gives no rows.
     """
+    bounded_batches(pages.sparkSession)
     carried = [c for c in pages.columns if c not in (html, "main_text")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, filled, ranked
+from .common import Scratch, bounded_batches, filled, ranked
 
 #: Rounded sizes at most, and the part of a sequence beyond which a piece is large.
 GROUPS, LARGE = 64, 8
-#: Words, and pieces of words, whose ids a Python worker remembers.
-WORDS_KEPT = 900_000
+#: Words, and pieces of words, whose ids a Python worker remembers: some 150 MB.
+WORDS_KEPT, PIECES_KEPT = 250_000, 500_000
 #: Fixed value: how the tokenizer cuts text into the pieces that its merges work on.
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _known: dict[str, Words] = {}
@@ -79,7 +79,7 @@ class Words(dict):
     def piece(self, piece: str) -> bytes:
         ids = self.pieces.get(piece)
         if ids is None:
-            if len(self.pieces) >= WORDS_KEPT:
+            if len(self.pieces) >= PIECES_KEPT:
                 self.pieces.clear()
             tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(self.alphabet))
             ids = self.pieces[piece] = b"".join([t.id.to_bytes(4, "little") for t in tokens])
@@ -108,7 +108,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int =
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             source, piece, start, length, crc, ids = [], [], [], [], [], []
-            for row, raw in enumerate(token_bytes(batch.column(1).to_pylist(), tokenizer)):
+            for row, raw in enumerate(token_bytes((t.as_py() for t in batch.column(1)), tokenizer)):
                 raw += end
                 for k, at in enumerate(range(0, len(raw), 4 * capacity)):
                     part = raw[at : at + 4 * capacity]
@@ -309,6 +309,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1,
     all columns share their places in any order. An empty table gives no rows.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     scratch = Scratch(spark, "packing")
     cut = scratch.save(pieces(docs, tokenizer, capacity, end_id, text, id_col, with_ids), "pieces")
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, filled, shuffle_partitions
+from .common import Scratch, bounded_batches, filled, shuffle_partitions
 
 SEED = 42
 #: Fingerprints the tree is fitted on, at most about; of a shard, about; depth of the tree, at most.
@@ -49,7 +49,7 @@ def fingerprints(docs: DataFrame, text: str = "text", width: int = 3) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t, width) for t in batch.column(0).to_pylist()], np.uint64).view(np.int64)
+            fps = np.array([fingerprint(t.as_py(), width) for t in batch.column(0)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(fps, pa.int64())], names=[*rest, "fp"])
 
     rest = [c for c in docs.columns if c != text]
@@ -205,6 +205,7 @@ def near_groups(docs: DataFrame, width: int = 3, reach: int = 2, text: str = "te
     component has an id. An empty table gives no rows.
     """
     spark: SparkSession = docs.sparkSession
+    bounded_batches(spark)
     scratch = Scratch(spark, "simhash")
     added = ["fp", "fingerprint", "component_fp", "component_id"]
     carried = [c for c in ([c for c in docs.columns if c != text] if carry is None else carry) if c not in added]

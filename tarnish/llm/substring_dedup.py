@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, filled, shuffle_partitions
+from .common import Scratch, bounded_batches, filled, shuffle_partitions
 
 #: Bytes of text in a chunk, windows in a bucket, bytes hashed at once.
 CHUNK, BUCKET, SLAB = 4 << 20, 2 << 20, 1 << 20
@@ -216,6 +216,7 @@ def remove_repeats(docs: DataFrame, width: int = 35, text: str = "text", id_col:
     ordinary. An empty table gives no rows.
     """
     spark, block = docs.sparkSession, (width + 1) // 2
+    bounded_batches(spark)
     scratch = Scratch(spark, "substring")
     chunks = scratch.save(packed(docs, text, id_col, chunk_bytes), "chunks")
     size = chunks.agg(F.sum(F.octet_length("lengths")).alias("rows"), F.count(F.lit(1)).alias("n")).first()
