@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, bounded_batches, filled, ranked
 
 #: Rounded sizes at most, and the part of a sequence beyond which a piece is large.
-GROUPS, LARGE = 64, 8
+#: What rounding leaves open is filled by small pieces, so enough must count as small.
+GROUPS, LARGE = 32, 3
 #: Words, and pieces of words, whose ids a Python worker remembers: some 150 MB.
 WORDS_KEPT, PIECES_KEPT = 250_000, 500_000
 #: Fixed value: how the tokenizer cuts text into the pieces that its merges work on.
