@@ -42,7 +42,7 @@ MORE_RULES = (
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
-    Rule("url_password", r"[a-z][a-z0-9+.-]{2,}://[^\s:/@]{1,64}:[^\s:/@]{6,128}@"),
+    Rule("url_password", r"[a-z][a-z0-9+.-]{2,31}://[^\s:/@]{1,64}:[^\s:/@]{6,128}@"),
 )
 #: A class of so few characters is spelled out; with more ways than this through a regex, a stretch ends.
 SMALL_CLASS, MOST_WAYS = 6, 16
