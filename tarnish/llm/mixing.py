@@ -84,7 +84,26 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), cap: floa
     return out.select("_row.*", F.col("_size").alias("size"), "source_size", "target", "copies", (F.col("copies") * F.col("_size")).alias("taken"))
 
 
-def emit(mixed: DataFrame, columns: list[str]) -> DataFrame:
-    """The mix itself: each row of `mix` once per copy, with `columns`."""
-    once = F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")
-    return mixed.where("copies > 0").select(*[F.col(f"`{c}`") for c in columns], once).drop("_copy")
+def take(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), cap: float = 3.0, seed: int = 7, text: str = "text", source: str = "source", id_col: str = "doc_id") -> DataFrame:
+    """The mix itself: each row of `docs` as often as `mix` takes it, with its own columns.
+
+    Only ids, sources and sizes are put in order; texts, which would make the
+    range of the longest documents far larger than the others, then come by a
+    join. `docs` is read twice and must give the same rows. Rows equal in id,
+    source and size are taken by turns. Inner names start with `_m_`.
+    """
+    scratch = Scratch(docs.sparkSession, "take")
+    keys = ["_m_id", "_m_source", "_m_size"]
+    light = docs.select(docs[id_col].alias("_m_id"), docs[source].alias("_m_source"), docs[text].alias("_m_text"))
+    mixed = mix(light, weights, cap, seed, "_m_text", "_m_source", "_m_id", carry=keys[:2]).withColumnRenamed("size", "_m_size")
+    per = scratch.save(mixed.groupBy(*keys).agg(F.sum("copies").alias("_m_copies"), F.count(F.lit(1)).alias("_m_rows")), "copies")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_m_row"), docs[id_col].alias("_d_id"), docs[source].alias("_d_source"), n_words(docs[text]).alias("_d_size"))
+    same = F.col("_d_id").eqNullSafe(F.col("_m_id")) & F.col("_d_source").eqNullSafe(F.col("_m_source")) & (F.col("_d_size") == F.col("_m_size"))
+    joined = rows.join(per.where("_m_copies > 0"), same)
+    out = joined.where("_m_rows = 1").select("_m_row", F.col("_m_copies").alias("_m_n"))
+    if per.where("_m_rows > 1").limit(1).count():
+        shared = joined.where("_m_rows > 1").select("_m_row", "_m_copies", "_m_rows", F.to_json(F.struct(*keys)).alias("_m_key"))
+        shared = ranked(shared, ["_m_key"], [F.xxhash64("_m_row")], scratch, "turns")
+        by_turn = lambda k: F.floor(F.col("_m_copies") * k / F.col("_m_rows"))
+        out = out.unionByName(shared.select("_m_row", (by_turn(F.col("_rank") + 1) - by_turn(F.col("_rank"))).alias("_m_n")).where("_m_n > 0"))
+    return out.select("_m_row", F.explode(F.sequence(F.lit(1).cast("long"), "_m_n")).alias("_m_copy")).select("_m_row.*")
