@@ -99,7 +99,8 @@ def take(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), cap: flo
     per = scratch.save(mixed.groupBy(*keys).agg(F.sum("copies").alias("_m_copies"), F.count(F.lit(1)).alias("_m_rows")), "copies")
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_m_row"), docs[id_col].alias("_d_id"), docs[source].alias("_d_source"), n_words(docs[text]).alias("_d_size"))
     same = F.col("_d_id").eqNullSafe(F.col("_m_id")) & F.col("_d_source").eqNullSafe(F.col("_m_source")) & (F.col("_d_size") == F.col("_m_size"))
-    joined = rows.join(per.where("_m_copies > 0"), same)
+    # A row per document has no bound, so it is never broadcast.
+    joined = rows.join(per.where("_m_copies > 0").hint("merge"), same)
     out = joined.where("_m_rows = 1").select("_m_row", F.col("_m_copies").alias("_m_n"))
     if per.where("_m_rows > 1").limit(1).count():
         shared = joined.where("_m_rows > 1").select("_m_row", "_m_copies", "_m_rows", F.to_json(F.struct(*keys)).alias("_m_key"))
