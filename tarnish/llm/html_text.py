@@ -4,9 +4,10 @@ A page's text is cut into blocks, each with its tag path (block-level elements
 from the root to the leaf, with their classes). Per path, text length and
 punctuation are summed and divided by the number of blocks; the two ratios are
 smoothed along the page, fused, and paths whose fused ratio reaches the
-threshold are content. The smallest element with nearly all of that content is
-the article: its blocks are the text, but for those that markup or a clear name
-sets apart (menus, forms, comments, adverts and the like) and lists of links.
+threshold are content. The page's article or main element, or else the smallest
+element with all of that content, is the article: its blocks are the text, but
+for those that markup or a clear name sets apart (menus, forms, comments,
+adverts and the like) and lists of links that stand outside the running text.
 """
 
 from __future__ import annotations
@@ -42,8 +43,11 @@ NAMES = set(
 )
 HEADER_NAMES = {"header", "masthead", "topbar"}
 PUNCTUATION = re.compile(r"[.,;:!?。、，！？…¿¡]")
-#: An element named as apart that holds more than this share of the text isn't.
-MOST = 0.6
+# What head may hold; what is apart however much it wraps, unless the page's title is in it; parts of lists.
+IN_HEAD = set("base link meta title script style noscript template".split())
+STRICT_TAGS = APART - {"form", "fieldset", "dialog"}
+STRICT_NAMES = set("comment comments disqus respond replies reply nav navbar navigation footer contentinfo".split())
+LISTS = set("li ul ol dl dt dd table thead tbody tfoot tr td th".split())
 #: Share of the content that the article's element must hold; part of the spread of ratios that a content path reaches.
 HOLDS, LEAST = 0.9, 0.5
 
@@ -56,6 +60,8 @@ class Block:
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     heading: bool = False
+    title: bool = False
+    around: int = 0
     text: str = ""
 
 
@@ -67,10 +73,15 @@ class Blocks(HTMLParser):
         self.open: list[tuple[str, int, str]] = []
         self.blocks: list[Block] = []
         self.apart: dict[int, str] = {}
+        self.strict: set[int] = set()
+        self.mains: set[int] = set()
+        self.articles: dict[int, bool] = {}
         self.elements = self.unseen = self.links = 0
         self.fresh = True
 
     def handle_starttag(self, tag, attrs):
+        if tag not in IN_HEAD and tag != "head":
+            self.end_head()
         if tag == "br":
             self.handle_data(" ")
         if tag in VOID:
@@ -85,11 +96,20 @@ class Blocks(HTMLParser):
         self.elements += 1
         named = " ".join(v or "" for k, v in attrs if k in ("class", "id", "role", "aria-label")).lower()
         tokens = set(re.findall(r"[a-z]+", named))
-        if tag in APART:
+        hidden = any(k == "hidden" for k, _ in attrs)
+        if tag in STRICT_TAGS or tokens & STRICT_NAMES or hidden:
+            self.strict.add(self.elements)
+        if tag == "main" or "main" in [(v or "").strip().lower() for k, v in attrs if k == "role"]:
+            self.mains.add(self.elements)
+        if tag == "article":
+            self.articles[self.elements] = not any(t == "article" for t, _, _ in self.open)
+        if tag in ("html", "body") and not hidden:
+            pass  # classes of the whole page say how it is laid out
+        elif tag in APART:
             self.apart[self.elements] = "tag"
         elif tag == "header" or tokens & HEADER_NAMES:
             self.apart[self.elements] = "header"
-        elif tokens & NAMES or any(k == "hidden" for k, _ in attrs):
+        elif tokens & NAMES or hidden:
             self.apart[self.elements] = "name"
         step = tag if tag in INLINE or not named else f"{tag}.{'.'.join(sorted(tokens))}"
         self.open.append((tag, self.elements, step))
@@ -119,12 +139,24 @@ class Blocks(HTMLParser):
             if fence(self.open[k][0]):
                 return
 
+    def end_head(self):
+        """Head ends, with or without a tag, where something starts that it cannot hold."""
+        self.shut(lambda t: t == "head", lambda t: t in UNSEEN)
+
     def handle_data(self, data):
+        if data.strip():
+            self.end_head()
         if self.unseen or not data:
             return
         if self.fresh:
             path = [x for x in self.open if x[0] not in INLINE]
-            self.blocks.append(Block("/".join(s for _, _, s in path), tuple(i for _, i, _ in self.open), path[-1][1] if path else 0, heading=any(t in HEADINGS for t, _, _ in path)))
+            around = path[:-1]
+            while path and path[-1][0] in LISTS and around and around[-1][0] in LISTS:
+                around = around[:-1]
+            block = Block("/".join(s for _, _, s in path), tuple(i for _, i, _ in self.open), path[-1][1] if path else 0)
+            block.heading, block.title = any(t in HEADINGS for t, _, _ in path), any(t == "h1" for t, _, _ in path)
+            block.around = around[-1][1] if around else 0
+            self.blocks.append(block)
             self.fresh = False
         block = self.blocks[-1]
         block.parts.append(data)
@@ -163,6 +195,38 @@ def content_paths(blocks: list[Block]) -> set[str]:
     return {p for p, x in ratio.items() if x >= least and x > 0}
 
 
+def set_apart(parser: Blocks, blocks: list[Block]) -> dict[int, str]:
+    """Elements that are apart, and why: those that hold the page's article or wrap all of the page aren't.
+
+    How much text an element holds says nothing: comments may outweigh an article.
+    """
+    apart = parser.apart
+    held: dict[int, int] = defaultdict(int)
+    titled: set[int] = set()
+    saved: set[int] = set()
+    lone = len(parser.articles) == 1
+    for b in blocks:
+        for i in b.inside:
+            held[i] += 1
+        if b.title:
+            titled.update(b.inside)
+    for b in blocks:
+        for at, i in enumerate(b.inside):
+            if i in apart:
+                continue
+            outer = b.inside[:at]
+            if i in parser.mains or i in parser.articles and (i in titled or lone and parser.strict.isdisjoint(outer)):
+                saved.update(outer)
+    out = dict(apart)
+    for i in apart:
+        strict = i in parser.strict
+        if i in saved or held[i] == len(blocks) and (not strict or i in titled):
+            del out[i]
+        elif not strict and i in titled and all(i in b.inside or any(k in apart and held[k] and k != i for k in b.inside) for b in blocks):
+            del out[i]
+    return out
+
+
 def main_text(html: str) -> str:
     """The article of a page, blocks joined by an empty line; empty if there is none."""
     parser = Blocks()
@@ -172,12 +236,7 @@ def main_text(html: str) -> str:
     for b in blocks:
         b.text = " ".join("".join(b.parts).split())
     blocks = [b for b in blocks if b.text]
-    held: dict[int, int] = defaultdict(int)
-    for b in blocks:
-        for i in b.inside:
-            held[i] += len(b.text)
-    total = sum(len(b.text) for b in blocks)
-    out = {i: why for i, why in parser.apart.items() if held[i] <= MOST * total}
+    out = set_apart(parser, blocks)
     whys = [{out[i] for i in b.inside if i in out} for b in blocks]
     blocks = [b for b, why in zip(blocks, whys, strict=True) if not why or why == {"header"} and b.heading]
     blocks = [b for b in blocks if b.linked <= 0.5 * len("".join(b.text.split())) or b.heading]

@@ -172,3 +172,22 @@ def test_generated_articles_come_back_whole(spark):
         inner = re.search(r"<article>(.*?)</article>", r["html"], re.S)[1]
         parts = [" ".join(entities.unescape(re.sub(r"</?(b|br)>", " ", x)).split()) for x in re.split(r"</?(?:p|h1)>", inner)]
         assert html_text.main_text(r["html"]) == "\n\n".join(p for p in parts if p)
+
+
+LONG = "A comment, that goes on, and on; quite long, really. " * 60
+
+
+@pytest.mark.parametrize("inner", [f"<p>{LONG}</p>", f"<article><p>{LONG}</p></article>", f"<form><p>{LONG}</p></form>"])
+@pytest.mark.parametrize("kind", ['div class="comments"', "aside", "footer", "nav", 'div class="ad"', "div hidden"])
+def test_what_is_apart_stays_out_however_long(kind, inner):
+    body = "<h1>Title</h1><p>Some text, of the article. It is short.</p><p>More, though.</p>"
+    text = "Title\n\nSome text, of the article. It is short.\n\nMore, though."
+    for page in (f"<article>{body}</article>", f"<div class=post>{body}</div>", body):
+        assert html_text.main_text(f"<html><body class='comments-open'>{page}<{kind}>{inner}</{kind.split()[0]}></body></html>") == text
+
+
+@pytest.mark.parametrize("wrap", ['<form id="all">{}</form>', '<div class="has-sidebar">{}</div>', '<div class="comments-open">{}</div>'])
+def test_wrappers_of_the_page_are_not_apart(wrap):
+    page = wrap.format("<nav>Menu</nav><main><h1>Title</h1><p>Some text, here.</p></main><div id=comments><p>No.</p></div>")
+    assert html_text.main_text(page) == "Title\n\nSome text, here."
+    assert html_text.main_text(page.replace("main>", "div>")) == "Title\n\nSome text, here."
