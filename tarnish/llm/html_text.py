@@ -48,8 +48,8 @@ IN_HEAD = set("base link meta title script style noscript template".split())
 STRICT_TAGS = APART - {"form", "fieldset", "dialog"}
 STRICT_NAMES = set("comment comments disqus respond replies reply nav navbar navigation footer contentinfo".split())
 LISTS = set("li ul ol dl dt dd table thead tbody tfoot tr td th".split())
-#: Share of the content that the article's element must hold; part of the spread of ratios that a content path reaches.
-HOLDS, LEAST = 0.9, 0.5
+#: Share of the content that the one article element must hold to be preferred; part of the mean ratio that a content path reaches.
+HOLDS, LEAST = 0.5, 0.5
 
 
 @dataclass
@@ -227,6 +227,31 @@ def set_apart(parser: Blocks, blocks: list[Block]) -> dict[int, str]:
     return out
 
 
+def article_of(parser: Blocks, blocks: list[Block], content: list[Block]) -> tuple[int | None, bool]:
+    """The element of the article, None for the page, and whether markup says that it is one.
+
+    That is the one article element, or the main element, if it holds most of the
+    content; otherwise the innermost element that holds all of the content, and
+    the title if the page has one h1.
+    """
+    mass: dict[int, int] = defaultdict(int)
+    for b in content:
+        for i in b.inside:
+            mass[i] += len(b.text)
+    most = HOLDS * sum(len(b.text) for b in content)
+    within = lambda some: sorted({i for b in blocks for i in b.inside if i in some})
+    mains, articles = within(parser.mains), within({i for i, outermost in parser.articles.items() if outermost})
+    main = mains[0] if mains and mass[mains[0]] > most else None
+    if len(articles) == 1 and mass[articles[0]] > most:
+        outside = main is not None and any(b.title and main in b.inside and articles[0] not in b.inside for b in blocks)
+        return (main if outside else articles[0]), True
+    if main is not None:
+        return main, True
+    titles = [b for b in blocks if b.title]
+    shared = set.intersection(*[{i for i in b.inside if i < b.leaf} for b in content + (titles if len(titles) == 1 else [])])
+    return max(shared, default=None), False  # elements are numbered as they open: the last is the innermost
+
+
 def main_text(html: str) -> str:
     """The article of a page, blocks joined by an empty line; empty if there is none."""
     parser = Blocks()
@@ -238,21 +263,17 @@ def main_text(html: str) -> str:
     blocks = [b for b in blocks if b.text]
     out = set_apart(parser, blocks)
     whys = [{out[i] for i in b.inside if i in out} for b in blocks]
-    blocks = [b for b, why in zip(blocks, whys, strict=True) if not why or why == {"header"} and b.heading]
-    blocks = [b for b in blocks if b.linked <= 0.5 * len("".join(b.text.split())) or b.heading]
-    if not blocks:
+    both = [(b, why) for b, why in zip(blocks, whys, strict=True) if not why or why == {"header"} and b.heading]
+    blocks = [b for b, _ in both]
+    running = [b for b, why in both if not why and (b.linked <= 0.5 * len("".join(b.text.split())) or b.heading)]
+    paths = content_paths(running) if running else set()
+    content = [b for b in running if b.path in paths] or running
+    if not content:
         return ""
-    paths = content_paths(blocks)
-    mass: dict[int, int] = defaultdict(int)
-    for b in blocks:
-        if b.path in paths:
-            for i in b.inside:
-                if i < b.leaf:
-                    mass[i] += len(b.text)
-    whole = sum(len(b.text) for b in blocks if b.path in paths)
-    wide = [i for i, m in mass.items() if m >= HOLDS * whole]
-    article = max(wide, default=None)  # elements are numbered as they open: the last is the innermost
-    kept = [b for b in blocks if article in b.inside] if article is not None and len(blocks) > 1 else [b for b in blocks if b.path in paths]
+    article, marked = article_of(parser, blocks, content)
+    near = {b.around for b in content}
+    plain = {id(b) for b, why in both if why} | {id(b) for b in running}
+    kept = [b for b in blocks if (article is None or article in b.inside) and (marked or id(b) in plain or b.around in near)]
     return "\n\n".join(b.text for b in kept)
 
 

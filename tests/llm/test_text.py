@@ -191,3 +191,12 @@ def test_wrappers_of_the_page_are_not_apart(wrap):
     page = wrap.format("<nav>Menu</nav><main><h1>Title</h1><p>Some text, here.</p></main><div id=comments><p>No.</p></div>")
     assert html_text.main_text(page) == "Title\n\nSome text, here."
     assert html_text.main_text(page.replace("main>", "div>")) == "Title\n\nSome text, here."
+
+
+@pytest.mark.parametrize("n", [1, 300])
+@pytest.mark.parametrize("outer", ["article", "main", "div"])
+def test_an_article_is_whole_however_long(n, outer):
+    long = "A sentence, of the body. " * n
+    end = "<p><a href=/s>A linked paragraph</a></p><h2>Sources</h2><ul><li><a href=/1>One source</a></li><li><a href=/2>Two</a></li></ul>"
+    page = f"<html><head><title>T</title><body><div class=x><ul><li><a href=/>Home</a><li><a href=/b>More</a></ul></div><{outer}><h1>Title</h1><p class=lead>The lead, of the text.</p><div class=body><p>{long}</p>{end}</div></{outer}>"
+    assert html_text.main_text(page) == "\n\n".join(["Title", "The lead, of the text.", long.strip(), "A linked paragraph", "Sources", "One source", "Two"])
