@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, filled, words
 
+#: Words in a block: distinct words are counted in each, so that their share doesn't fall with a text's length.
+DISTINCT_BLOCK = 2000
 SYMBOLS = r"[#*$%&|<>]"
 # Frequent function words of the four languages of the corpus.
 STOP_WORDS = (
@@ -53,18 +55,20 @@ def figures(df: DataFrame, text: str) -> DataFrame:
     covered = F.aggregate(F.transform("_p", lambda p, k: F.least(F.lit(3), F.coalesce(F.get("_p", k + 1) - p, F.lit(3)))), F.lit(0), lambda a, x: a + x)
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     df = df.withColumn("_l", lines)
+    blocks = F.sequence(F.lit(0), F.greatest(F.col("_n") - 1, F.lit(0)), F.lit(DISTINCT_BLOCK))
+    kinds = F.aggregate(F.transform(blocks, lambda i: F.size(F.array_distinct(F.slice("_w", i + 1, DISTINCT_BLOCK)))), F.lit(0), lambda a, x: a + x)
     chars = F.aggregate("_w", F.lit(0).cast("long"), lambda a, w: a + F.length(w))
     df = df.withColumns({
         "n_words": F.col("_n").cast("long"), "word_chars": chars, "n_symbols": F.regexp_count(t, F.lit(SYMBOLS)).cast("long"),
         "n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"), "n_repeat_words": covered.cast("long"), "_lines": F.size("_l"),
-        "_stops": F.size(F.filter("_w", lambda w: F.lower(w).isin(STOP_WORDS))), "_kinds": F.size(F.array_distinct("_w")),
+        "_stops": F.size(F.filter("_w", lambda w: F.lower(w).isin(STOP_WORDS))), "_kinds": kinds,
         "_capitals": F.length(F.regexp_replace(t, r"[^\p{Lu}]+", "")), "_exclaims": F.length(t) - F.length(F.replace(t, F.lit("!"), F.lit(""))),
     }).drop("_w", "_s", "_p", "_l", "_n")
     share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b))
     return df.withColumns({
         "symbol_share": share("n_symbols", "word_chars"), "capital_share": share("_capitals", "word_chars"), "exclamation_share": share("_exclaims", "n_words"),
         "dup_line_share": share("n_dup_lines", "_lines"), "repeat_share": share("n_repeat_words", "n_words"), "word_length": share("word_chars", "n_words"),
-        "stop_share": share("_stops", "n_words"), "distinct_share": F.when(F.col("n_words") <= 2000, share("_kinds", "n_words")),
+        "stop_share": share("_stops", "n_words"), "distinct_share": share("_kinds", "n_words"),
     }).drop("_lines", "_stops", "_kinds", "_capitals", "_exclaims")
 
 

@@ -32,6 +32,17 @@ def test_quality_base_figures(docs, rows, empty):
     assert quality.score(empty).count() == 0
 
 
+def test_distinct_words_count_in_texts_of_any_length(spark):
+    few = lambda n: " ".join("the" if k % 8 == 0 else f"word{k * k * 7919 % 199}" for k in range(n))
+    texts = [few(1900), few(2001), few(5000), few(30_000), few(1900) + " " + " ".join(f"w{k}" for k in range(20_000)), few(100), "", None]
+    got = quality.figures(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string"), "t").select("i", "distinct_share", quality.vote("distinct_share").alias("vote")).collect()
+    blocks = lambda w: [w[a : a + 2000] for a in range(0, len(w), 2000)]
+    for r in got:
+        w = words(texts[r["i"]])
+        assert r["distinct_share"] == (sum(len(set(b)) for b in blocks(w)) / len(w) if w else None)
+    assert [r["vote"] for r in sorted(got)] == [-1, -1, -1, -1, 1, 1, 0, 0]
+
+
 def test_quality_on_labels(spark):
     d = "/root/testdata/sf0.1"
     verdict = queries.op4_quality(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id")
