@@ -77,10 +77,10 @@ def word_hashes(body: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     while k < len(start):
         stop = int(np.searchsorted(end, start[k] + SLAB, side="right"))
         if stop <= k:  # one word longer than a slab
-            step = (values[a : a + SLAB] for a in range(start[k], end[k], SLAB))
+            step = (values[a : min(a + SLAB, end[k])] for a in range(start[k], end[k], SLAB))
             h = np.uint64(0)
             for part in step:
-                piece = _BYTES[part[: int(end[k])]]
+                piece = _BYTES[part]
                 h = mixed(np.array([h]) + spans_hash(piece, np.array([0]), np.array([len(piece)]), "byte"))[0]
             out[k], k = h, k + 1
             continue

@@ -156,3 +156,12 @@ def test_repeats_edge_cases(spark, empty, monkeypatch):
     rows = [(None, body), (None, body + " end"), (1, None), (2, "")]
     got = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r["n_words"], r["kept"]) for r in got) == [(0, ""), (0, ""), (41, ""), (42, "end")]
+
+
+@pytest.mark.parametrize("length", [63, 64, 65, 128, 300])
+def test_long_words_repeat_whatever_follows(spark, monkeypatch, length):
+    monkeypatch.setattr(substring_dedup, "SLAB", 64)
+    run = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, f"{run} {'y' * length} one way on"), (2, f"{run} {'y' * length}"), (3, f"a b {run} {'y' * length} another end"), (4, "z" * length)]
+    got = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert {r["doc_id"]: r["kept"] for r in got} == {1: "one way on", 2: "", 3: "a b another end", 4: "z" * length}
