@@ -3,9 +3,11 @@
 Reference blocks of `(width + 1) // 2` words, not overlapping, are indexed; every
 rolling window of that many words probes them. Any window of `width` words holds
 a whole reference block of its own document, and so do its equals elsewhere:
-only windows round a block that some other place hits can repeat. These are
-compared by a 96-bit hash of all their words, and those found twice make up,
-overlapping, the maximal exact repeats.
+only windows round a block that some other place hits can repeat. Hashes of
+blocks and windows only find and order; two windows count as equal if their
+words are, within a chunk by the words themselves, across chunks by a 128-bit
+BLAKE2b digest of all of them. Those found twice make up, overlapping, the
+maximal exact repeats.
 
 Texts travel packed in chunks of a few megabytes. A chunk sends each distinct
 hash once to the bucket of its leading bits, with a mark if it has it twice, and
@@ -16,7 +18,7 @@ in a bucket than one row per chunk.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from hashlib import blake2b
 from itertools import compress
 
 import numpy as np
@@ -28,108 +30,100 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, bounded_batches, filled, shuffle_partitions
 
-#: Bytes of text in a chunk, windows in a bucket, bytes hashed at once.
-CHUNK, BUCKET, SLAB = 4 << 20, 2 << 20, 1 << 20
-_rng = np.random.default_rng(20)
-_BYTES = _rng.integers(1, 1 << 63, 256, np.uint64) | np.uint64(1)
-_BASES = {"byte": 0x9E3779B97F4A7C15, "first": 0xD6E8FEB86659FD93, "second": 0xC2B2AE3D27D4EB4F}
-_SPACES = np.zeros(256, bool)
-_SPACES[[9, 10, 11, 12, 13, 32]] = True
-
-
-@lru_cache(maxsize=8)
-def _powers_to(kind: str, n: int) -> tuple[np.ndarray, np.ndarray]:
-    base = _BASES[kind]
-    up, down = np.full(n, base, np.uint64), np.full(n, pow(base, -1, 1 << 64), np.uint64)
-    up[0] = down[0] = 1
-    return np.cumprod(up), np.cumprod(down)
-
-
-def powers(kind: str, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of a base and of its inverse, modulo 2**64."""
-    up, down = _powers_to(kind, 1 << max(16, int(n).bit_length()))
-    return up[:n], down[:n]
-
-
-def mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
-def spans_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray, kind: str) -> np.ndarray:
-    """A hash of values[start:end] that doesn't depend on the place."""
-    up, down = powers(kind, len(values) + 1)
-    sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[:-1], out=sums[1:])
-    return mixed((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
-
-
-def word_spans(body: bytes) -> tuple[np.ndarray, np.ndarray]:
-    space = _SPACES[np.frombuffer(body, np.uint8)]
-    edge = np.flatnonzero(np.diff(np.concatenate(([True], space, [True])).view(np.int8)))
-    return edge[0::2], edge[1::2]
-
-
-def word_hashes(body: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    out = np.empty(len(start), np.uint64)
-    values, k = np.frombuffer(body, np.uint8), 0
-    while k < len(start):
-        stop = int(np.searchsorted(end, start[k] + SLAB, side="right"))
-        if stop <= k:  # one word longer than a slab
-            step = (values[a : min(a + SLAB, end[k])] for a in range(start[k], end[k], SLAB))
-            h = np.uint64(0)
-            for part in step:
-                piece = _BYTES[part]
-                h = mixed(np.array([h]) + spans_hash(piece, np.array([0]), np.array([len(piece)]), "byte"))[0]
-            out[k], k = h, k + 1
-            continue
-        lo, hi = int(start[k]), int(end[stop - 1])
-        out[k:stop] = spans_hash(_BYTES[values[lo:hi]], start[k:stop] - lo, end[k:stop] - lo, "byte")
-        k = stop
-    return out
+#: Bytes of text in a chunk, windows in a bucket, bytes of a digest.
+CHUNK, BUCKET, DIGEST = 4 << 20, 1 << 20, 16
+
+
+class Numbered(dict):
+    """Words in the order they first come."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+def mixed(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """A hash of two hashes in this order."""
+    h = left * np.uint64(0x9E3779B97F4A7C15) + (right ^ right >> np.uint64(32)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    h = (h ^ h >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ h >> np.uint64(31)
+
+
+def rolling(words: np.ndarray, width: int) -> np.ndarray:
+    """A hash of each `width` values in a row, put together from runs of powers of two."""
+    run, size, out, done = words, 1, None, 0
+    while True:
+        if width & size:
+            out = run if out is None else mixed(out[: len(run) - done], run[done:]) if len(run) > done else run[:0]
+            done += size
+        if done == width:
+            return out[: max(len(words) - width + 1, 0)]
+        run, size = mixed(run[:-size], run[size:]) if len(run) > size else run[:0], 2 * size
 
 
 class Chunk:
     """Words and window hashes of the documents packed in a chunk."""
 
     def __init__(self, body: bytes, lengths: np.ndarray):
-        self.body = body
-        self.start, self.end = word_spans(body)
-        self.words = word_hashes(body, self.start, self.end)
+        import xxhash
+
+        ends = np.cumsum(lengths).tolist()
+        split = [body[a:b].split() for a, b in zip([0, *ends], ends, strict=False)]
+        n = np.array([len(x) for x in split], np.int64)
         # Each document's words are self.first[d] : self.first[d + 1].
-        self.first = np.searchsorted(self.start, np.concatenate(([0], np.cumsum(lengths))))
-        n = np.diff(self.first)
+        self.first = np.concatenate(([0], np.cumsum(n)))
+        self.words = [w for x in split for w in x]
+        number = Numbered()
+        self.number = np.fromiter(map(number.__getitem__, self.words), np.int64, len(self.words))
+        self.hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, number), np.uint64, len(number))[self.number]
         self.place = np.arange(len(self.words)) - np.repeat(self.first[:-1], n)
         self.left = np.repeat(n, n) - self.place
 
     def windows(self, width: int) -> np.ndarray:
         return np.flatnonzero(self.left >= width)
 
-    def hashes(self, at: np.ndarray, width: int, kind: str) -> np.ndarray:
-        return spans_hash(self.words, at, at + width, kind)
-
     def anchors(self, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Rolling windows, their distinct hashes in order, which each has, and flags: 1 reference block, 2 twice."""
         at = self.windows(block)
-        keys, which, n = np.unique(self.hashes(at, block, "first"), return_inverse=True, return_counts=True)
+        keys, which, n = np.unique(rolling(self.hashes, block)[at], return_inverse=True, return_counts=True)
         flags = (2 * (n > 1)).astype(np.uint8)
         flags[which[self.place[at] % block == 0]] |= 1
         return at, keys, which, flags
 
-    def suspects(self, width: int, block: int, hit: np.ndarray, at: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Windows round a hit reference block, their distinct first hashes in order, and which each has."""
+    def suspects(self, width: int, block: int, hit: np.ndarray, at: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Windows round a hit reference block; of the distinct ones among them the hashes, in order, and one place; which each is."""
         struck = np.zeros(len(self.words), bool)
         struck[at] = hit[which]
         windows = self.windows(width)
         windows = windows[struck[windows + -self.place[windows] % block]]
-        keys, which = np.unique(self.hashes(windows, width, "first"), return_inverse=True)
-        return windows, keys, which
-
-
-def buckets_of(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """The first index of each bucket in sorted keys, and the end."""
-    return np.searchsorted(keys, np.array([(b << 64) // buckets for b in range(buckets)], np.uint64)).tolist() + [len(keys)]
+        hashes = rolling(self.hashes, width)[windows]
+        keys, one, which = np.unique(hashes, return_index=True, return_inverse=True)
+        several = np.flatnonzero(one[which] != np.arange(len(windows)))
+        same = np.ones(len(several), bool)
+        for k in range(width):
+            same &= self.number[windows[several] + k] == self.number[windows[one[which[several]]] + k]
+        if not same.all():  # other words of one hash: told apart by the words
+            rows = np.column_stack([hashes.view(np.int64), *(self.number[windows + k] for k in range(width))])
+            _, one, which = np.unique(rows, axis=0, return_index=True, return_inverse=True)
+            order = np.argsort(hashes[one], kind="stable")
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            keys, one, which = hashes[one[order]], one[order], place[which]
+        return windows, keys, windows[one], which
+
+    def digests(self, at: np.ndarray, width: int) -> bytes:
+        """Of all words of the windows at these places, one after another."""
+        joined = b" ".join(self.words)
+        end = np.cumsum(np.fromiter(map(len, self.words), np.int64, len(self.words)) + 1) - 1
+        start = np.concatenate(([0], end[:-1] + 1))
+        return b"".join([blake2b(joined[a:b], digest_size=DIGEST).digest() for a, b in zip(start[at].tolist(), end[at + width - 1].tolist(), strict=True)])
+
+
+def buckets_of(keys: np.ndarray, buckets: int) -> tuple[list[int], list[int]]:
+    """The buckets that sorted keys fall in, and where in the keys each begins, with the end."""
+    of = (keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+    begins = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1]))) if len(of) else np.zeros(0, np.int64)
+    return of[begins].tolist(), [*begins.tolist(), len(keys)]
 
 
 def packed(docs: DataFrame, text: str, id_col: str, chunk_bytes: int) -> DataFrame:
@@ -170,12 +164,14 @@ def opened(row: dict) -> Chunk:
     return Chunk(zstandard.ZstdDecompressor().decompress(row["body"]), np.frombuffer(row["lengths"], np.int64))
 
 
-def bits_of(row: dict, name: str, bounds: list[int]) -> np.ndarray:
+def bits_of(row: dict, name: str, keys: np.ndarray, buckets: int) -> np.ndarray:
     """One bit per distinct hash of the chunk, from the answers of the buckets."""
-    out = np.zeros(bounds[-1], bool)
+    held, bounds = buckets_of(keys, buckets)
+    span = {b: (bounds[k], bounds[k + 1]) for k, b in enumerate(held)}
+    out = np.zeros(len(keys), bool)
     for answer in row[name] or []:
-        b = answer["bucket"]
-        out[bounds[b] : bounds[b + 1]] = np.unpackbits(np.frombuffer(answer["bits"], np.uint8), count=bounds[b + 1] - bounds[b])
+        lo, hi = span[answer["bucket"]]
+        out[lo:hi] = np.unpackbits(np.frombuffer(answer["bits"], np.uint8), count=hi - lo)
     return out
 
 
@@ -187,11 +183,12 @@ def answers(sent: DataFrame, flagged: bool) -> DataFrame:
         flags = np.concatenate([np.frombuffer(x, np.uint8) for x in rows["flags"]])
         if flagged:
             order = np.argsort(k1, kind="stable")
-            new = np.diff(k1[order]) != 0
+            new = k1[order][1:] != k1[order][:-1]
         else:
-            k2 = np.concatenate([np.frombuffer(x, np.uint32) for x in rows["k2"]])
-            order = np.lexsort((k2, k1))
-            new = (np.diff(k1[order]) != 0) | (np.diff(k2[order].view(np.int32)) != 0)
+            k2 = np.concatenate([np.frombuffer(x, np.uint64).reshape(-1, 2) for x in rows["k2"]])
+            order = np.lexsort((k2[:, 1], k2[:, 0], k1))
+            k1, k2 = k1[order], k2[order]
+            new = (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1]).any(axis=1)
         group = np.concatenate(([0], np.cumsum(new)))
         twice = np.bincount(group, 1 + (flags[order] >> 1)) >= 2
         if flagged:
@@ -202,7 +199,7 @@ def answers(sent: DataFrame, flagged: bool) -> DataFrame:
         bits = [np.packbits(found[a:b]).tobytes() for a, b in zip([0, *ends[:-1]], ends, strict=True)]
         return pd.DataFrame({"chunk": rows["chunk"], "bucket": rows["bucket"], "bits": bits})
 
-    met = sent.groupBy("bucket").applyInPandas(meet, "chunk long, bucket int, bits binary")
+    met = sent.groupBy("bucket").applyInPandas(meet, "chunk long, bucket long, bits binary")
     return met.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "bits")).alias("answers"))
 
 
@@ -225,61 +222,54 @@ def remove_repeats(docs: DataFrame, width: int = 35, text: str = "text", id_col:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             for k in range(batch.num_rows):
-                yield batch.slice(k, 1).to_pylist()[0]
+                row = batch.select([c for c in batch.schema.names if c != "ids"]).slice(k, 1).to_pylist()[0]
+                yield row | ({"ids": batch["ids"][k].values} if "ids" in batch.schema.names else {})
 
-    def sent(chunk: int, keys: np.ndarray, k1: np.ndarray, k2: np.ndarray, flags: np.ndarray) -> Iterator[pa.RecordBatch]:
-        bounds = buckets_of(keys, buckets)
-        held = [b for b in range(buckets) if bounds[b + 1] > bounds[b]]
-        cut = lambda x: pa.array([x[bounds[b] : bounds[b + 1]].tobytes() for b in held], pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array([chunk] * len(held), pa.int64()), cut(k1), cut(k2), cut(flags)], names=["bucket", "chunk", "k1", "k2", "flags"])
+    def sent(chunk: int, keys: np.ndarray, k1: np.ndarray, k2: bytes, flags: np.ndarray) -> Iterator[pa.RecordBatch]:
+        held, bounds = buckets_of(keys, buckets)
+        spans = list(zip(bounds, bounds[1:], strict=False))
+        cut = lambda x: pa.array([x[a:b].tobytes() for a, b in spans], pa.binary())
+        digests = pa.array([k2[DIGEST * a : DIGEST * b] for a, b in spans], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64()), pa.array([chunk] * len(held), pa.int64()), cut(k1), digests, cut(flags)], names=["bucket", "chunk", "k1", "k2", "flags"])
 
     def probe(batches):
         for row in rows(batches):
             _, keys, _, flags = opened(row).anchors(block)
-            yield from sent(row["chunk"], keys, (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32), np.zeros(0, np.uint32), flags)
+            yield from sent(row["chunk"], keys, (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32), b"", flags)
+
+    def suspects(row, chunk):
+        at, keys, which, _ = chunk.anchors(block)
+        return chunk.suspects(width, block, bits_of(row, "hits", keys, buckets), at, which)
 
     def extend(batches):
         for row in rows(batches):
             chunk = opened(row)
-            at, keys, which, _ = chunk.anchors(block)
-            windows, keys, which = chunk.suspects(width, block, bits_of(row, "hits", buckets_of(keys, buckets)), at, which)
+            _, keys, one, which = suspects(row, chunk)
             n = np.bincount(which, minlength=len(keys))
-            one = np.zeros(len(keys), np.int64)
-            one[which] = windows
-            second = (chunk.hashes(one, width, "second") & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-            yield from sent(row["chunk"], keys, keys, second, (2 * (n > 1)).astype(np.uint8))
+            yield from sent(row["chunk"], keys, keys, chunk.digests(one, width), (2 * (n > 1)).astype(np.uint8))
 
     def clear(batches):
         for row in rows(batches):
             chunk = opened(row)
-            at, keys, which, _ = chunk.anchors(block)
-            windows, keys, which = chunk.suspects(width, block, bits_of(row, "hits", buckets_of(keys, buckets)), at, which)
-            windows = windows[bits_of(row, "repeats", buckets_of(keys, buckets))[which]]
+            windows, keys, _, which = suspects(row, chunk)
+            windows = windows[bits_of(row, "repeats", keys, buckets)[which]]
             change = np.zeros(len(chunk.words) + 1, np.int64)
             change[windows] += 1
             change[windows + width] -= 1
             gone = np.cumsum(change[:-1]) > 0
             spans, texts = [], []
-            for a, b, i, j in zip(chunk.first, chunk.first[1:], np.cumsum([0, *np.frombuffer(row["lengths"], np.int64)]), np.cumsum(np.frombuffer(row["lengths"], np.int64)), strict=False):
-                own = gone[a:b]
+            for a, b in zip(chunk.first.tolist(), chunk.first[1:].tolist(), strict=False):
+                own, words = gone[a:b], chunk.words[a:b]
                 edge = np.flatnonzero(np.diff(np.concatenate(([False], own, [False])).view(np.int8)))
                 spans.append([{"start": int(s), "end": int(e)} for s, e in zip(edge[0::2], edge[1::2], strict=True)])
-                words = chunk.body[i:j].split()
                 texts.append(b" ".join(compress(words, ~own) if len(edge) else words).decode("utf-8"))
-            yield pa.RecordBatch.from_arrays([pa.array(row["ids"], id_kind), pa.array(np.diff(chunk.first), pa.int64()), pa.array(spans, span_kind), pa.array(texts, pa.string())], names=[id_col, "n_words", "removed", "kept"])
+            yield pa.RecordBatch.from_arrays([row["ids"], pa.array(np.diff(chunk.first), pa.int64()), pa.array(spans, span_kind), pa.array(texts, pa.string())], names=[id_col, "n_words", "removed", "kept"])
 
     id_type = docs.schema[id_col].dataType
-    id_kind = to_arrow(id_type)
     span_kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-    keyed = "bucket int, chunk long, k1 binary, k2 binary, flags binary"
+    keyed = "bucket long, chunk long, k1 binary, k2 binary, flags binary"
     hits = scratch.save(answers(chunks.select("chunk", "lengths", "body").mapInArrow(probe, keyed), True).withColumnRenamed("answers", "hits"), "hits")
     seen = chunks.select("chunk", "lengths", "body").join(hits, "chunk", "left")
     repeats = scratch.save(answers(seen.mapInArrow(extend, keyed), False).withColumnRenamed("answers", "repeats"), "repeats")
     seen = chunks.join(hits, "chunk", "left").join(repeats, "chunk", "left")
     return seen.mapInArrow(clear, f"`{id_col}` {id_type.simpleString()}, n_words long, removed array<struct<start:int,end:int>>, kept string")
-
-
-def to_arrow(kind) -> pa.DataType:
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    return to_arrow_type(kind)

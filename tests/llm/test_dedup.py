@@ -148,20 +148,57 @@ def test_repeats_against_brute_force(docs, rows, width, chunk, bucket):
     assert flat == brute_removed(rows, width)
 
 
-def test_repeats_edge_cases(spark, empty, monkeypatch):
+def test_repeats_edge_cases(spark, empty):
     assert substring_dedup.remove_repeats(empty).count() == 0
-    monkeypatch.setattr(substring_dedup, "SLAB", 64)
-    long_word = "y" * 300
-    body = " ".join([long_word] + [f"w{i}" for i in range(40)])
+    body = " ".join(["y" * 300] + [f"w{i}" for i in range(40)])
     rows = [(None, body), (None, body + " end"), (1, None), (2, "")]
     got = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r["n_words"], r["kept"]) for r in got) == [(0, ""), (0, ""), (41, ""), (42, "end")]
 
 
-@pytest.mark.parametrize("length", [63, 64, 65, 128, 300])
-def test_long_words_repeat_whatever_follows(spark, monkeypatch, length):
-    monkeypatch.setattr(substring_dedup, "SLAB", 64)
+@pytest.mark.parametrize("length", [64, 3_000_000])
+def test_long_words_repeat_whatever_follows(spark, length):
     run = " ".join(f"w{i}" for i in range(40))
     rows = [(1, f"{run} {'y' * length} one way on"), (2, f"{run} {'y' * length}"), (3, f"a b {run} {'y' * length} another end"), (4, "z" * length)]
     got = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
     assert {r["doc_id"]: r["kept"] for r in got} == {1: "one way on", 2: "", 3: "a b another end", 4: "z" * length}
+
+
+def doubling(k):
+    """Two words over a and b whose polynomial hashes modulo a power of two agree for every base."""
+    bits = [bin(i).count("1") % 2 for i in range(1 << k)]
+    return "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+
+
+@pytest.mark.parametrize("chunk", [1 << 22, 50])
+def test_words_made_to_collide_are_told_apart(spark, chunk):
+    one, two = doubling(10)
+    rest = " ".join(f"w{i}" for i in range(34))
+    rows = [(1, f"{one} {rest}"), (2, f"{two} {rest}"), (3, " ".join(doubling(5)[0])), (4, " ".join(doubling(5)[1]))]
+    got = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), chunk_bytes=chunk).collect()
+    assert all(not r["removed"] for r in got) and {r["doc_id"]: r["kept"] for r in got} == dict(rows)
+
+
+@pytest.mark.parametrize("chunk", [1 << 22, 400])
+def test_windows_of_one_hash_are_told_apart_by_their_words(spark, docs, rows, monkeypatch, chunk):
+    """With hashes of two bits nearly all windows collide; the result stays exact."""
+    whole = substring_dedup.rolling
+    monkeypatch.setattr(substring_dedup, "rolling", lambda words, width: whole(words, width) >> np.uint64(62) << np.uint64(62))
+    few = [r for r in rows if len(r[1] or "") < 3000]
+    df = spark.createDataFrame(few, SCHEMA)
+    chunks = [substring_dedup.Chunk(b"\n".join((r[1] or "").encode() for r in few) + b"\n", np.array([len((r[1] or "").encode()) + 1 for r in few]))]
+    at, keys, which, _ = chunks[0].anchors(4)
+    windows, keys, one, which = chunks[0].suspects(7, 4, np.ones(len(keys), bool), at, which)
+    words_ = chunks[0].words
+    assert len(keys) == len({tuple(words_[w : w + 7]) for w in windows}) and (np.diff(keys.astype(float)) >= 0).all()
+    assert all(words_[w : w + 7] == words_[one[k] : one[k] + 7] for w, k in zip(windows, which, strict=True))
+    got = substring_dedup.remove_repeats(df, 7, chunk_bytes=chunk).collect()
+    flat = sorted((r["doc_id"], r["n_words"], sum(s["end"] - s["start"] for s in r["removed"]), r["kept"]) for r in got)
+    assert flat == brute_removed(few, 7)
+
+
+def test_work_of_a_chunk_is_free_of_the_number_of_buckets():
+    keys = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 1000, np.uint64)) << np.uint64(1)
+    for buckets in (1, 7, 10**9):
+        held, bounds = substring_dedup.buckets_of(keys, buckets)
+        assert len(bounds) == len(held) + 1 <= 1001 and bounds[-1] == 1000 and sorted(set(held)) == held and max(held) < buckets
