@@ -31,6 +31,11 @@ def n_words(text: Column) -> Column:
     return F.regexp_count(filled(text), F.lit(WORD)).cast("long")
 
 
+def restored(df: DataFrame, struct: str, like: DataFrame) -> DataFrame:
+    """The fields of a struct column as the columns they were in `like`."""
+    return df.select(*[F.col(struct)[c].alias(c) for c in like.columns])
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

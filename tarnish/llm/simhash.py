@@ -1,11 +1,19 @@
 """SimHash near-dedup by vantage-point trees.
 
-A tree of vantage points, fitted on a bounded sample of the distinct
-fingerprints, cuts the Hamming space into shards. A fingerprint has one home
-shard and visits each other shard whose region its search ball may overlap (the
-triangle bound), so every linked pair meets in the home of each of its two. In a
-shard the same pruning goes on until blocks are small enough to compare whole.
-The sample decides only where the cuts lie; results are exact with any tree.
+Fingerprints linked by at most `reach` differing bits agree whole on one of
+`reach + 1` parts of their bits. Each part has a tree of vantage points, fitted
+by the Hamming distance of that part on a bounded sample of the distinct
+fingerprints, that cuts the space into shards. In the tree of the part they
+agree on, the search ball has radius zero: the triangle bound prunes every
+branch but one, no ball overlaps a boundary, and the pair meets in one shard.
+So a fingerprint goes to `reach + 1` shards, however many there are; a tree on
+all bits would send it to ever more, as its distances lie close to 32.
+
+Shards are counted. One that is too large is cut again by its part's value, and
+where all of it has one value by trees' parts of the bits that are still free,
+until each is small. In a shard, vantage points cut on until blocks are small
+enough to compare whole. The sample decides only where the cuts lie; links are
+exact with any tree.
 """
 
 from __future__ import annotations
@@ -19,13 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, bounded_batches, filled, shuffle_partitions
+from .common import Scratch, bounded_batches, filled, restored, shuffle_partitions
 
 SEED = 42
-#: Fingerprints the tree is fitted on, at most about; of a shard, about; depth of the tree, at most.
-SAMPLE, SHARD, DEPTH = 32_768, 4_096, 12
-#: Pairs compared at once.
-BLOCK = 1 << 21
+#: Fingerprints the trees are fitted on, at most about; of a shard, aimed at and at most.
+SAMPLE, SHARD, MOST = 131_072, 65_536, 524_288
+#: Fingerprints compared whole.
+BLOCK = 256
+ALL = (1 << 64) - 1
 
 
 def fingerprint(text: str, width: int = 3, step: int = 1 << 16) -> int:
@@ -61,79 +70,84 @@ def distance(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
     return np.bitwise_count(a ^ b)
 
 
-def fit_tree(sample: np.ndarray, total: int, reach: int, shard: int = SHARD, depth: int = DEPTH) -> list[tuple[int, int, int, int]]:
+def parts(free: int, n: int) -> list[int]:
+    """The set bits of `free` in at most `n` masks of equal width."""
+    bits = [1 << k for k in range(64) if free >> k & 1]
+    return [sum(x) for k in range(n) if (x := bits[len(bits) * k // n : len(bits) * (k + 1) // n])]
+
+
+def fit_tree(sample: np.ndarray, total: int, mask: int, shard: int = SHARD) -> list[tuple[int, int, int, int]]:
     """Inner nodes (vantage, radius, near, far); a child below 0 is shard ~child.
 
-    Each vantage point is, of a few tried, the one with fewest points near its
-    median radius. A node that prunes nothing becomes a shard.
+    Distances count the bits of `mask`. Each radius is the distance that comes
+    nearest to halving the sample, of a few vantage points the one that does so best.
     """
     rng = np.random.default_rng(SEED)
     nodes: list[tuple[int, int, int, int]] = []
     shards = 0
 
-    def grow(points: np.ndarray, level: int) -> int:
+    def grow(points: np.ndarray) -> int:
         nonlocal shards
         best = None
-        if len(points) * total > shard * len(sample) and len(points) >= 8 and level < depth:
-            for v in rng.choice(points, 8):
+        if len(points) * total > shard * len(sample) and len(points) >= 8:
+            for v in rng.choice(points, 4):
                 d = distance(points, v)
-                for radius in (int(np.quantile(d, q)) for q in (0.35, 0.5, 0.65)):
-                    near, far = int((d <= radius + reach).sum()), int((d > radius - reach).sum())
-                    if best is None or near + far < best[0]:
-                        best = (near + far, v, radius, d)
-        if best is None or best[0] >= 1.9 * len(points):
+                upto = np.cumsum(np.bincount(d, minlength=65))[:64]
+                radius = int(np.argmin(abs(2 * upto - len(points))))
+                if best is None or abs(2 * int(upto[radius]) - len(points)) < best[0]:
+                    best = (abs(2 * int(upto[radius]) - len(points)), v, radius, d)
+        if best is None or best[0] == len(points):
             shards += 1
             return -shards
         _, v, radius, d = best
         at = len(nodes)
         nodes.append((int(v), radius, 0, 0))
-        nodes[at] = (int(v), radius, grow(points[d <= radius], level + 1), grow(points[d > radius], level + 1))
+        nodes[at] = (int(v), radius, grow(points[d <= radius]), grow(points[d > radius]))
         return at
 
-    grow(sample, 0)
+    grow(sample & np.uint64(mask))
     return nodes
 
 
-def route(fps: np.ndarray, nodes: list[tuple[int, int, int, int]], reach: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(shard, index into fps, at home) for each shard that gets some."""
-    stack = [(0 if nodes else -1, np.arange(len(fps)), np.ones(len(fps), bool))]
+def route(fps: np.ndarray, nodes: list[tuple[int, int, int, int]], mask: int) -> np.ndarray:
+    """The shard of each fingerprint in the tree of `mask`."""
+    out, masked = np.zeros(len(fps), np.int64), fps & np.uint64(mask)
+    stack = [(0, np.arange(len(fps)))] if nodes else []
     while stack:
-        at, index, home = stack.pop()
-        if not len(index):
-            continue
+        at, index = stack.pop()
         if at < 0:
-            yield ~at, index, home
-            continue
-        v, radius, near, far = nodes[at]
-        d = distance(fps[index], np.uint64(v))
-        for child, inside, reached in ((near, d <= radius, d <= radius + reach), (far, d > radius, d > radius - reach)):
-            stack.append((child, index[reached], (home & inside)[reached]))
+            out[index] = ~at
+        elif len(index):
+            v, radius, near, far = nodes[at]
+            inside = distance(masked[index], np.uint64(v)) <= radius
+            stack += [(near, index[inside]), (far, index[~inside])]
+    return out
 
 
-def linked(fps: np.ndarray, home: np.ndarray, reach: int) -> np.ndarray:
+def linked(fps: np.ndarray, mask: int, free: int, reach: int) -> np.ndarray:
     """For each of the distinct `fps` the index of one it is connected to (itself: none).
 
-    Holds every link between a home fingerprint and any other: two ends of a
-    link get one root. Blocks are cut by local vantage points while that prunes.
+    Two that are linked and agree on `mask` get one root. All agree on the bits
+    outside `free`. Vantage points cut by the distance on `mask`; what agrees on
+    all of it is cut by the parts of the other free bits.
     """
     root = np.arange(len(fps))
-    stack = [(np.flatnonzero(home), np.arange(len(fps)), 0)]
+    stack = [(np.arange(len(fps)), mask, free)]
     while stack:
-        own, all_, level = stack.pop()
-        if not len(own) or len(all_) < 2:
+        index, mask, free = stack.pop()
+        if len(index) < 2:
             continue
-        if len(own) * len(all_) > BLOCK // 4 and level < 24:
-            d = distance(fps[all_], fps[own[len(own) // 2]])
-            own_d = distance(fps[own], fps[own[len(own) // 2]])
-            radius = int(np.median(own_d))
-            parts = [(own[own_d <= radius], all_[d <= radius + reach]), (own[own_d > radius], all_[d > radius - reach])]
-            if sum(len(a) * len(b) for a, b in parts) < 0.9 * len(own) * len(all_):
-                stack += [(a, b, level + 1) for a, b in parts]
-                continue
-        rows = max(1, BLOCK // len(all_))
-        for at in range(0, len(own), rows):
-            i, j = np.nonzero(distance(fps[own[at : at + rows], None], fps[None, all_]) <= reach)
-            unite(root, own[at : at + rows][i], all_[j])
+        if len(index) <= BLOCK:
+            i, j = np.nonzero(distance(fps[index, None], fps[None, index]) <= reach)
+            unite(root, index[i[i < j]], index[j[i < j]])
+            continue
+        d = distance(fps[index] & np.uint64(mask), fps[index[len(index) // 2]] & np.uint64(mask))
+        if d.max() == 0:  # the vantage point itself is at 0
+            free &= ~mask
+            stack += [(index, part, free) for part in parts(free, reach + 1)]
+            continue
+        radius = min(int(np.median(d)), int(d.max()) - 1)
+        stack += [(index[d <= radius], mask, free), (index[d > radius], mask, free)]
     return root
 
 
@@ -150,23 +164,64 @@ def unite(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             root[:] = flat
 
 
-def links(distinct: DataFrame, reach: int, nodes: list[tuple[int, int, int, int]]) -> DataFrame:
-    """Edges (a, b) over distinct `fp` that connect all that are within `reach`: a forest per shard."""
-    spread = distinct.sparkSession.sparkContext.broadcast(nodes)
+def sharded(distinct: DataFrame, reach: int, scratch: Scratch, sample: int = SAMPLE, shard: int = SHARD, most: int = MOST) -> DataFrame:
+    """Rows (key, mask, free, fp), a few for each distinct `fp`: those of a key make up a shard of at most about `most`.
+
+    Two linked fingerprints meet in a shard in which they agree on `mask`; all
+    of a shard agree on the bits outside `free`.
+    """
+    spark = distinct.sparkSession
+    total = distinct.count()
+    taken = distinct.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < int(min(1.0, sample / max(total, 1)) * (1 << 30)))
+    points = np.sort(taken.select("fp").toPandas()["fp"].to_numpy(np.int64).view(np.uint64))  # about `sample` at most
+    trees = spark.sparkContext.broadcast([(m, fit_tree(points, total, m, shard)) for m in parts(ALL, reach + 1)])
+    schema = "key binary, mask long, free long, fp long"
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = batch.column(0).to_numpy().view(np.uint64)
-            for shard, index, home in route(fps, spread.value, reach):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(index), shard), pa.int32()), pa.array(fps[index].view(np.int64)), pa.array(home)], names=["shard", "fp", "home"])
+            for k, (mask, nodes) in enumerate(trees.value):
+                keys = np.column_stack([np.full(len(fps), k), route(fps, nodes, mask)]).astype(np.int64)
+                yield rows_of(fps, keys, mask, ALL)
+
+    def rows_of(fps, keys, mask, free):
+        same = lambda x: pa.array(np.full(len(fps), x, np.uint64).view(np.int64))
+        return pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in keys], pa.binary()), same(mask), same(free), pa.array(fps.view(np.int64))], names=["key", "mask", "free", "fp"])
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows with a further key: the value of their mask; those of one value by the parts of what is free."""
+        for batch in batches:
+            mask, free, fps = (batch.column(k).to_numpy().view(np.uint64) for k in (1, 2, 3))
+            for m, f in {(int(m), int(f)) for m, f in zip(mask, free, strict=True)}:
+                own = (mask == m) & (free == f)
+                for part in [m] if f & m else parts(f, reach + 1):
+                    value = fps[own] & np.uint64(part)
+                    keys = np.column_stack([np.full(len(value), part, np.uint64), value])
+                    heads = batch.column(0).filter(pa.array(own)).to_pylist()
+                    # What agrees on a part has it no longer free, and is next cut by what is.
+                    out = rows_of(fps[own], keys, part, f & ~part)
+                    yield out.set_column(0, "key", pa.array([h + k for h, k in zip(heads, out.column(0).to_pylist(), strict=True)], pa.binary()))
+
+    now, done, k = scratch.save(distinct.select("fp").mapInArrow(send, schema), "shards0"), None, 0
+    while True:
+        large = scratch.save(now.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("key"), f"large-shards{k}")
+        if large.isEmpty():
+            return now if done is None else done.unionByName(now)
+        small = now.join(large, "key", "left_anti")
+        done, k = small if done is None else done.unionByName(small), k + 1
+        now = scratch.save(now.join(large, "key", "left_semi").select(*[c.split()[0] for c in schema.split(", ")]).mapInArrow(again, schema), f"shards{k}")
+
+
+def links(shards: DataFrame, reach: int) -> DataFrame:
+    """Edges (a, b) over the `fp` of shards that connect all that are within `reach`: a forest per shard."""
 
     def meet(rows: pd.DataFrame) -> pd.DataFrame:
-        fps = rows["fp"].to_numpy().view(np.uint64)
-        root = linked(fps, rows["home"].to_numpy(), reach)
+        fps, mask, free = (rows[c].to_numpy().view(np.uint64) for c in ("fp", "mask", "free"))
+        root = linked(fps, int(mask[0]), int(free[0]), reach)
         tied = np.flatnonzero(root != np.arange(len(root)))
         return pd.DataFrame({"a": fps[tied].view(np.int64), "b": fps[root[tied]].view(np.int64)})
 
-    return distinct.select("fp").mapInArrow(send, "shard int, fp long, home boolean").groupBy("shard").applyInPandas(meet, "a long, b long")
+    return shards.groupBy("key").applyInPandas(meet, "a long, b long")
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -211,13 +266,8 @@ def near_groups(docs: DataFrame, width: int = 3, reach: int = 2, text: str = "te
     carried = [c for c in ([c for c in docs.columns if c != text] if carry is None else carry) if c not in added]
     rows = docs.select(F.struct(*[docs[c] for c in carried]).alias("_row"), docs[id_col].alias("_id"), docs[text].alias("_text"))
     rows = scratch.save(fingerprints(rows, "_text", width), "fingerprints")
-    distinct = scratch.save(rows.groupBy("fp").agg(F.min("_id").alias("least")), "distinct")
-    total = distinct.count()
-    share = min(1.0, SAMPLE / max(total, 1))
-    sample = distinct.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < int(share * (1 << 30))).select("fp").toPandas()["fp"].to_numpy(np.int64)
-    nodes = fit_tree(np.sort(sample).view(np.uint64), total, reach)
-    parts = max(shuffle_partitions(spark), 1)
-    stars = components(links(distinct.repartition(parts), reach, nodes), scratch)
+    distinct = scratch.save(rows.groupBy("fp").agg(F.min("_id").alias("least")).repartition(shuffle_partitions(spark)), "distinct")
+    stars = components(links(sharded(distinct, reach, scratch), reach), scratch)
     # Least id of each component, over its other fingerprints and its root.
     of = distinct.join(stars.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     of = scratch.save(of, "roots")
@@ -228,16 +278,15 @@ def near_groups(docs: DataFrame, width: int = 3, reach: int = 2, text: str = "te
 
 
 def drop_near(docs: DataFrame, width: int = 3, reach: int = 2, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Rows of `docs` with its own columns, one of each group: that of the smallest id.
+    """Rows of `docs` with its own columns, one of each group: the first by id (nulls last), then by all columns.
 
-    Rows of one id count as one document, of which any one row stays. Of a group
-    in which no row has an id, the row that sorts first by all columns stays.
+    Groups are those of `near_groups`: rows belong together by their texts,
+    never by their ids. An empty table gives no rows.
     """
-    columns = docs.columns
-    whole = F.struct(*[docs[c] for c in columns])
-    lone = docs.select(docs[id_col].alias("_keep"), docs[text].alias("_text"), F.when(docs[id_col].isNull(), whole).alias("_lone"))
-    groups = near_groups(lone, width, reach, "_text", "_keep", carry=["_keep", "_lone"])
-    keep = groups.where(F.col("_keep") == F.col("component_id")).select("_keep").distinct()
-    kept = docs.join(keep, docs[id_col] == F.col("_keep"), "left_semi").dropDuplicates([id_col])
-    nameless = groups.where("component_id is null").groupBy("component_fp").agg(F.min("_lone").alias("_lone"))
-    return kept.select(*[F.col(f"`{c}`") for c in columns]).unionByName(nameless.select("_lone.*"))
+    scratch = Scratch(docs.sparkSession, "near-rows")
+    whole = F.struct(*[docs[c] for c in docs.columns])
+    rows = scratch.save(docs.select(docs[id_col].alias("_id"), docs[text].alias("_text"), whole.alias("_whole"), F.monotonically_increasing_id().alias("_at")), "rows")
+    groups = near_groups(rows.select("_id", "_text", F.xxhash64("_whole").alias("_order"), "_at"), width, reach, "_text", "_id", carry=["_id", "_order", "_at"])
+    groups = scratch.save(groups.select("_id", "_order", "_at", "component_fp"), "groups")
+    first = groups.groupBy("component_fp").agg(F.min(F.struct(F.col("_id").isNull().alias("nameless"), F.col("_id").alias("id"), F.col("_order").alias("order"), F.col("_at").alias("at"))).alias("first"))
+    return restored(rows.join(first.select(F.col("first.at").alias("_at")).hint("merge"), "_at", "left_semi"), "_whole", docs)

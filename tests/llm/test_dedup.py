@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tarnish.llm import exact_dedup, simhash, substring_dedup
 
@@ -86,24 +87,68 @@ def test_simhash_against_brute_force(docs, rows):
     assert sorted(map(tuple, got)) == expected
 
 
-@pytest.mark.parametrize("reach", [1, 2, 5])
-def test_vantage_shards_lose_no_link(spark, reach):
+def links_of(fps, reach):
+    """Pairs of indices within reach."""
+    out = set()
+    for i in range(len(fps)):
+        out |= {(i, int(j)) for j in np.flatnonzero(simhash.distance(fps[i + 1 :], fps[i]) <= reach) + i + 1}
+    return out
+
+
+def near_fingerprints(reach):
+    """Spread ones, chains, a ball, and a family that agrees on a third of its bits."""
     rng = np.random.default_rng(reach)
+    flip = lambda n, hi=64: np.uint64(1) << rng.integers(0, hi, n).astype(np.uint64)
     fps = rng.integers(0, 1 << 63, 3000, np.uint64)
-    chains = fps[:600] ^ (np.uint64(1) << rng.integers(0, 63, 600).astype(np.uint64))
-    ball = fps[0] ^ (np.uint64(1) << rng.integers(0, 63, 200).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 63, 200).astype(np.uint64))
-    fps = np.unique(np.concatenate([fps, chains, ball, ball ^ np.uint64(3)]))
-    nodes = simhash.fit_tree(fps[::3], len(fps), reach, shard=200)
-    assert len(nodes) > 3
-    root = np.arange(len(fps))
-    for _, index, home in simhash.route(fps, nodes, reach):
-        own = simhash.linked(fps[index], home, reach)
-        simhash.unite(root, index, index[own])
-    brute = np.arange(len(fps))
-    for i in range(len(fps)):
-        j = np.flatnonzero(simhash.distance(fps, fps[i]) <= reach)
-        simhash.unite(brute, np.full(len(j), i), j)
-    assert np.array_equal(root, brute)
+    family = fps[1] ^ rng.integers(0, 1 << 20, 900, np.uint64)
+    ball = fps[0] ^ flip(200) ^ flip(200)
+    return np.unique(np.concatenate([fps, fps[:600] ^ flip(600), ball, ball ^ np.uint64(3), family, family[:200] ^ flip(200, 40)]))
+
+
+def united(n, pairs):
+    root = np.arange(n)
+    for a, b in pairs:
+        simhash.unite(root, np.array([a]), np.array([b]))
+    return root
+
+
+@pytest.mark.parametrize("reach", [1, 2, 5])
+def test_vantage_shards_lose_no_link(reach):
+    fps = near_fingerprints(reach)
+    found = []
+    for mask in simhash.parts(simhash.ALL, reach + 1):
+        nodes = simhash.fit_tree(fps[::3], len(fps), mask, shard=200)
+        assert len(nodes) > 3
+        shard = simhash.route(fps, nodes, mask)
+        for k in np.unique(shard):
+            index = np.flatnonzero(shard == k)
+            root = simhash.linked(fps[index], mask, simhash.ALL, reach)
+            found += [(index[i], index[r]) for i, r in enumerate(root) if i != r]
+    assert np.array_equal(united(len(fps), found), united(len(fps), links_of(fps, reach)))
+
+
+def test_large_shards_are_cut_until_they_are_small(spark):
+    from tarnish.llm.common import Scratch
+
+    fps = near_fingerprints(2)
+    distinct = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
+    shards = simhash.sharded(distinct, 2, Scratch(spark, "test"), sample=300, shard=1500, most=100)
+    assert shards.groupBy("key").count().agg(F.max("count")).first()[0] <= 100
+    at = {int(x): i for i, x in enumerate(fps.view(np.int64))}
+    found = [(at[r["a"]], at[r["b"]]) for r in simhash.links(shards, 2).collect()]
+    assert np.array_equal(united(len(fps), found), united(len(fps), links_of(fps, 2)))
+
+
+def test_a_million_fingerprints_in_bounded_shards(spark):
+    """Three copies of each, whatever their number; the largest shard stays near what is aimed at."""
+    from tarnish.llm.common import Scratch
+
+    n = 1_000_000
+    distinct = spark.range(n).select(F.xxhash64("id").alias("fp")).distinct()
+    shards = simhash.sharded(distinct, 2, Scratch(spark, "test"), shard=16_384, most=65_536)
+    sizes = shards.groupBy("key").count()
+    figures = sizes.agg(F.max("count"), F.sum("count"), F.count("*")).first()
+    assert figures[0] <= 32_768 and figures[1] == 3 * n and figures[2] >= 3 * n // 32_768
 
 
 def test_components_of_chains_and_stars(spark):
@@ -120,9 +165,11 @@ def test_near_duplicates_dropped(spark, docs, rows, empty):
     fps = [brute_fingerprint(r[1]) for r in rows]
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(brute_components(fps, [r[0] for r in rows], 2)))
     assert simhash.near_groups(empty).count() == 0 and simhash.drop_near(empty).count() == 0
-    nameless = spark.createDataFrame([(None, "a b c d", "y"), (None, "a b c d", "x"), (None, None, "z"), (3, "", "w")], "doc_id long, text string, fp string")
-    assert sorted((r["doc_id"], r["fp"]) for r in simhash.drop_near(nameless).collect() if r["doc_id"]) == [(3, "w")]
-    assert [r["fp"] for r in simhash.drop_near(nameless).collect() if r["doc_id"] is None] == ["x"]
+    clashing = [(None, "a b c d", "y", 1), (None, "a b c d", "x", 1), (None, None, "z", 1), (3, "", "w", 1), (1, "e f g h i", "v", 1), (1, "j k l m n", "u", 1), (1, "j k l m n", "u", 1)]
+    got = simhash.drop_near(spark.createDataFrame(clashing, "doc_id long, text string, fp string, _keep int"))
+    assert got.columns == ["doc_id", "text", "fp", "_keep"]
+    kept = [tuple(r) for r in got.collect()]
+    assert (3, "", "w", 1) in kept and (1, "e f g h i", "v", 1) in kept and (1, "j k l m n", "u", 1) in kept and len(kept) == 4
 
 
 def brute_removed(rows, width):
