@@ -48,15 +48,16 @@ IN_HEAD = set("base link meta title script style noscript template".split())
 STRICT_TAGS = APART - {"form", "fieldset", "dialog"}
 STRICT_NAMES = set("comment comments disqus respond replies reply nav navbar navigation footer contentinfo".split())
 LISTS = set("li ul ol dl dt dd table thead tbody tfoot tr td th".split())
+KINDS = {"unseen": UNSEEN, "link": {"a"}, "heading": HEADINGS, "title": {"h1"}}
 #: Share of the content that the one article element must hold to be preferred; part of the mean ratio that a content path reaches.
 HOLDS, LEAST = 0.5, 0.5
 
 
 @dataclass
 class Block:
-    path: str
-    inside: tuple[int, ...]
-    leaf: int
+    path: int
+    at: int  # innermost element that it lies in
+    leaf: int  # innermost of those that aren't inline
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     heading: bool = False
@@ -66,17 +67,27 @@ class Block:
 
 
 class Blocks(HTMLParser):
-    """Blocks of a page, and for each element why it might be apart."""
+    """Blocks of a page, and for each element why it might be apart.
+
+    Elements are numbered as they open, so those inside one are a range of
+    numbers. What a tag closes is found by the places of the open elements of
+    each tag: the time is linear in the page, however deep it nests.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, str]] = []
+        self.open: list[tuple[str, int]] = []
+        self.where: dict[str, list[int]] = defaultdict(list)
+        self.solid: list[int] = []
+        self.parent, self.end, self.path, self.leaf, self.around = [0], [0], [0], [0], [0]
+        self.kind = [""]
+        self.paths: dict[tuple[int, str], int] = {}
         self.blocks: list[Block] = []
         self.apart: dict[int, str] = {}
         self.strict: set[int] = set()
         self.mains: set[int] = set()
         self.articles: dict[int, bool] = {}
-        self.elements = self.unseen = self.links = 0
+        self.count: dict[str, int] = defaultdict(int)
         self.fresh = True
 
     def handle_starttag(self, tag, attrs):
@@ -90,31 +101,51 @@ class Blocks(HTMLParser):
         if tag not in INLINE:
             self.fresh = True
             if tag not in UNSEEN:
-                self.shut(lambda t: t == "p", lambda t: t in ("button", "td", "th", "table"))
+                self.shut(("p",), self.last("button", "td", "th", "table"))
         if tag in CLOSES:
-            self.shut(lambda t: t in CLOSES[tag], lambda t: t in ("ul", "ol", "dl", "table", "select"))
-        self.elements += 1
+            self.shut(CLOSES[tag], self.last("ul", "ol", "dl", "table", "select"))
         named = " ".join(v or "" for k, v in attrs if k in ("class", "id", "role", "aria-label")).lower()
         tokens = set(re.findall(r"[a-z]+", named))
         hidden = any(k == "hidden" for k, _ in attrs)
+        new = self.entered(tag, tag if not named else f"{tag}.{'.'.join(sorted(tokens))}")
         if tag in STRICT_TAGS or tokens & STRICT_NAMES or hidden:
-            self.strict.add(self.elements)
+            self.strict.add(new)
         if tag == "main" or "main" in [(v or "").strip().lower() for k, v in attrs if k == "role"]:
-            self.mains.add(self.elements)
+            self.mains.add(new)
         if tag == "article":
-            self.articles[self.elements] = not any(t == "article" for t, _, _ in self.open)
+            self.articles[new] = not self.where["article"]
         if tag in ("html", "body") and not hidden:
             pass  # classes of the whole page say how it is laid out
         elif tag in APART:
-            self.apart[self.elements] = "tag"
+            self.apart[new] = "tag"
         elif tag == "header" or tokens & HEADER_NAMES:
-            self.apart[self.elements] = "header"
+            self.apart[new] = "header"
         elif tokens & NAMES or hidden:
-            self.apart[self.elements] = "name"
-        step = tag if tag in INLINE or not named else f"{tag}.{'.'.join(sorted(tokens))}"
-        self.open.append((tag, self.elements, step))
-        self.unseen += tag in UNSEEN
-        self.links += tag == "a"
+            self.apart[new] = "name"
+        self.where[tag].append(len(self.open))
+        if tag not in INLINE:
+            self.solid.append(len(self.open))
+        self.open.append((tag, new))
+        self.counted(tag, 1)
+
+    def entered(self, tag: str, step: str) -> int:
+        """The number of a new element inside the open ones."""
+        outer, new = self.open[-1][1] if self.open else 0, len(self.parent)
+        solid = tag not in INLINE
+        holder = self.leaf[outer]
+        self.parent.append(outer)
+        self.end.append(0)
+        self.kind.append(tag)
+        self.path.append(self.paths.setdefault((self.path[outer], step), len(self.paths) + 1) if solid else self.path[outer])
+        self.leaf.append(new if solid else holder)
+        # What stands round an element: of a part of a list what stands round the list.
+        self.around.append((self.around[holder] if tag in LISTS and self.kind[holder] in LISTS else holder) if solid else self.around[outer])
+        return new
+
+    def counted(self, tag: str, by: int) -> None:
+        for kind, tags in KINDS.items():
+            if tag in tags:
+                self.count[kind] += by
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -125,44 +156,62 @@ class Blocks(HTMLParser):
         if tag not in INLINE:
             self.fresh = True
         if tag not in VOID:
-            self.shut(lambda t: t == tag, lambda t: tag in INLINE and t not in INLINE)
+            self.shut((tag,), self.solid[-1] if tag in INLINE and self.solid else -1)
 
-    def shut(self, wanted, fence):
+    def last(self, *tags: str) -> int:
+        """The place of the innermost open element of these tags; -1: none."""
+        return max((self.where[t][-1] for t in tags if self.where[t]), default=-1)
+
+    def shut(self, wanted, fence: int):
         """Closes elements down to the nearest wanted one, if no fence stands before it."""
-        for k in range(len(self.open) - 1, -1, -1):
-            if wanted(self.open[k][0]):
-                for tag, _, _ in self.open[k:]:
-                    self.unseen -= tag in UNSEEN
-                    self.links -= tag == "a"
-                del self.open[k:]
-                return
-            if fence(self.open[k][0]):
-                return
+        at = self.last(*wanted)
+        if at < 0 or at < fence:
+            return
+        while len(self.open) > at:
+            tag, element = self.open.pop()
+            self.end[element] = len(self.parent)
+            self.where[tag].pop()
+            if tag not in INLINE:
+                self.solid.pop()
+            self.counted(tag, -1)
 
     def end_head(self):
         """Head ends, with or without a tag, where something starts that it cannot hold."""
-        self.shut(lambda t: t == "head", lambda t: t in UNSEEN)
+        if self.where["head"]:
+            self.shut(("head",), self.last(*(UNSEEN - {"head"})))
 
     def handle_data(self, data):
         if data.strip():
             self.end_head()
-        if self.unseen or not data:
+        if self.count["unseen"] or not data:
             return
         if self.fresh:
-            path = [x for x in self.open if x[0] not in INLINE]
-            around = path[:-1]
-            while path and path[-1][0] in LISTS and around and around[-1][0] in LISTS:
-                around = around[:-1]
-            block = Block("/".join(s for _, _, s in path), tuple(i for _, i, _ in self.open), path[-1][1] if path else 0)
-            block.heading, block.title = any(t in HEADINGS for t, _, _ in path), any(t == "h1" for t, _, _ in path)
-            block.around = around[-1][1] if around else 0
-            self.blocks.append(block)
+            at = self.open[-1][1] if self.open else 0
+            self.blocks.append(Block(self.path[at], at, self.leaf[at], heading=self.count["heading"] > 0, title=self.count["title"] > 0, around=self.around[self.leaf[at]]))
             self.fresh = False
         block = self.blocks[-1]
         block.parts.append(data)
-        if self.links:
+        if self.count["link"]:
             block.linked += len("".join(data.split()))
 
+    def close(self):
+        super().close()
+        for _, element in self.open:
+            self.end[element] = len(self.parent)
+        self.end[0] = len(self.parent)
+
+    def inside(self, block: Block, element: int) -> bool:
+        return element <= block.at < self.end[element]
+
+    def held(self, blocks: list[Block], weight=lambda b: 1) -> list[int]:
+        """For each element the weight of the blocks inside it."""
+        out = [0] * len(self.parent)
+        for b in blocks:
+            out[b.at] += weight(b)
+        for i in range(len(out) - 1, 0, -1):
+            out[self.parent[i]] += out[i]
+        return out
+
 
 def smoothed(values: list[float]) -> list[float]:
     """Gaussian over two neighbours to each side."""
@@ -174,9 +223,9 @@ def smoothed(values: list[float]) -> list[float]:
     return out
 
 
-def content_paths(blocks: list[Block]) -> set[str]:
+def content_paths(blocks: list[Block]) -> set[int]:
     """Paths whose fused ratio of text and punctuation reaches the threshold."""
-    sums: dict[str, list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0])
+    sums: dict[int, list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0])
     for b in blocks:
         s = sums[b.path]
         s[0] += len(b.text) - b.linked
@@ -184,7 +233,7 @@ def content_paths(blocks: list[Block]) -> set[str]:
         s[2] += 1
     length = smoothed([sums[b.path][0] / sums[b.path][2] for b in blocks])
     marks = smoothed([sums[b.path][1] / sums[b.path][2] for b in blocks])
-    fused: dict[str, list[float]] = defaultdict(list)
+    fused: dict[int, list[float]] = defaultdict(list)
     for b, x, y in zip(blocks, length, marks, strict=True):
         fused[b.path].append(math.sqrt(max(x, 0) * (1 + y)))
     ratio = {p: sum(v) / len(v) for p, v in fused.items()}
@@ -195,85 +244,82 @@ def content_paths(blocks: list[Block]) -> set[str]:
     return {p for p, x in ratio.items() if x >= least and x > 0}
 
 
-def set_apart(parser: Blocks, blocks: list[Block]) -> dict[int, str]:
+def set_apart(page: Blocks, blocks: list[Block]) -> dict[int, str]:
     """Elements that are apart, and why: those that hold the page's article or wrap all of the page aren't.
 
     How much text an element holds says nothing: comments may outweigh an article.
     """
-    apart = parser.apart
-    held: dict[int, int] = defaultdict(int)
-    titled: set[int] = set()
-    saved: set[int] = set()
-    lone = len(parser.articles) == 1
-    for b in blocks:
-        for i in b.inside:
-            held[i] += 1
-        if b.title:
-            titled.update(b.inside)
-    for b in blocks:
-        for at, i in enumerate(b.inside):
-            if i in apart:
-                continue
-            outer = b.inside[:at]
-            if i in parser.mains or i in parser.articles and (i in titled or lone and parser.strict.isdisjoint(outer)):
-                saved.update(outer)
-    out = dict(apart)
-    for i in apart:
-        strict = i in parser.strict
-        if i in saved or held[i] == len(blocks) and (not strict or i in titled):
-            del out[i]
-        elif not strict and i in titled and all(i in b.inside or any(k in apart and held[k] and k != i for k in b.inside) for b in blocks):
-            del out[i]
+    apart, n = page.apart, len(page.parent)
+    held, titled = page.held(blocks), page.held([b for b in blocks if b.title])
+    lone = len(page.articles) == 1
+    under = [False] * n  # inside an element that is apart by a strict rule
+    plain = [True] * n  # in no element that might be apart
+    for i in range(1, n):
+        outer = page.parent[i]
+        under[i] = under[outer] or outer in page.strict
+        plain[i] = plain[outer] and i not in apart
+    saved = [False] * n
+    for i in range(n - 1, 0, -1):
+        own = held[i] and i not in apart and (i in page.mains or i in page.articles and (titled[i] or lone and not under[i]))
+        saved[page.parent[i]] |= bool(own or saved[i])
+    lonely = not any(plain[b.at] for b in blocks)
+    out = {}
+    for i, why in apart.items():
+        strict = i in page.strict
+        whole = held[i] == len(blocks) and (not strict or titled[i])
+        if not (saved[i] or whole or not strict and titled[i] and lonely):
+            out[i] = why
     return out
 
 
-def article_of(parser: Blocks, blocks: list[Block], content: list[Block]) -> tuple[int | None, bool]:
-    """The element of the article, None for the page, and whether markup says that it is one.
+def article_of(page: Blocks, blocks: list[Block], content: list[Block]) -> tuple[int, bool]:
+    """The element of the article, 0 for the page, and whether markup says that it is one.
 
     That is the one article element, or the main element, if it holds most of the
     content; otherwise the innermost element that holds all of the content, and
     the title if the page has one h1.
     """
-    mass: dict[int, int] = defaultdict(int)
-    for b in content:
-        for i in b.inside:
-            mass[i] += len(b.text)
-    most = HOLDS * sum(len(b.text) for b in content)
-    within = lambda some: sorted({i for b in blocks for i in b.inside if i in some})
-    mains, articles = within(parser.mains), within({i for i, outermost in parser.articles.items() if outermost})
+    mass, held = page.held(content, lambda b: len(b.text)), page.held(blocks)
+    most = HOLDS * mass[0]
+    mains, articles = sorted(i for i in page.mains if held[i]), sorted(i for i, outermost in page.articles.items() if outermost and held[i])
     main = mains[0] if mains and mass[mains[0]] > most else None
     if len(articles) == 1 and mass[articles[0]] > most:
-        outside = main is not None and any(b.title and main in b.inside and articles[0] not in b.inside for b in blocks)
+        outside = main is not None and any(b.title and page.inside(b, main) and not page.inside(b, articles[0]) for b in blocks)
         return (main if outside else articles[0]), True
     if main is not None:
         return main, True
     titles = [b for b in blocks if b.title]
-    shared = set.intersection(*[{i for i in b.inside if i < b.leaf} for b in content + (titles if len(titles) == 1 else [])])
-    return max(shared, default=None), False  # elements are numbered as they open: the last is the innermost
+    whole = content + (titles if len(titles) == 1 else [])
+    first, last, leaf = min(b.at for b in whole), max(b.at for b in whole), min(b.leaf for b in whole)
+    at = first
+    while at and not (at <= first and last < page.end[at] and at < leaf):
+        at = page.parent[at]
+    return at, False
 
 
 def main_text(html: str) -> str:
     """The article of a page, blocks joined by an empty line; empty if there is none."""
-    parser = Blocks()
-    parser.feed(html)
-    parser.close()
-    blocks = parser.blocks
-    for b in blocks:
+    page = Blocks()
+    page.feed(html)
+    page.close()
+    for b in page.blocks:
         b.text = " ".join("".join(b.parts).split())
-    blocks = [b for b in blocks if b.text]
-    out = set_apart(parser, blocks)
-    whys = [{out[i] for i in b.inside if i in out} for b in blocks]
-    both = [(b, why) for b, why in zip(blocks, whys, strict=True) if not why or why == {"header"} and b.heading]
-    blocks = [b for b, _ in both]
-    running = [b for b, why in both if not why and (b.linked <= 0.5 * len("".join(b.text.split())) or b.heading)]
+    blocks = [b for b in page.blocks if b.text]
+    out = set_apart(page, blocks)
+    why = [frozenset()]
+    for i in range(1, len(page.parent)):
+        outer = why[page.parent[i]]
+        why.append(outer | {out[i]} if i in out and out[i] not in outer else outer)
+    blocks = [b for b in blocks if not why[b.at] or why[b.at] == {"header"} and b.heading]
+    running = [b for b in blocks if not why[b.at] and (b.linked <= 0.5 * len("".join(b.text.split())) or b.heading)]
     paths = content_paths(running) if running else set()
     content = [b for b in running if b.path in paths] or running
     if not content:
         return ""
-    article, marked = article_of(parser, blocks, content)
+    article, marked = article_of(page, blocks, content)
     near = {b.around for b in content}
-    plain = {id(b) for b, why in both if why} | {id(b) for b in running}
-    kept = [b for b in blocks if (article is None or article in b.inside) and (marked or id(b) in plain or b.around in near)]
+    plain = {id(b) for b in blocks if why[b.at]} | {id(b) for b in running}
+    kept = [b for b in blocks if page.inside(b, article) and (marked or id(b) in plain or b.around in near)]
     return "\n\n".join(b.text for b in kept)
 
 

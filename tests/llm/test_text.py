@@ -211,3 +211,20 @@ def test_an_article_is_whole_however_long(n, outer):
     end = "<p><a href=/s>A linked paragraph</a></p><h2>Sources</h2><ul><li><a href=/1>One source</a></li><li><a href=/2>Two</a></li></ul>"
     page = f"<html><head><title>T</title><body><div class=x><ul><li><a href=/>Home</a><li><a href=/b>More</a></ul></div><{outer}><h1>Title</h1><p class=lead>The lead, of the text.</p><div class=body><p>{long}</p>{end}</div></{outer}>"
     assert html_text.main_text(page) == "\n\n".join(["Title", "The lead, of the text.", long.strip(), "A linked paragraph", "Sources", "One source", "Two"])
+
+
+@pytest.mark.parametrize("many", ["<div>", "<div>x", "<p><div>x", "<ul><li>", "<b>", "<p><button><div>", "</p>", "<table><td><p>", "<b></div>"])
+def test_time_is_linear_in_the_page(many):
+    import time
+
+    begun = time.process_time()
+    html_text.main_text("<html><head><title>T</title><body><article><p>Some text.</p>" + many * 100_000)
+    assert time.process_time() - begun < 20  # quadratic: hours
+
+
+def test_comments_that_outweigh_the_article():
+    article = "<h1>Title</h1>" + "<p>A sentence, of the article. It is short.</p>" * 3
+    comment = "<div class='comment'><p>A comment, that goes on, and on; quite long, really. And so on, for a while.</p></div>"
+    for wrap in ("<article>{}</article>", "<main>{}</main>", "<div class=story>{}</div>"):
+        page = f"<html><body><nav><a href=/>Home</a></nav>{wrap.format(article)}<section id=comments><h3>Comments</h3>{comment * 30}</section></body></html>"
+        assert html_text.main_text(page) == "\n\n".join(["Title", *["A sentence, of the article. It is short."] * 3])
