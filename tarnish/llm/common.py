@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tarnish.session import shared_dir
+
 #: White space between words, and a word.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
-DEFAULT_SHARED_DIR = "/tmp/checkpoints"
+_written: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,14 +54,15 @@ class Scratch:
     """Tables written once to the folder that driver and executors share.
 
     Writing cuts lineage: a lost executor costs a re-read, never a re-run with
-    another row order. `drop` removes a table nothing reads any more.
+    another row order. `drop` removes a table nothing reads any more; an
+    operator's result still reads some, so its caller drops those, with
+    `cleared`, when the result is written.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        conf = spark.sparkContext.getConf()
-        shared = conf.get("spark.checkpoint.dir", None) or DEFAULT_SHARED_DIR
-        self.dir = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        self.dir = shared_dir(spark, name)
+        _written.append(self.dir)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.dir}/{name}"
@@ -66,8 +70,24 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.dir}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        removed(self.spark, f"{self.dir}/{name}")
+
+
+def removed(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def cleared(spark: SparkSession) -> Iterator[None]:
+    """Removes the tables that operators called within have written, once it is left."""
+    before = len(_written)
+    try:
+        yield
+    finally:
+        for folder in _written[before:]:
+            removed(spark, folder)
+        del _written[before:]
 
 
 def ranked(df: DataFrame, by: list[str], order: list[str | Column], scratch: Scratch, name: str, partitions: int | None = None) -> DataFrame:
@@ -76,13 +96,15 @@ def ranked(df: DataFrame, by: list[str], order: list[str | Column], scratch: Scr
     No key is gathered in one task: rows are range-partitioned on key and order,
     numbered inside their partition, and a table of one row per key and
     partition carries the offsets. `by` columns must not hold null. Rows equal
-    in `by` and `order` are numbered in any order.
+    in `by` and `order` are numbered in any order, and can be parted by their
+    place in the input.
     """
     spark = df.sparkSession
+    df = df.withColumn("_tie", F.monotonically_increasing_id())
     n = partitions or shuffle_partitions(spark)
-    keys = [F.col(c) for c in by] + [F.col(c) if isinstance(c, str) else c for c in order]
+    keys = [F.col(c) for c in by] + [F.col(c) if isinstance(c, str) else c for c in order] + [F.col("_tie")]
     placed = scratch.save(
-        df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()),
+        df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).drop("_tie").withColumn("_at", F.monotonically_increasing_id()),
         name,
     ).withColumn("_part", F.shiftright("_at", 33))
     before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

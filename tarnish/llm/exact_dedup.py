@@ -1,10 +1,10 @@
 """Exact dedup by content sort, DataFrame functions only.
 
-Sampled splitters range-partition the rows on the head of the normalised text
-and a 64-bit hash of all of it, an external sort places equal texts side by
-side, and each row is compared in full with its neighbour. Texts with more than
-one row in `HOT_SHARE` of the table are dealt over `SALTS` ranges first, and
-their few local groups merged by full text afterwards.
+Sampled splitters range-partition the rows on the first bytes of the normalised
+text, ties among these broken by a hash of all of it; an external sort places
+equal texts side by side, and each row is compared in full with its neighbour.
+Groups that would fill a good part of a partition are dealt over several ranges
+first, and their few local groups merged by full text afterwards.
 """
 
 from __future__ import annotations
@@ -12,13 +12,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, Scratch, filled, shuffle_partitions
+from .common import SPACE, Scratch, filled, restored, shuffle_partitions
 
-#: A text is hot if it holds more than one row in this many; so at most this many are.
-HOT_SHARE = 1000
-SALTS = 64
-#: Code points of the text in the range key; keeps the sampled splitters small.
-HEAD = 24
+#: Equal texts are hot from so many bytes together, and from this part of a partition; so at most `partitions / HOT_PART` groups are.
+HOT_BYTES, HOT_PART = 64 << 20, 0.25
+#: A row counts for so many bytes besides its text.
+ROW_BYTES = 64
+#: Bytes of the text in the range key.
+HEAD = 64
 
 
 def normalised(text: str):
@@ -38,15 +39,20 @@ def exact_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id", ca
     spark = docs.sparkSession
     added = ["keep_id", "group_size", "kept", "text_sha256"]
     carried = [c for c in (docs.columns if carry is None else carry) if c not in added]
+    scratch = Scratch(spark, "exact-dedup")
     source = docs.select(F.struct(*[docs[c] for c in carried]).alias("_x_row"), docs[id_col].alias("_x_id"), docs[text].alias("_x_raw"))
     rows = source.withColumn("_x_hash", F.xxhash64(normalised("_x_raw")))
-    # At most HOT_SHARE keys by construction, so the list has a fixed bound.
-    counts = rows.groupBy("_x_hash").agg(F.count(F.lit(1)).alias("n"))
-    least = F.greatest(F.lit(docs.count()), F.lit(100 * HOT_SHARE))
-    hot = [r["_x_hash"] for r in counts.where(F.col("n") * HOT_SHARE > least).collect()]
-    salt = F.when(F.col("_x_hash").isin(hot), F.pmod(F.xxhash64("_x_id"), F.lit(SALTS)).cast("int")) if hot else F.lit(None).cast("int")
+    counts = scratch.save(rows.groupBy("_x_hash").agg(F.sum(F.octet_length(filled("_x_raw")) + F.lit(ROW_BYTES)).alias("_x_bytes")), "counts")
+    total = counts.agg(F.sum("_x_bytes")).first()[0] or 0
+    part = max(HOT_BYTES, HOT_PART * total / shuffle_partitions(spark))
+    groups = scratch.save(counts.where(F.col("_x_bytes") > part).select("_x_hash", F.ceil(F.col("_x_bytes") / part).alias("_x_salts")), "hot")
+    hot = not groups.isEmpty()
+    # Dealt by place in the input: ids may be null or repeated.
+    salt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("_x_salts")).cast("int") if hot else F.lit(None).cast("int")
+    if hot:
+        rows = rows.join(groups, "_x_hash", "left")
     keys = ["_x_head", "_x_hash", "_x_salt"]
-    rows = rows.withColumns({"_x_head": F.substring(normalised("_x_raw"), 1, HEAD), "_x_salt": salt}).repartitionByRange(shuffle_partitions(spark), *keys)
+    rows = rows.withColumns({"_x_head": F.substring(normalised("_x_raw").cast("binary"), 1, HEAD), "_x_salt": salt}).repartitionByRange(shuffle_partitions(spark), *keys)
     # Normalised again after the shuffle, so that each text crosses it once.
     rows = rows.withColumn("_x_text", normalised("_x_raw")).drop("_x_raw")
     sorted_ = Window.partitionBy(*keys).orderBy("_x_text", F.asc_nulls_last("_x_id"))
@@ -56,8 +62,8 @@ def exact_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id", ca
     if not hot:
         return rows.select("_x_row.*", *added)
     head_text = F.when(F.col("kept") & F.col("_x_salt").isNotNull(), F.col("_x_text")).alias("_x_text")
-    local = Scratch(spark, "exact-dedup").save(rows.select("_x_row", *keys, *added, head_text), "local")
-    # One row per hot text and salt: at most HOT_SHARE * SALTS, but for hash collisions.
+    local = scratch.save(rows.select("_x_row", *keys, *added, head_text), "local")
+    # One row per hot text and salt: about as many as bytes of hot texts fill parts.
     same = Window.partitionBy("_x_hash", "_x_text")
     merged = local.where("kept and _x_salt is not null").select(
         "_x_hash", "_x_salt", "text_sha256", F.min("keep_id").over(same).alias("_x_keep"), F.sum("group_size").over(same).alias("_x_size"),
@@ -69,5 +75,6 @@ def exact_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id", ca
 
 
 def drop_copies(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Rows of `docs` that stay, with its own columns; see `exact_groups`."""
-    return exact_groups(docs, text, id_col).where("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Rows of `docs` that stay, with its own columns, whatever their names; see `exact_groups`."""
+    rows = docs.select(docs[id_col].alias("_x_id"), docs[text].alias("_x_text"), F.struct(*[docs[c] for c in docs.columns]).alias("_x_whole"))
+    return restored(exact_groups(rows, "_x_text", "_x_id", carry=["_x_whole"]).where("kept"), "_x_whole", docs)

@@ -1,9 +1,11 @@
 """Mixing sources to target weights by systematic sampling.
 
 Every document of a source is expected target/size times. Documents of a source
-are put in order of size, their expected copies prefix-summed, one random offset
-added, and a document is emitted once per integer boundary its stretch crosses.
-Ordering by size keeps the words taken within about one document of the target.
+are put in order, their expected copies prefix-summed, one random offset added,
+and a document is emitted once per integer boundary its stretch crosses. The
+order decides how near the words taken come to the target: sizes rise over one
+half of a source, drawn by a hash of the id, and fall over the other, so what
+the offset adds on the way up it takes away on the way down.
 """
 
 from __future__ import annotations
@@ -13,9 +15,6 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, n_words, ranked
 
-#: Offsets tried per source; the one whose words come nearest the target is used.
-OFFSETS = 32
-
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), cap: float = 3.0) -> DataFrame:
     """Adds `target` to rows (source, source_size), one per source.
@@ -62,25 +61,18 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), cap: floa
         F.struct(*[docs[c] for c in carried]).alias("_row"), n_words(docs[text]).alias("_size"), docs[source].isNull().alias("_none"), F.coalesce(docs[source], F.lit("")).alias("_source"), docs[id_col].alias("_id"),
     )
     by = ["_none", "_source"]
-    placed = ranked(rows, by, ["_size", F.xxhash64("_id"), F.col("_id")], scratch, "order")
+    rising = F.pmod(F.xxhash64("_id", F.lit(seed)), F.lit(2)) == 0
+    placed = ranked(rows, by, [~rising, F.when(rising, F.col("_size")).otherwise(-F.col("_size")), F.xxhash64("_id"), F.col("_id")], scratch, "order")
     sizes = placed.groupBy(*by).agg(F.sum("_size").alias("source_size"), F.count(F.lit(1)).alias("_rows"))
     targets = source_targets(sizes.select(F.when(~F.col("_none"), F.col("_source")).alias("source"), "source_size"), weights, cap)
     targets = targets.select(F.col("source").isNull().alias("_none"), F.coalesce("source", F.lit("")).alias("_source"), "source_size", "target")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("_rate")
     targets = scratch.save(targets.select(*by, "source_size", "target", rate), "targets")
 
-    def copies(offset):
-        return F.floor(offset + F.col("_rate") * (F.col("_rank") + 1)) - F.floor(offset + F.col("_rate") * F.col("_rank"))
-
-    def offset(k):
-        # Multiples of 2^-20 keep whole rates exact.
-        return (F.pmod(F.xxhash64("_source", F.lit(seed), F.lit(k)), F.lit(2**20 // OFFSETS)) + F.lit(k * (2**20 // OFFSETS))) / F.lit(float(2**20))
-
-    tried = placed.join(targets, by).groupBy(*by).agg(F.first("target").alias("_t"), *[F.sum(copies(offset(k)) * F.col("_size")).alias(f"_t{k}") for k in range(OFFSETS)])
-    best = F.array_min(F.array(*[F.struct(F.abs(F.col(f"_t{k}") - F.col("_t")).alias("miss"), offset(k).alias("offset")) for k in range(OFFSETS)]))
-    chosen = tried.select(*by, best["offset"].alias("_offset"))
-    targets = scratch.save(targets.join(chosen, by), "chosen")
-    out = placed.join(targets, by).withColumn("copies", copies(F.col("_offset")).cast("int"))
+    # Multiples of 2^-20 keep whole rates exact.
+    offset = F.pmod(F.xxhash64("_none", "_source", F.lit(seed)), F.lit(2**20)) / F.lit(float(2**20))
+    upto = lambda n: F.floor(offset + F.col("_rate") * n)
+    out = placed.join(targets, by).withColumn("copies", (upto(F.col("_rank") + 1) - upto(F.col("_rank"))).cast("int"))
     return out.select("_row.*", F.col("_size").alias("size"), "source_size", "target", "copies", (F.col("copies") * F.col("_size")).alias("taken"))
 
 

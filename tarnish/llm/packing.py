@@ -307,9 +307,14 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1,
     themselves, sequence_id (from 0) and offset (gapless from 0 in a sequence).
     Only id and text are read. Null text counts as empty and is packed as
     `end_id` alone; repeated or null ids are ordinary documents; pieces equal in
-    all columns share their places in any order. An empty table gives no rows.
+    all columns share their places in any order. An id column of the name of
+    another column of the result comes back with `_id` added. An empty table
+    gives no rows.
     """
     spark = docs.sparkSession
+    if id_col in ("piece", "start", "length", "ids_crc32", "ids", "sequence_id", "offset"):
+        docs, id_col = docs.select(docs[id_col].alias(f"{id_col}_id"), docs[text].alias("_text")), f"{id_col}_id"
+        text = "_text"
     bounded_batches(spark)
     scratch = Scratch(spark, "packing")
     cut = scratch.save(pieces(docs, tokenizer, capacity, end_id, text, id_col, with_ids), "pieces")

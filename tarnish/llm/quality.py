@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, filled, words
+from .common import Scratch, filled, restored, words
 
 #: Words in a block: distinct words are counted in each, so that their share doesn't fall with a text's length.
 DISTINCT_BLOCK = 2000
@@ -39,8 +39,9 @@ RULES: dict[str, tuple[tuple[float | None, float | None], tuple[float | None, fl
     "word_length": ((2.0, 14.0), (3.0, 10.0)),
     "stop_share": ((0.05, None), (0.12, None)),
     "distinct_share": ((0.2, None), (0.4, None)),
-    "n_words": ((50, None), (50, None)),
 }
+#: Pseudo-counts of votes by class: a rule is mostly right on good texts, and tells little of bad ones.
+EXPECTED = {1: {1: 9.0, -1: 1.0}, 0: {1: 5.0, -1: 5.0}}
 
 
 def figures(df: DataFrame, text: str) -> DataFrame:
@@ -81,9 +82,12 @@ def vote(name: str) -> Column:
 def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 100, tolerance: float = 1e-9) -> tuple[float, list[dict[int, dict[int, float]]]]:
     """Prior of good, and rates[rule][class][vote], from vote patterns and counts.
 
-    Starts from texts with no bad vote as probably good, each bad vote making
-    that less likely; rates are smoothed by one pseudo-count a vote. Order of
-    the patterns doesn't matter.
+    What is made most likely are the votes given which rules vote: an
+    abstention says nothing, in the rates as in the posterior. Starts from texts
+    with no bad vote as probably good, each bad vote making that less likely.
+    Pseudo-counts (`EXPECTED`) say what a rule is expected to do, so that a
+    table of few rows tells good from bad as well. Order of the patterns doesn't
+    matter.
     """
     patterns = sorted(patterns)
     n_rules = len(patterns[0][0]) if patterns else 0
@@ -92,13 +96,14 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 100, tol
     for _ in range(rounds):
         total = sum(n for _, n in patterns)
         mass = sum(g * n for g, (_, n) in zip(good, patterns, strict=True))
-        prior = (mass + 1) / (total + 2)
+        prior = (mass + 5) / (total + 10)
         rates = []
         for r in range(n_rules):
-            counts = {c: {v: 1.0 for v in (-1, 0, 1)} for c in (0, 1)}
+            counts = {c: dict(by) for c, by in EXPECTED.items()}
             for g, (p, n) in zip(good, patterns, strict=True):
-                counts[1][p[r]] += g * n
-                counts[0][p[r]] += (1 - g) * n
+                if p[r]:
+                    counts[1][p[r]] += g * n
+                    counts[0][p[r]] += (1 - g) * n
             rates.append({c: {v: x / sum(by.values()) for v, x in by.items()} for c, by in counts.items()})
         good = [1 / (1 + math.exp(min(700, -log_odds(p, prior, rates)))) for p, _ in patterns]
         if before is not None and max((abs(a - b) for a, b in zip(good, before, strict=True)), default=0) < tolerance:
@@ -112,6 +117,12 @@ def log_odds(pattern: tuple[int, ...], prior: float, rates: list[dict[int, dict[
     return math.log(prior / (1 - prior)) + sum(math.log(r[1][v] / r[0][v]) for v, r in zip(pattern, rates, strict=True) if v)
 
 
+def drop_rejected(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
+    """Rows of `docs` that are kept, with its own columns, whatever their names; see `score`."""
+    rows = docs.select(docs[text].alias("_q_text"), F.struct(*[docs[c] for c in docs.columns]).alias("_q_whole"))
+    return restored(score(rows, "_q_text", threshold, carry=["_q_whole"]).where("kept"), "_q_whole", docs)
+
+
 def score(docs: DataFrame, text: str = "text", threshold: float = 0.5, carry: list[str] | None = None) -> DataFrame:
     """One row per row of `docs` with the columns of `carry` (all by default).
 

@@ -1,10 +1,11 @@
 """Secret scans over a trigram inverted index, DataFrame functions only.
 
 From each rule's regex a Boolean query over trigrams is derived: alternatives,
-each a set of trigrams that all must occur. The index holds, for each trigram
-that some query names, the documents whose case-folded text has it; postings of
-a query's trigrams are intersected, and only the documents left are matched
-against the regex. Rules without a mandatory trigram are matched on every text.
+each a set of trigrams that all must occur. The index holds, keyed by trigram,
+the digests of the texts that have it, case-folded; it has only trigrams that
+some query names. The postings of each alternative's trigrams are intersected,
+and only texts in some intersection are matched against the regex. Rules without
+a mandatory trigram are matched on every text, in the pass that makes the index.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import filled
+from .common import Scratch, filled
 
 
 @dataclass(frozen=True)
@@ -42,20 +43,23 @@ MORE_RULES = (
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
-    Rule("url_password", r"[a-z][a-z0-9+.-]{2,31}://[^\s:/@]{1,64}:[^\s:/@]{6,128}@"),
+    # Begins only where a run of scheme characters does: so the time stays linear, and no part needs a bound.
+    Rule("url_password", r"(?<![a-z0-9+.-])[a-z][a-z0-9+.-]{2,}://[^\s:/@]+:[^\s:/@]{6,}@"),
 )
 #: A class of so few characters is spelled out; with more ways than this through a regex, a stretch ends.
 SMALL_CLASS, MOST_WAYS = 6, 16
+#: Trigrams of an alternative that go into the index: the rarest, by how seldom their characters are in text.
+GRAMS, OFTEN = 2, "etaoinshrdlucmfwypvbgkqjxz"
 
 
 def trigram_query(regex: str) -> list[frozenset[str]] | None:
     """Alternatives of trigrams a match must hold, in lower case; None: no such trigrams."""
     out = []
     for strings in _mandatory(re._parser.parse(regex)):
-        grams = frozenset(s[i : i + 3].lower() for s in strings for i in range(len(s) - 2))
+        grams = {s[i : i + 3].lower() for s in strings for i in range(len(s) - 2)}
         if not grams:
             return None
-        out.append(grams)
+        out.append(frozenset(sorted(grams, key=lambda g: (-sum(OFTEN.index(c) if c in OFTEN else len(OFTEN) for c in g), g))[:GRAMS]))
     return out
 
 
@@ -83,6 +87,11 @@ def _joined(ways: list[list[str]], more: list[list[str]]) -> list[list[str]]:
     return [[*a[:-1], a[-1] + b[0], *b[1:]] for a in ways for b in more]
 
 
+def none() -> Column:
+    """No spans."""
+    return F.array().cast("array<struct<start:int,kind:int,end:int,name:string>>")
+
+
 def matches(text: Column, rule: Rule) -> Column:
     """Spans (start, end, kind) of a rule in a text: code points, end exclusive.
 
@@ -92,33 +101,31 @@ def matches(text: Column, rule: Rule) -> Column:
     between, whole = F.split(text, rule.regex), F.regexp_extract_all(text, F.lit(rule.regex), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(rule.regex), F.lit(rule.group)) if rule.group else whole
     lengths = F.zip_with(F.slice(between, F.lit(1), F.size(whole)), F.arrays_zip(whole.alias("whole"), value.alias("value")), lambda b, m: F.struct(F.length(b).alias("gap"), F.length(m["whole"]).alias("n"), F.length(m["value"]).alias("v")))
-    none = F.array().cast("array<struct<start:int,kind:int,end:int,name:string>>")
 
     def step(acc, x):
         start = acc["at"] + x["gap"]
         span = F.struct(start.alias("start"), F.lit(KINDS[rule.kind]).alias("kind"), (start + x["n"]).alias("end"), F.lit(rule.kind).alias("name"))
         return F.struct((start + x["n"]).alias("at"), F.when(x["v"] >= rule.least, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
 
-    found = F.aggregate(lengths, F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda acc: acc["spans"])
-    return F.when(text.rlike(rule.regex), found).otherwise(none)
+    found = F.aggregate(lengths, F.struct(F.lit(0).alias("at"), none().alias("spans")), step, lambda acc: acc["spans"])
+    return F.when(text.rlike(rule.regex), found).otherwise(none())
 
 
 KINDS = {r.kind: i for i, r in enumerate((*BASE_RULES, *MORE_RULES))}
 
 
-def postings(docs: DataFrame, key: list[str], text: str, grams: list[str]) -> DataFrame:
-    """The inverted index: (gram, key) for each of `grams` in a case-folded text."""
-    folded = F.lower(F.col(text))
-    held = F.array_compact(F.array(*[F.when(F.contains(folded, F.lit(g)), F.lit(g)) for g in grams]))
-    return docs.select(*key, F.explode(held).alias("gram"))
+def held_grams(folded: Column, grams: list[str]) -> Column:
+    """Which of `grams` a case-folded text has."""
+    return F.array_compact(F.array(*[F.when(F.contains(folded, F.lit(g)), F.lit(g)) for g in grams]))
 
 
-def candidates(index: DataFrame, key: list[str], queries: dict[str, list[frozenset[str]]]) -> DataFrame:
-    """(key, kinds): the rules some alternative of which has all its trigrams in the row's text."""
-    one = lambda kind, grams: F.when(F.forall(F.array(*[F.lit(g) for g in sorted(grams)]), lambda g: F.array_contains("_grams", g)), F.lit(kind))
-    held = index.groupBy(*key).agg(F.collect_set("gram").alias("_grams"))
-    kinds = F.array_distinct(F.array_compact(F.array(*[one(kind, grams) for kind, ways in queries.items() for grams in ways])))
-    return held.select(*key, kinds.alias("_kinds")).where(F.size("_kinds") > 0)
+def candidates(postings: DataFrame, queries: dict[str, list[frozenset[str]]]) -> DataFrame:
+    """(key, kinds): of postings (gram, key) intersected for each alternative, the rules that some alternative leaves a text to."""
+    named = [(gram, kind, k, len(grams)) for kind, ways in queries.items() for k, grams in enumerate(ways) for gram in sorted(grams)]
+    asked = postings.sparkSession.createDataFrame(named, "gram string, kind string, way int, asked int")
+    # As many rows as the rules have trigrams.
+    met = postings.join(F.broadcast(asked), "gram").groupBy("kind", "way", "key").agg(F.count(F.lit(1)).alias("n"), F.first("asked").alias("asked"))
+    return met.where("n = asked").groupBy("key").agg(F.collect_set("kind").alias("kinds"))
 
 
 def scan(docs: DataFrame, text: str = "text", id_col: str = "doc_id", rules: tuple[Rule, ...] = (*BASE_RULES, *MORE_RULES), carry: list[str] | None = None) -> DataFrame:
@@ -127,19 +134,28 @@ def scan(docs: DataFrame, text: str = "text", id_col: str = "doc_id", rules: tup
     Adds spans: array of (start, kind, end, name) sorted by start, then rule
     order; code points, end exclusive. A column `spans` of `docs` is replaced.
     Matches of one rule don't overlap; those of several may. Null text counts
-    as empty; null or repeated ids are ordinary rows (the index is keyed by id
-    and a hash of the text). An empty table gives no rows.
+    as empty; null or repeated ids are ordinary rows (texts are told apart by
+    their SHA-256 digest). An empty table gives no rows.
     """
+    scratch = Scratch(docs.sparkSession, "secrets")
     carried = [c for c in (docs.columns if carry is None else carry) if c != "spans"]
-    rows = docs.select(F.struct(*[docs[c] for c in carried]).alias("_row"), filled(docs[text]).alias("_text"), docs[id_col].alias("_id"))
-    rows = rows.withColumn("_hash", F.xxhash64("_text"))
     asked = {r.kind: trigram_query(r.regex) for r in rules}
     queries = {k: q for k, q in asked.items() if q is not None}
-    index = postings(rows, ["_id", "_hash"], "_text", sorted({g for q in queries.values() for way in q for g in way}))
-    hits = candidates(index, ["_id", "_hash"], queries).select(F.col("_id").alias("_hit_id"), F.col("_hash").alias("_hit_hash"), "_kinds")
-    rows = rows.join(hits, (F.col("_hash") == F.col("_hit_hash")) & F.col("_id").eqNullSafe(F.col("_hit_id")), "left")
-    found = [matches(F.col("_text"), r) if asked[r.kind] is None else F.when(F.array_contains("_kinds", r.kind), matches(F.col("_text"), r)) for r in rules]
-    return rows.select("_row.*", F.sort_array(F.flatten(F.array_compact(F.array(*found)))).alias("spans"))
+    grams = sorted({g for q in queries.values() for way in q for g in way})
+    digest = F.unhex(F.sha2(filled(docs[text]), 256))
+    every = [matches(F.col("_text"), r) for r in rules if asked[r.kind] is None]
+    # Folded once, in a projection of its own; one pass over the texts gives index and full scans.
+    read = docs.select(F.struct(*[docs[c] for c in carried]).alias("_row"), digest.alias("_key"), filled(docs[text]).alias("_text"), F.lower(filled(docs[text])).alias("_folded"))
+    rows = scratch.save(read.select("_row", "_key", held_grams(F.col("_folded"), grams).alias("_grams"), (F.flatten(F.array(*every)) if every else none()).alias("_every")), "rows")
+    postings = rows.select(F.explode("_grams").alias("gram"), F.col("_key").alias("key")).distinct()
+    left = scratch.save(candidates(postings, queries), "candidates")
+    # Texts of candidates only. How they are joined is left to Spark's size check.
+    texts = docs.select(digest.alias("key"), filled(docs[text]).alias("_text")).join(left, "key")
+    found = [F.when(F.array_contains("kinds", r.kind), matches(F.col("_text"), r)) for r in rules if asked[r.kind] is not None]
+    verified = texts.select(F.col("key").alias("_key"), (F.flatten(F.array_compact(F.array(*found))) if found else none()).alias("_verified")).where(F.size("_verified") > 0)
+    verified = scratch.save(verified.groupBy("_key").agg(F.first("_verified").alias("_verified")), "verified")
+    whole = rows.drop("_grams").join(verified, "_key", "left")
+    return whole.select("_row.*", F.sort_array(F.concat("_every", F.coalesce("_verified", none()))).alias("spans"))
 
 
 def joined(spans: Column, kinds: tuple[str, ...] | None = None) -> Column:

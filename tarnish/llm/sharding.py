@@ -9,6 +9,7 @@ product of its vector with the residual capacity is highest. Only those at most
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,15 +22,17 @@ DIMENSIONS = ("bytes", "tokens", "rows")
 
 
 def place(vectors: list[tuple[tuple, tuple[float, ...]]], shards: int) -> dict:
-    """Shard of each (key, vector); ties go to the lower shard."""
-    totals = [max(sum(v[d] for _, v in vectors), 1) for d in range(len(DIMENSIONS))]
-    scaled = sorted(((k, [x * shards / t for x, t in zip(v, totals, strict=True)]) for k, v in vectors), key=lambda kv: (-max(kv[1]), -sum(kv[1]), kv[0]))
-    residual = [[1.0] * len(DIMENSIONS) for _ in range(shards)]
-    out = {}
-    for key, v in scaled:
-        best = max(range(shards), key=lambda s: (sum(a * b for a, b in zip(v, residual[s], strict=True)), -s))
-        out[key] = best
-        residual[best] = [r - x for r, x in zip(residual[best], v, strict=True)]
+    """Shard of each (key, vector), largest first; ties go to the lower shard. Takes vectors * shards steps, in numpy."""
+    if not vectors:
+        return {}
+    sizes = np.array([v for _, v in vectors], float)
+    sizes *= shards / np.maximum(sizes.sum(axis=0), 1)
+    order = sorted(range(len(vectors)), key=lambda i: (-sizes[i].max(), -sizes[i].sum(), vectors[i][0]))
+    residual, out = np.ones((shards, len(DIMENSIONS))), {}
+    for i in order:
+        best = int(np.argmax(residual @ sizes[i]))
+        out[vectors[i][0]] = best
+        residual[best] -= sizes[i]
     return out
 
 
@@ -39,8 +42,8 @@ def shard(docs: DataFrame, shards: int = 40, text: str = "text", id_col: str = "
     Adds size (UTF-8 bytes plus `overhead`), tokens (words), text_crc32, shard
     and slot (long, gapless from 0 in each shard), replacing columns of these
     names. Equal texts share a shard unless their group alone exceeds a
-    shard's capacity in some dimension; such a group is cut by a hash of the id
-    into parts of about half a capacity. Null text counts as empty; null or
+    shard's capacity in some dimension; such a group is cut by its rows' places
+    in the input into parts of about half a capacity. Null text counts as empty; null or
     repeated ids are ordinary rows. An empty table gives no rows.
     """
     spark = docs.sparkSession
@@ -50,7 +53,7 @@ def shard(docs: DataFrame, shards: int = 40, text: str = "text", id_col: str = "
     t = filled(docs[text])
     rows = scratch.save(
         docs.select(
-            F.struct(*[docs[c] for c in carried]).alias("_row"), docs[id_col].alias("_id"), (F.octet_length(t) + overhead).cast("long").alias("size"),
+            F.struct(*[docs[c] for c in carried]).alias("_row"), docs[id_col].alias("_id"), F.monotonically_increasing_id().alias("_at"), (F.octet_length(t) + overhead).cast("long").alias("size"),
             n_words(docs[text]).alias("tokens"), F.crc32(t.cast("binary")).alias("text_crc32"), F.unhex(F.sha2(t, 256)).alias("_group"),
         ),
         "rows",
@@ -69,7 +72,7 @@ def shard(docs: DataFrame, shards: int = 40, text: str = "text", id_col: str = "
     n_bundles = shards * BUNDLES
     bundle = F.pmod(F.xxhash64("_group"), F.lit(n_bundles)).cast("int")
     keyed = rows.join(F.broadcast(parts), "_group", "left").withColumns(
-        {"_bundle": F.when(F.col("_parts").isNull(), bundle).otherwise(-1), "_part": F.when(F.col("_parts") > 1, F.pmod(F.xxhash64("_id", F.lit(1)), F.col("_parts")).cast("int")).otherwise(0)}
+        {"_bundle": F.when(F.col("_parts").isNull(), bundle).otherwise(-1), "_part": F.when(F.col("_parts") > 1, F.pmod(F.xxhash64("_at"), F.col("_parts")).cast("int")).otherwise(0)}
     )
     single = keyed.where("_bundle < 0").groupBy("_group", "_part").agg(*sums).collect()
     bundled = keyed.where("_bundle >= 0").groupBy("_bundle").agg(*sums).collect()

@@ -46,11 +46,15 @@ def fingerprint(text: str, width: int = 3, step: int = 1 << 16) -> int:
         return 0
     shingles = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False)) if len(words) >= width else iter([b" ".join(words)])
     n = max(1, len(words) - width + 1)
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, n)
+    return majority(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, n), step)
+
+
+def majority(hashes: np.ndarray, step: int = 1 << 16) -> int:
+    """The bits set in over half of the hashes."""
     set_ = np.zeros(64, np.int64)
-    for at in range(0, n, step):
+    for at in range(0, len(hashes), step):
         set_ += np.unpackbits(hashes[at : at + step].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * set_ > n, bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(2 * set_ > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
 def fingerprints(docs: DataFrame, text: str = "text", width: int = 3) -> DataFrame:
@@ -164,6 +168,13 @@ def unite(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             root[:] = flat
 
 
+def further(keys: np.ndarray, mask: int, value: np.ndarray) -> np.ndarray:
+    """Keys for what stands under a key at a value of a mask. Two that are equal by chance make one larger shard."""
+    h = (keys ^ np.uint64(mask)) * np.uint64(0x9E3779B97F4A7C15) + value * np.uint64(0xC2B2AE3D27D4EB4F)
+    h = (h ^ h >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ h >> np.uint64(29)
+
+
 def sharded(distinct: DataFrame, reach: int, scratch: Scratch, sample: int = SAMPLE, shard: int = SHARD, most: int = MOST) -> DataFrame:
     """Rows (key, mask, free, fp), a few for each distinct `fp`: those of a key make up a shard of at most about `most`.
 
@@ -175,32 +186,27 @@ def sharded(distinct: DataFrame, reach: int, scratch: Scratch, sample: int = SAM
     taken = distinct.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < int(min(1.0, sample / max(total, 1)) * (1 << 30)))
     points = np.sort(taken.select("fp").toPandas()["fp"].to_numpy(np.int64).view(np.uint64))  # about `sample` at most
     trees = spark.sparkContext.broadcast([(m, fit_tree(points, total, m, shard)) for m in parts(ALL, reach + 1)])
-    schema = "key binary, mask long, free long, fp long"
+    schema = "key long, mask long, free long, fp long"
+
+    def rows_of(keys: np.ndarray, mask: int, free: int, fps: np.ndarray) -> pa.RecordBatch:
+        same = lambda x: np.full(len(fps), x, np.uint64)
+        return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (keys, same(mask), same(free), fps)], names=["key", "mask", "free", "fp"])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = batch.column(0).to_numpy().view(np.uint64)
-            for k, (mask, nodes) in enumerate(trees.value):
-                keys = np.column_stack([np.full(len(fps), k), route(fps, nodes, mask)]).astype(np.int64)
-                yield rows_of(fps, keys, mask, ALL)
-
-    def rows_of(fps, keys, mask, free):
-        same = lambda x: pa.array(np.full(len(fps), x, np.uint64).view(np.int64))
-        return pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in keys], pa.binary()), same(mask), same(free), pa.array(fps.view(np.int64))], names=["key", "mask", "free", "fp"])
+            for mask, nodes in trees.value:
+                yield rows_of(further(np.zeros(len(fps), np.uint64), mask, route(fps, nodes, mask).astype(np.uint64)), mask, ALL, fps)
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows with a further key: the value of their mask; those of one value by the parts of what is free."""
         for batch in batches:
-            mask, free, fps = (batch.column(k).to_numpy().view(np.uint64) for k in (1, 2, 3))
+            key, mask, free, fps = (batch.column(k).to_numpy().view(np.uint64) for k in range(4))
             for m, f in {(int(m), int(f)) for m, f in zip(mask, free, strict=True)}:
                 own = (mask == m) & (free == f)
                 for part in [m] if f & m else parts(f, reach + 1):
-                    value = fps[own] & np.uint64(part)
-                    keys = np.column_stack([np.full(len(value), part, np.uint64), value])
-                    heads = batch.column(0).filter(pa.array(own)).to_pylist()
                     # What agrees on a part has it no longer free, and is next cut by what is.
-                    out = rows_of(fps[own], keys, part, f & ~part)
-                    yield out.set_column(0, "key", pa.array([h + k for h, k in zip(heads, out.column(0).to_pylist(), strict=True)], pa.binary()))
+                    yield rows_of(further(key[own], part, fps[own] & np.uint64(part)), part, f & ~part, fps[own])
 
     now, done, k = scratch.save(distinct.select("fp").mapInArrow(send, schema), "shards0"), None, 0
     while True:
@@ -212,16 +218,25 @@ def sharded(distinct: DataFrame, reach: int, scratch: Scratch, sample: int = SAM
         now = scratch.save(now.join(large, "key", "left_semi").select(*[c.split()[0] for c in schema.split(", ")]).mapInArrow(again, schema), f"shards{k}")
 
 
-def links(shards: DataFrame, reach: int) -> DataFrame:
-    """Edges (a, b) over the `fp` of shards that connect all that are within `reach`: a forest per shard."""
+def links(shards: DataFrame, reach: int, shard: int = SHARD) -> DataFrame:
+    """Edges (a, b) over the `fp` of shards that connect all that are within `reach`: a forest per shard.
+
+    A task takes shards together until they make up about `shard` rows.
+    """
 
     def meet(rows: pd.DataFrame) -> pd.DataFrame:
-        fps, mask, free = (rows[c].to_numpy().view(np.uint64) for c in ("fp", "mask", "free"))
-        root = linked(fps, int(mask[0]), int(free[0]), reach)
+        rows = rows.sort_values("key", ignore_index=True)
+        key, mask, free, fps = (rows[c].to_numpy().view(np.uint64) for c in ("key", "mask", "free", "fp"))
+        edges = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+        root = np.arange(len(fps))
+        for lo, hi in zip(edges, edges[1:], strict=False):
+            if hi - lo > 1:
+                root[lo:hi] = lo + linked(fps[lo:hi], int(mask[lo]), int(free[lo]), reach)
         tied = np.flatnonzero(root != np.arange(len(root)))
         return pd.DataFrame({"a": fps[tied].view(np.int64), "b": fps[root[tied]].view(np.int64)})
 
-    return shards.groupBy("key").applyInPandas(meet, "a long, b long")
+    groups = max(1, -(-shards.count() // shard))
+    return shards.withColumn("_group", F.pmod(F.xxhash64("key"), F.lit(groups))).groupBy("_group").applyInPandas(meet, "a long, b long")
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -285,8 +300,9 @@ def drop_near(docs: DataFrame, width: int = 3, reach: int = 2, text: str = "text
     """
     scratch = Scratch(docs.sparkSession, "near-rows")
     whole = F.struct(*[docs[c] for c in docs.columns])
-    rows = scratch.save(docs.select(docs[id_col].alias("_id"), docs[text].alias("_text"), whole.alias("_whole"), F.monotonically_increasing_id().alias("_at")), "rows")
-    groups = near_groups(rows.select("_id", "_text", F.xxhash64("_whole").alias("_order"), "_at"), width, reach, "_text", "_id", carry=["_id", "_order", "_at"])
+    rows = scratch.save(docs.select(whole.alias("_whole"), F.monotonically_increasing_id().alias("_at")), "rows")
+    row = F.col("_whole")
+    groups = near_groups(rows.select(row[id_col].alias("_id"), row[text].alias("_text"), F.xxhash64("_whole").alias("_order"), "_at"), width, reach, "_text", "_id", carry=["_id", "_order", "_at"])
     groups = scratch.save(groups.select("_id", "_order", "_at", "component_fp"), "groups")
     first = groups.groupBy("component_fp").agg(F.min(F.struct(F.col("_id").isNull().alias("nameless"), F.col("_id").alias("id"), F.col("_order").alias("order"), F.col("_at").alias("at"))).alias("first"))
     return restored(rows.join(first.select(F.col("first.at").alias("_at")).hint("merge"), "_at", "left_semi"), "_whole", docs)

@@ -23,9 +23,10 @@ def brute_groups(rows):
     return by
 
 
-@pytest.mark.parametrize("hot_share", [exact_dedup.HOT_SHARE, 1_000_000])
-def test_exact_groups(spark, docs, rows, monkeypatch, hot_share):
-    monkeypatch.setattr(exact_dedup, "HOT_SHARE", hot_share)
+@pytest.mark.parametrize(("hot_bytes", "hot_part"), [(exact_dedup.HOT_BYTES, exact_dedup.HOT_PART), (1, 0.0)])
+def test_exact_groups(spark, docs, rows, monkeypatch, hot_bytes, hot_part):
+    monkeypatch.setattr(exact_dedup, "HOT_BYTES", hot_bytes)
+    monkeypatch.setattr(exact_dedup, "HOT_PART", hot_part)
     got = exact_dedup.exact_groups(docs, carry=["doc_id", "text"]).collect()
     by = brute_groups(rows)
     assert len(got) == len(rows)
@@ -37,7 +38,8 @@ def test_exact_groups(spark, docs, rows, monkeypatch, hot_share):
 
 
 def test_exact_hot_groups_are_salted_and_merged(spark, monkeypatch):
-    monkeypatch.setattr(exact_dedup, "HOT_SHARE", 20)
+    monkeypatch.setattr(exact_dedup, "HOT_BYTES", 10_000)
+    monkeypatch.setattr(exact_dedup, "HOT_PART", 0.0)
     rows = [(i, "same text" if i % 3 else f"text {i}", "en", "s", 1) for i in range(6300)] + [(None, "same text", "en", "s", 1)]
     got = exact_dedup.exact_groups(spark.createDataFrame(rows, SCHEMA), carry=["doc_id"]).collect()
     hot = [r for r in got if r["group_size"] > 1]
@@ -50,10 +52,18 @@ def test_exact_nulls_and_clashing_columns(spark, empty):
     df = spark.createDataFrame([(*r, 9, "x") for r in rows], "doc_id long, text string, keep_id int, kept string")
     got = exact_dedup.exact_groups(df).collect()
     assert sorted((r["text"] or "", r["keep_id"], r["group_size"], r["kept"]) for r in got if r["kept"]) == [("", None, 2, True), ("a", 4, 3, True)]
-    assert exact_dedup.drop_copies(df).columns == df.columns
+    kept = exact_dedup.drop_copies(df)
+    assert kept.columns == df.columns and {(r["keep_id"], r["kept"]) for r in kept.collect()} == {(9, "x")}
     assert exact_dedup.exact_groups(empty).count() == 0
 
 
+def test_hot_rows_of_no_id_are_dealt_evenly(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "HOT_BYTES", 50_000)
+    df = spark.range(8000, numPartitions=4).select(F.lit(None).cast("long").alias("doc_id"), F.when(F.col("id") % 2 == 0, "same text").otherwise(F.concat(F.lit("text "), "id")).alias("text"))
+    got = exact_dedup.exact_groups(df, carry=["text"]).where("text = 'same text'").collect()
+    assert len(got) == 4000 and {(r["keep_id"], r["group_size"]) for r in got} == {(None, 4000)} and sum(r["kept"] for r in got) == 1
+
+
 def brute_fingerprint(text):
     w = words(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     shingles = [" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))] if w else []
@@ -132,8 +142,8 @@ def test_large_shards_are_cut_until_they_are_small(spark):
 
     fps = near_fingerprints(2)
     distinct = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
-    shards = simhash.sharded(distinct, 2, Scratch(spark, "test"), sample=300, shard=1500, most=100)
-    assert shards.groupBy("key").count().agg(F.max("count")).first()[0] <= 100
+    shards = simhash.sharded(distinct, 2, Scratch(spark, "test"), sample=300, shard=3000, most=700)
+    assert shards.groupBy("key").count().agg(F.max("count")).first()[0] <= 700
     at = {int(x): i for i, x in enumerate(fps.view(np.int64))}
     found = [(at[r["a"]], at[r["b"]]) for r in simhash.links(shards, 2).collect()]
     assert np.array_equal(united(len(fps), found), united(len(fps), links_of(fps, 2)))

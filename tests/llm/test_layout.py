@@ -54,6 +54,12 @@ def test_mix(spark, docs, rows, empty):
         taken[r["source"]] += r["taken"]
     for s in sizes:
         assert abs(taken[s] - targets[s]) <= max(len(words(r[1])) for r in rows if r[3] == s)
+    rate = {s: targets[s] / sizes[s] if sizes[s] else 0 for s in sizes}
+    by = defaultdict(int)
+    for r in got:
+        assert np.floor(rate[r["source"]] - 1e-9) <= r["copies"] <= np.ceil(rate[r["source"]] + 1e-9)
+        by[r["source"]] += r["copies"]
+    assert all(abs(by[s] - rate[s] * sum(r[3] == s for r in rows)) < 1 for s in sizes)
     again = mixing.mix(docs.repartition(5), carry=["doc_id", "source"]).collect()
     assert sorted(map(str, again)) == sorted(map(str, got))
     assert mixing.mix(empty).count() == 0
@@ -147,12 +153,57 @@ def test_shards(spark, docs, rows, empty):
     assert sharding.shard(empty).count() == 0
 
 
-def test_shards_stay_even_with_a_hot_group(spark):
-    df = spark.range(30_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "same old text").otherwise(F.concat(F.lit("text "), F.col("id"))).alias("text"))
+def plain_place(vectors, shards):
+    """The rule read plainly: largest first, to the shard with the highest dot product with what it has left."""
+    totals = [sum(v[d] for _, v in vectors) for d in range(3)]
+    left, out = [[1.0] * 3 for _ in range(shards)], {}
+    scaled = [(k, [x * shards / t for x, t in zip(v, totals, strict=True)]) for k, v in vectors]
+    for k, v in sorted(scaled, key=lambda kv: (-max(kv[1]), -sum(kv[1]), kv[0])):
+        out[k] = max(range(shards), key=lambda s: (round(sum(a * b for a, b in zip(v, left[s], strict=True)), 12), -s))
+        left[out[k]] = [a - b for a, b in zip(left[out[k]], v, strict=True)]
+    return out
+
+
+def test_groups_go_where_the_dot_product_is_highest():
+    rng = np.random.default_rng(5)
+    vectors = [((k,), tuple(float(x) for x in rng.lognormal(3, 1, 3))) for k in range(400)]
+    assert sharding.place(vectors, 7) == plain_place(vectors, 7) and sharding.place([], 7) == {}
+
+
+@pytest.mark.parametrize("ids", ["id", "cast(null as long)", "5L"])
+def test_shards_stay_even_with_a_hot_group(spark, ids):
+    df = spark.range(30_000).select(F.expr(ids).alias("doc_id"), F.when(F.col("id") % 3 == 0, "same old text").otherwise(F.concat(F.lit("text "), F.col("id"))).alias("text"))
     got = sharding.shard(df).groupBy("shard").agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect()
     assert len(got) == 40 and max(r["b"] for r in got) <= 1.03 * min(r["b"] for r in got)
 
 
+def test_an_id_column_of_a_clashing_name(spark):
+    df = spark.createDataFrame([(1, "a b"), (2, "c")], "piece long, text string")
+    assert sorted((r["piece_id"], r["piece"]) for r in packing.pack(df, TOKENIZER, id_col="piece").collect()) == [(1, 0), (2, 0)]
+
+
+def test_equal_rows_are_ranked_in_several_partitions(spark):
+    df = spark.range(4000, numPartitions=4).select(F.lit("k").alias("k"), F.lit(1).alias("v"))
+    got = ranked(df, ["k"], ["v"], Scratch(spark, "test"), "ranks", 4)
+    assert sorted(r["_rank"] for r in got.collect()) == list(range(4000))
+    assert got.groupBy(F.spark_partition_id()).count().count() > 1
+
+
+def test_rejected_documents_go_and_columns_stay(spark):
+    text = " ".join(("the", "of")[k % 2] if k % 4 == 0 else f"word{k * 7919 % 1999}" for k in range(300))
+    df = spark.createDataFrame([(1, text, "mine", 5), (2, "x", "mine", 5)], "doc_id long, text string, n_words string, kept int")
+    assert [tuple(r) for r in quality.drop_rejected(df).collect()] == [(1, text, "mine", 5)]
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from tarnish import session
+
+    monkeypatch.setattr(session, "on_one_machine", lambda spark: False)
+    if spark.conf.get("spark.checkpoint.dir", None) is None:
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            Scratch(spark, "test")
+
+
 def test_pipeline_stages(spark, tmp_path, docs):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     now = spark.read.parquet(f"{tmp_path}/documents.parquet")

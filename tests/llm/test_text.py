@@ -72,11 +72,27 @@ def base_spans(text):
     return sorted(out)
 
 
+def more_spans(text):
+    kinds = {r.kind: i for i, r in enumerate((*secret_scan.BASE_RULES, *secret_scan.MORE_RULES))}
+    return sorted((m.start(), kinds[r.kind], m.end(), r.kind) for r in secret_scan.MORE_RULES for m in re.finditer(r.regex, text or "", re.A))
+
+
+def test_urls_take_linear_time(spark):
+    import time
+
+    text = "a.b+" * 500_000 + " " + "http://" + "u" * 2_000_000 + " " + "x://y" * 200_000
+    begun = time.time()
+    assert secret_scan.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["spans"] == []
+    assert time.time() - begun < 60
+
+
 def secret_texts():
     key, low = "AKIA" + "Q" * 16, "0123456789abcdef" * 2
     return [
         f"🎈 token={low} and Secret: x, secret: token: abcdefgh", f"{key}{key} {key[:-1]}", f"api_key = 'a.b-c/d' APIKEY:\"{low}", "passwd:abcdef password==abc", None, "", low[:23] + " " + low,
         "gh" + "p_" + "a1B2" * 10, "x" * 3000 + f" token: {low}", "-----BEGIN " + "RSA PRIVATE KEY-----", "ftp://user:" + "hunter2x@host", f"ſecret={low}",
+        "s" * 40 + "://" + "u" * 90 + ":" + "hunter2x" * 40 + "@host", "9http://u:" + "hunter2x@host", "xox" + "b-" + "1234567890a", "sk" + "_live_" + "a1B2" * 5, "AI" + "za" + "a1B2_" * 7,
+        "eyJ" + "hbGciOiJI." + "eyJ" + "zdWIiOiIx." + "dozjgNryP4",
     ]
 
 
@@ -90,13 +106,16 @@ def test_secret_spans(spark):
     for t in texts:
         assert [s for s in found[t] if s[3] in base] == base_spans(t)
     more = {s[3] for spans in found.values() for s in spans} - base
-    assert more == {"github", "pem", "url_password"}
+    assert more == {"github", "pem", "url_password", "slack", "stripe", "google", "jwt"}
+    for t in texts:
+        assert [s for s in found[t] if s[3] not in base] == more_spans(t)
     assert secret_scan.scan(df.limit(0)).count() == 0
 
 
 def test_trigram_queries_hold_for_matches():
     assert secret_scan.trigram_query("[0-9a-f]{24,}") is None
     assert secret_scan.trigram_query("AKIA[A-Z0-9]+") == [frozenset({"aki", "kia"})]
+    assert secret_scan.trigram_query("password|to[kq]en") == [frozenset({"ssw", "swo"}), frozenset({"tok", "oke"}), frozenset({"toq", "oqe"})]
     for rule in (*secret_scan.BASE_RULES, *secret_scan.MORE_RULES):
         query = secret_scan.trigram_query(rule.regex)
         for text in filter(None, secret_texts()):
