@@ -179,21 +179,16 @@ def answers(sent: DataFrame, flagged: bool) -> DataFrame:
     """(chunk, list of bucket and bits): for each hash sent, whether it stands in two places (and, `flagged`, in a reference block)."""
 
     def meet(rows: pd.DataFrame) -> pd.DataFrame:
-        k1 = np.concatenate([np.frombuffer(x, np.uint32 if flagged else np.uint64) for x in rows["k1"]])
-        flags = np.concatenate([np.frombuffer(x, np.uint8) for x in rows["flags"]])
-        if flagged:
-            order = np.argsort(k1, kind="stable")
-            new = k1[order][1:] != k1[order][:-1]
-        else:
-            k2 = np.concatenate([np.frombuffer(x, np.uint64).reshape(-1, 2) for x in rows["k2"]])
-            order = np.lexsort((k2[:, 1], k2[:, 0], k1))
-            k1, k2 = k1[order], k2[order]
-            new = (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1]).any(axis=1)
+        width = 1 if flagged else DIGEST // 4
+        keys = np.frombuffer(b"".join(rows["keys"]), np.uint32).reshape(-1, width)
+        flags = np.frombuffer(b"".join(rows["flags"]), np.uint8)
+        order = np.lexsort(keys.T)
+        new = (np.diff(keys[order], axis=0) != 0).any(axis=1)
         group = np.concatenate(([0], np.cumsum(new)))
         twice = np.bincount(group, 1 + (flags[order] >> 1)) >= 2
         if flagged:
             twice &= np.bincount(group, flags[order] & 1) >= 1
-        found = np.empty(len(k1), bool)
+        found = np.empty(len(keys), bool)
         found[order] = twice[group]
         ends = np.cumsum([len(x) for x in rows["flags"]])
         bits = [np.packbits(found[a:b]).tobytes() for a, b in zip([0, *ends[:-1]], ends, strict=True)]
@@ -225,17 +220,17 @@ def remove_repeats(docs: DataFrame, width: int = 35, text: str = "text", id_col:
                 row = batch.select([c for c in batch.schema.names if c != "ids"]).slice(k, 1).to_pylist()[0]
                 yield row | ({"ids": batch["ids"][k].values} if "ids" in batch.schema.names else {})
 
-    def sent(chunk: int, keys: np.ndarray, k1: np.ndarray, k2: bytes, flags: np.ndarray) -> Iterator[pa.RecordBatch]:
-        held, bounds = buckets_of(keys, buckets)
-        spans = list(zip(bounds, bounds[1:], strict=False))
-        cut = lambda x: pa.array([x[a:b].tobytes() for a, b in spans], pa.binary())
-        digests = pa.array([k2[DIGEST * a : DIGEST * b] for a, b in spans], pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64()), pa.array([chunk] * len(held), pa.int64()), cut(k1), digests, cut(flags)], names=["bucket", "chunk", "k1", "k2", "flags"])
+    def sent(chunk: int, hashes: np.ndarray, keys: bytes, flags: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """For each distinct hash, in order, its key and flags, to the bucket of the hash."""
+        held, bounds = buckets_of(hashes, buckets)
+        cut = lambda x, n: pa.array([x[n * a : n * b] for a, b in zip(bounds, bounds[1:], strict=False)], pa.binary())
+        columns = [pa.array(held, pa.int64()), pa.array([chunk] * len(held), pa.int64()), cut(keys, len(keys) // max(len(hashes), 1)), cut(flags.tobytes(), 1)]
+        yield pa.RecordBatch.from_arrays(columns, names=["bucket", "chunk", "keys", "flags"])
 
     def probe(batches):
         for row in rows(batches):
             _, keys, _, flags = opened(row).anchors(block)
-            yield from sent(row["chunk"], keys, (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32), b"", flags)
+            yield from sent(row["chunk"], keys, (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), flags)
 
     def suspects(row, chunk):
         at, keys, which, _ = chunk.anchors(block)
@@ -246,7 +241,7 @@ def remove_repeats(docs: DataFrame, width: int = 35, text: str = "text", id_col:
             chunk = opened(row)
             _, keys, one, which = suspects(row, chunk)
             n = np.bincount(which, minlength=len(keys))
-            yield from sent(row["chunk"], keys, keys, chunk.digests(one, width), (2 * (n > 1)).astype(np.uint8))
+            yield from sent(row["chunk"], keys, chunk.digests(one, width), (2 * (n > 1)).astype(np.uint8))
 
     def clear(batches):
         for row in rows(batches):
@@ -267,7 +262,7 @@ def remove_repeats(docs: DataFrame, width: int = 35, text: str = "text", id_col:
 
     id_type = docs.schema[id_col].dataType
     span_kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-    keyed = "bucket long, chunk long, k1 binary, k2 binary, flags binary"
+    keyed = "bucket long, chunk long, keys binary, flags binary"
     hits = scratch.save(answers(chunks.select("chunk", "lengths", "body").mapInArrow(probe, keyed), True).withColumnRenamed("answers", "hits"), "hits")
     seen = chunks.select("chunk", "lengths", "body").join(hits, "chunk", "left")
     repeats = scratch.save(answers(seen.mapInArrow(extend, keyed), False).withColumnRenamed("answers", "repeats"), "repeats")

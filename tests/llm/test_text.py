@@ -115,7 +115,7 @@ def test_secret_spans(spark):
 def test_trigram_queries_hold_for_matches():
     assert secret_scan.trigram_query("[0-9a-f]{24,}") is None
     assert secret_scan.trigram_query("AKIA[A-Z0-9]+") == [frozenset({"aki", "kia"})]
-    assert secret_scan.trigram_query("password|to[kq]en") == [frozenset({"ssw", "swo"}), frozenset({"ken", "tok"}), frozenset({"qen", "toq"})]
+    assert secret_scan.trigram_query("password|to[kq]en") == [frozenset({"ssw", "wor"}), frozenset({"ken", "tok"}), frozenset({"qen", "toq"})]
     for rule in (*secret_scan.BASE_RULES, *secret_scan.MORE_RULES):
         query = secret_scan.trigram_query(rule.regex)
         for text in filter(None, secret_texts()):
