@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .common import SPACE, Scratch, filled, restored, shuffle_partitions
 
 #: Equal texts are hot from so many bytes together, and from this part of a partition; so at most `partitions / HOT_PART` groups are.
-HOT_BYTES, HOT_PART = 64 << 20, 0.25
+HOT_BYTES, HOT_PART = 256 << 10, 0.25
 #: A row counts for so many bytes besides its text.
 ROW_BYTES = 64
 #: Bytes of the text in the range key.
@@ -51,7 +51,8 @@ def exact_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id", ca
     salt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("_x_salts")).cast("int") if hot else F.lit(None).cast("int")
     if hot:
         rows = rows.join(groups, "_x_hash", "left")
-    keys = ["_x_head", "_x_hash", "_x_salt"]
+    # Without salts they are no key: a constant would cost the windows a shuffle of their own.
+    keys = ["_x_head", "_x_hash", "_x_salt"][: 3 if hot else 2]
     rows = rows.withColumns({"_x_head": F.substring(normalised("_x_raw").cast("binary"), 1, HEAD), "_x_salt": salt}).repartitionByRange(shuffle_partitions(spark), *keys)
     # Normalised again after the shuffle, so that each text crosses it once.
     rows = rows.withColumn("_x_text", normalised("_x_raw")).drop("_x_raw")

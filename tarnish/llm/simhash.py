@@ -128,31 +128,54 @@ def route(fps: np.ndarray, nodes: list[tuple[int, int, int, int]], mask: int) ->
     return out
 
 
-def linked(fps: np.ndarray, mask: int, free: int, reach: int) -> np.ndarray:
-    """For each of the distinct `fps` the index of one it is connected to (itself: none).
+def linked(fps: np.ndarray, mask: int, free: int, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of indices of the distinct `fps`, within reach, that connect all that are and agree on `mask`.
 
-    Two that are linked and agree on `mask` get one root. All agree on the bits
-    outside `free`. Vantage points cut by the distance on `mask`; what agrees on
-    all of it is cut by the parts of the other free bits.
+    All agree on the bits outside `free`. Where most are near one vantage point
+    they are tied to it, and only the others compared with all. Vantage points
+    cut the rest by the distance on `mask`; what agrees on all of it is cut by
+    the parts of the other free bits.
     """
-    root = np.arange(len(fps))
-    stack = [(np.arange(len(fps)), mask, free)]
+    root, found = np.arange(len(fps)), [(np.zeros(0, np.int64),) * 2]
+    stack = [(np.arange(len(fps)), np.arange(len(fps)), mask, free, True)]
     while stack:
-        index, mask, free = stack.pop()
-        if len(index) < 2:
+        own, every, mask, free, first = stack.pop()
+        if not len(own) or len(every) < 2:
             continue
-        if len(index) <= BLOCK:
-            i, j = np.nonzero(distance(fps[index, None], fps[None, index]) <= reach)
-            unite(root, index[i[i < j]], index[j[i < j]])
+        if len(own) * len(every) <= BLOCK * BLOCK:
+            i, j = np.nonzero(distance(fps[own, None], fps[None, every]) <= reach)
+            found.append(tied(root, own[i], every[j]))
             continue
-        d = distance(fps[index] & np.uint64(mask), fps[index[len(index) // 2]] & np.uint64(mask))
+        if first:
+            tried = own[:: -(-len(own) // 8)]
+            near = [distance(fps[own], fps[v]) <= reach for v in tried]
+            best = int(np.argmax([x.sum() for x in near]))
+            if 2 * near[best].sum() > len(own):
+                ball = own[near[best]]
+                found.append(tied(root, np.full(len(ball), tried[best]), ball))
+                stack.append((own[~near[best]], every, mask, free, False))
+                continue
+        bits, v = np.uint64(mask), fps[own[len(own) // 2]]
+        d, own_d = (distance(fps[x] & bits, v & bits) for x in (every, own))
         if d.max() == 0:  # the vantage point itself is at 0
             free &= ~mask
-            stack += [(index, part, free) for part in parts(free, reach + 1)]
+            stack += [(own, every, part, free, first) for part in parts(free, reach + 1)]
             continue
-        radius = min(int(np.median(d)), int(d.max()) - 1)
-        stack += [(index[d <= radius], mask, free), (index[d > radius], mask, free)]
-    return root
+        radius = min(int(np.median(own_d)), int(d.max()) - 1)
+        stack += [(own[own_d <= radius], every[d <= radius], mask, free, first), (own[own_d > radius], every[d > radius], mask, free, first)]
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def tied(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of links a[k], b[k] enough to connect what they connect and `root` doesn't yet; joins the sets in `root`."""
+    kept = [(a[:0], b[:0])]
+    while len(a):
+        apart = root[a] != root[b]
+        a, b = a[apart], b[apart]
+        one = np.unique(np.maximum(root[a], root[b]), return_index=True)[1]
+        kept.append((a[one], b[one]))
+        unite(root, a[one], b[one])
+    return tuple(np.concatenate(x) for x in zip(*kept, strict=True))
 
 
 def unite(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
@@ -219,7 +242,7 @@ def sharded(distinct: DataFrame, reach: int, scratch: Scratch, sample: int = SAM
 
 
 def links(shards: DataFrame, reach: int, shard: int = SHARD) -> DataFrame:
-    """Edges (a, b) over the `fp` of shards that connect all that are within `reach`: a forest per shard.
+    """Edges (a, b) over the `fp` of shards that are within `reach` and connect all that are: a forest per shard.
 
     A task takes shards together until they make up about `shard` rows.
     """
@@ -228,12 +251,9 @@ def links(shards: DataFrame, reach: int, shard: int = SHARD) -> DataFrame:
         rows = rows.sort_values("key", ignore_index=True)
         key, mask, free, fps = (rows[c].to_numpy().view(np.uint64) for c in ("key", "mask", "free", "fp"))
         edges = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
-        root = np.arange(len(fps))
-        for lo, hi in zip(edges, edges[1:], strict=False):
-            if hi - lo > 1:
-                root[lo:hi] = lo + linked(fps[lo:hi], int(mask[lo]), int(free[lo]), reach)
-        tied = np.flatnonzero(root != np.arange(len(root)))
-        return pd.DataFrame({"a": fps[tied].view(np.int64), "b": fps[root[tied]].view(np.int64)})
+        pairs = [(fps[lo:hi][i], fps[lo:hi][j]) for lo, hi in zip(edges, edges[1:], strict=False) if hi - lo > 1 for i, j in [linked(fps[lo:hi], int(mask[lo]), int(free[lo]), reach)]]
+        a, b = (np.concatenate([np.zeros(0, np.uint64), *x]) for x in (zip(*pairs, strict=True) if pairs else ((), ())))
+        return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
     groups = max(1, -(-shards.count() // shard))
     return shards.withColumn("_group", F.pmod(F.xxhash64("key"), F.lit(groups))).groupBy("_group").applyInPandas(meet, "a long, b long")

@@ -132,8 +132,8 @@ def test_vantage_shards_lose_no_link(reach):
         shard = simhash.route(fps, nodes, mask)
         for k in np.unique(shard):
             index = np.flatnonzero(shard == k)
-            root = simhash.linked(fps[index], mask, simhash.ALL, reach)
-            found += [(index[i], index[r]) for i, r in enumerate(root) if i != r]
+            found += [(index[i], index[j]) for i, j in zip(*simhash.linked(fps[index], mask, simhash.ALL, reach), strict=True)]
+    assert all(simhash.distance(fps[i], fps[j]) <= reach for i, j in found)
     assert np.array_equal(united(len(fps), found), united(len(fps), links_of(fps, reach)))
 
 
