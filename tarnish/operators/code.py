@@ -11,7 +11,7 @@ from tarnish.functions.scalar import package_of_specifier
 # Words of Python that name nothing.
 PY_KEYWORDS = (
     "False None True and as assert async await break class continue def del elif else except finally for from global if import in is lambda nonlocal not or pass raise "
-    "return try while with yield self cls print"
+    "return try while with yield self cls print len range str int float dict list set tuple type super isinstance Exception"
 ).split()
 
 

@@ -131,8 +131,11 @@ def first_findings(found: DataFrame, most: int = 100) -> DataFrame:
 
 def audit_tool_descriptions(tools: DataFrame) -> DataFrame:
     """Per server (server, name, description): findings in the descriptions and one hash over them, sorted by name."""
-    text = tools.select(F.concat_ws("/", "server", "name").alias("path"), F.lit("instructions").alias("surface"), F.coalesce("description", F.lit("")).alias("content"))
-    found = scan_text(text).groupBy(F.substring_index("path", "/", 1).alias("server")).agg(F.count(F.lit(1)).alias("findings"))
+    # Each description is a file of its own; its server is read back from before the first NUL, which no name holds.
+    part = lambda c: F.coalesce(F.col(c), F.lit(""))
+    own = F.concat_ws("\0", part("server"), part("name"), F.sha2(part("description"), 256))
+    text = tools.select(own.alias("path"), F.lit("instructions").alias("surface"), part("description").alias("content"))
+    found = scan_text(text).groupBy(F.substring_index("path", "\0", 1).alias("server")).agg(F.count(F.lit(1)).alias("findings"))
     pairs = F.sort_array(F.collect_list(F.struct(F.coalesce("name", F.lit("(unnamed)")).alias("n"), F.coalesce("description", F.lit("")).alias("d"))))
     joined = F.array_join(F.transform(pairs, lambda p: F.concat(p["n"], F.lit("\0"), p["d"])), "\0")
     hashed = tools.groupBy("server").agg(F.count(F.lit(1)).alias("tools"), F.sha2(joined, 256).alias("tools_hash"))

@@ -461,12 +461,12 @@ def vulnerabilities_applied(spark, d):
 @query("vulnerability_targets", with_views("""
     SELECT repo, name, version FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY locked, name) AS k FROM (
         SELECT repo, name, min(locked) AS locked, arg_min(version, (locked, version)) AS version FROM (
-            SELECT scan_job_id % 50 AS repo, package_name AS name, CASE WHEN line % 2 = 0 THEN 0 ELSE 1 END AS locked, '1.' || line || '.0' AS version FROM deps WHERE line % 2 = 0 OR status <> 'phantom') GROUP BY ALL)) WHERE k <= 100""", "deps"))
+            SELECT scan_job_id % 50 AS repo, package_name AS name, CASE WHEN line % 2 = 0 THEN 0 ELSE 1 END AS locked, '1.' || line || '.0' AS version FROM deps WHERE line % 2 = 0 OR status <> 'phantom') GROUP BY ALL)) WHERE k <= 1000""", "deps"))
 def vulnerability_targets(spark, d):
     rows = deps(spark, d).select((F.col("scan_job_id") % 50).alias("repo"), F.lit("any").alias("ecosystem"), F.col("package_name").alias("name"), "line", "status")
     locked = rows.where("line % 2 = 0").withColumn("version", F.concat(F.lit("1."), "line", F.lit(".0")))
     declared = rows.where("line % 2 = 1").withColumn("spec", F.concat(F.lit("^1."), "line", F.lit(".0")))
-    return dependencies.vulnerability_targets(locked, declared, 100).select("repo", "name", "version")
+    return dependencies.vulnerability_targets(locked, declared).select("repo", "name", "version")
 
 
 PY = '''import os, numpy as np

@@ -121,9 +121,9 @@ def user_counts_correlated(spark, d):
 @query("user_detail", with_views(f"""
     SELECT c_custkey AS id, n_name AS org, (SELECT count(*) FROM log WHERE user_id = c_custkey AND created_at > TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY) AS actions,
         (SELECT count(*) FROM log WHERE user_id = c_custkey AND status >= 400 AND created_at > TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY) AS failed
-    FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey < 150""", "log"))
+    FROM customer JOIN nation ON c_nationkey = n_nationkey""", "log"))
 def user_detail(spark, d):
-    users = table(spark, d, "customer").where("c_custkey < 150").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    users = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     per = log(spark, d).where(R.within_days("created_at", AS_OF, 30)).groupBy("user_id").agg(F.count(F.lit(1)).alias("actions"), F.count_if(R.failed()).alias("failed"))
     return users.join(per, F.col("c_custkey") == F.col("user_id"), "left").fillna(0, ["actions", "failed"]).select(F.col("c_custkey").alias("id"), F.col("n_name").alias("org"), "actions", "failed")
 
@@ -206,18 +206,18 @@ def tenant_scans(spark, d):
     return R.page(jobs(spark, d).join(mine, "org_id", "left_semi"), [F.desc("created_at"), F.desc("id")], 50).select("id", "repo_id", "status")
 
 
-@query("dependency_page", with_views("""SELECT scan_job_id, package_name, status FROM deps WHERE scan_job_id < 500
+@query("dependency_page", with_views("""SELECT scan_job_id, package_name, status FROM deps
     ORDER BY CASE status WHEN 'phantom' THEN 0 WHEN 'suspicious' THEN 1 WHEN 'unused' THEN 2 ELSE 3 END, package_name, scan_job_id, line LIMIT 100 OFFSET 100""", "deps"))
 def dependency_page(spark, d):
     s = F.col("status")
     case = F.when(s == "phantom", 0).when(s == "suspicious", 1).when(s == "unused", 2).otherwise(3)
-    return R.page(deps(spark, d).where("scan_job_id < 500"), [case, F.col("package_name"), F.col("scan_job_id"), F.col("line")], 100, 100).select("scan_job_id", "package_name", "status")
+    return R.page(deps(spark, d), [case, F.col("package_name"), F.col("scan_job_id"), F.col("line")], 100, 100).select("scan_job_id", "package_name", "status")
 
 
-@query("code_findings_page", with_views("""SELECT scan_job_id, package_name, confidence FROM deps WHERE status <> 'healthy' AND scan_job_id % 10 = 3
+@query("code_findings_page", with_views("""SELECT scan_job_id, package_name, confidence FROM deps WHERE status <> 'healthy'
     ORDER BY confidence DESC NULLS LAST, package_name, scan_job_id, line LIMIT 100""", "deps"))
 def code_findings_page(spark, d):
-    rows = deps(spark, d).where("status <> 'healthy' and scan_job_id % 10 = 3").withColumn("detail", F.struct(F.sha2("package_name", 256).alias("fingerprint"), "package_name"))
+    rows = deps(spark, d).where("status <> 'healthy'").withColumn("detail", F.struct(F.sha2("package_name", 256).alias("fingerprint"), "package_name"))
     rows = rows.withColumn("detail", F.col("detail").dropFields("fingerprint"))  # never leaves the store
     return R.page(rows, [F.desc_nulls_last("confidence"), F.asc("package_name"), F.asc("scan_job_id"), F.asc("line")], 100).select("scan_job_id", "detail.package_name", "confidence")
 
@@ -288,12 +288,12 @@ def full_outer_flags(spark, d):
 
 @query("set_ops", """SELECT 'both' AS side, count(*) AS n FROM (SELECT DISTINCT s_nationkey FROM supplier INTERSECT SELECT DISTINCT c_nationkey FROM customer)
     UNION ALL SELECT 'any', count(*) FROM (SELECT s_nationkey FROM supplier UNION SELECT c_nationkey FROM customer)
-    UNION ALL SELECT 'only_customer', count(*) FROM (SELECT c_nationkey FROM customer EXCEPT SELECT s_nationkey FROM supplier WHERE s_suppkey < 20)""")
+    UNION ALL SELECT 'only_customer', count(*) FROM (SELECT c_nationkey FROM customer EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal < 0)""")
 def set_ops(spark, d):
-    s, c = table(spark, d, "supplier").select(F.col("s_nationkey").alias("n"), "s_suppkey"), table(spark, d, "customer").select(F.col("c_nationkey").alias("n"))
+    s, c = table(spark, d, "supplier").select(F.col("s_nationkey").alias("n"), "s_acctbal"), table(spark, d, "customer").select(F.col("c_nationkey").alias("n"))
     count = lambda side, df: df.agg(F.lit(side).alias("side"), F.count(F.lit(1)).alias("n"))
     keys = s.select("n")
-    return count("both", keys.intersect(c)).unionByName(count("any", keys.union(c).distinct())).unionByName(count("only_customer", c.subtract(s.where("s_suppkey < 20").select("n"))))
+    return count("both", keys.intersect(c)).unionByName(count("any", keys.union(c).distinct())).unionByName(count("only_customer", c.subtract(s.where("s_acctbal < 0").select("n"))))
 
 
 @query("upsert_counter", with_views("""SELECT action AS name, source AS ecosystem, count(*) AS report_count, strftime(min(created_at), '%Y-%m-%d %H:%M:%S') AS first_at,
@@ -315,13 +315,12 @@ def upsert_keep_old(spark, d):
     return R.upsert_keep_old(old, new.unionByName(added), ["id"])
 
 
-@query("upsert_overwrite", """SELECT c_custkey AS id, CASE WHEN c_custkey % 5 = 0 THEN 'again' ELSE c_name END AS name FROM customer WHERE c_custkey < 1000
-    UNION ALL SELECT c_custkey, 'late' FROM customer WHERE c_custkey BETWEEN 1000 AND 1100""")
+@query("upsert_overwrite", """SELECT c_custkey AS id, CASE WHEN c_acctbal < 0 THEN 'late' WHEN c_mktsegment = 'BUILDING' THEN 'again' ELSE c_name END AS name FROM customer""")
 def upsert_overwrite(spark, d):
-    users = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
-    old = users.where("id < 1000")
-    again = R.upsert_overwrite(old, old.where("id % 5 = 0").withColumn("name", F.lit("again")), ["id"])
-    return R.insert_missing(again, users.where("id <= 1100").withColumn("name", F.lit("late")), ["id"])
+    users = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), "c_acctbal", "c_mktsegment")
+    old = users.where("c_acctbal >= 0 or c_acctbal is null")
+    again = R.upsert_overwrite(old.select("id", "name"), old.where("c_mktsegment = 'BUILDING'").select("id", F.lit("again").alias("name")), ["id"])
+    return R.insert_missing(again, users.select("id", F.lit("late").alias("name")), ["id"])
 
 
 @query("first_wins_dedup", with_views("SELECT user_id, action, min(id) AS id FROM log GROUP BY 1, 2", "log"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tarnish.operators import relational as R
 from tarnish.plans.analysis import SCANS, scan_findings
 from tarnish.plans.registry import query
 from tarnish.plans.standins import table, with_views
@@ -20,9 +20,8 @@ def events_stream(spark, d):
 
 
 def result(stream, mode):
-    spark, name = stream.sparkSession, f"out_{uuid.uuid4().hex}"
-    jobs.drain(stream, name, mode, shared_dir(spark, "stream"))
-    return spark.table(name)
+    spark = stream.sparkSession
+    return jobs.drain(stream, shared_dir(spark, "stream-result"), mode, shared_dir(spark, "stream"))
 
 
 @query("stream_daily_counts", """WITH w AS (SELECT ts::DATE AS day, event_type, count(*) AS n FROM events GROUP BY ALL)
@@ -59,11 +58,13 @@ def stream_presence(spark, d):
         count(*) FILTER (seq > before + 1) AS times_reintroduced FROM g, l GROUP BY repo, finding_key, last""", "log"))
 def stream_lifecycle(spark, d):
     found = scan_findings(spark, d).select("repo", "finding_key", "seq")
-    scans = found.select("seq").distinct()
-    # Every key once for each of the scans, a bounded list: what a scan reports and what it no longer does.
-    listed = found.select("repo", "finding_key").distinct().withColumn("seq", F.explode(F.sequence(F.lit(0), F.lit(scans.agg(F.max("seq")).first()[0] or 0))))
-    sightings = listed.join(found.withColumn("seen", F.lit(True)), ["repo", "finding_key", "seq"], "left").fillna(False, ["seen"])
+    last = found.agg(F.max("seq")).first()[0] or 0
+    after = F.lead("seq").over(Window.partitionBy("repo", "finding_key").orderBy("seq"))
+    # What each scan reports, and the first that no longer does.
+    missed = (F.col("seq") < last) & (F.coalesce(after, F.lit(last + 1)) > F.col("seq") + 1)
+    told = F.array(F.struct("seq", F.lit(True).alias("seen")), F.when(missed, F.struct((F.col("seq") + 1).alias("seq"), F.lit(False).alias("seen"))))
+    sightings = found.withColumn("_told", F.array_compact(told)).select("repo", "finding_key", F.inline("_told"))
     path = shared_dir(spark, "sightings")
-    sightings.coalesce(1).write.parquet(path)
+    sightings.write.parquet(path)
     stream = spark.readStream.schema(sightings.schema).parquet(path)
-    return result(jobs.lifecycle(stream), "update")
+    return R.last_per(result(jobs.lifecycle(stream), "update"), ["repo", "finding_key"], ["batch"]).drop("batch")

@@ -11,7 +11,6 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 LIFECYCLE = "repo string, finding_key string, state string, first_seen long, last_seen long, times_seen int, times_reintroduced int"
@@ -95,8 +94,20 @@ def upsert_into(merge: Callable[[DataFrame | None, DataFrame], DataFrame], path:
     return run
 
 
-def drain(stream: DataFrame, name: str, mode: str, checkpoint: str) -> StreamingQuery:
-    """Runs a stream over all that is there now, into a table in memory: for tests and small results."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return q
+def drain(stream: DataFrame, path: str, mode: str, checkpoint: str) -> DataFrame:
+    """Runs a stream over all that is there now into Parquet at `path`, and reads that: nothing passes the driver.
+
+    In complete mode the rows are those of the last batch. In update mode they
+    are all that were given out, with the number of their `batch`.
+    """
+    spark, out = stream.sparkSession, stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    if mode == "append":
+        out.format("parquet").option("path", path).start().awaitTermination()
+        return spark.read.schema(stream.schema).parquet(path)
+
+    def keep(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={epoch}")
+
+    out.foreachBatch(keep).start().awaitTermination()
+    rows = spark.read.parquet(path)
+    return rows if mode == "update" else rows.where(F.col("batch") == rows.agg(F.max("batch")).first()[0]).drop("batch")
