@@ -212,3 +212,18 @@ def grade(score: str | Column) -> Column:
 def badge_colour(score: str | Column) -> Column:
     s = _c(score)
     return F.when(s.isNull(), "grey").when(s >= 75, "green").when(s >= 50, "yellow").otherwise("red")
+
+
+def system_event(message: str | Column, stack: str | Column) -> Column:
+    """(message, context) as logged: a message of at most 2000 characters, and of a stack the first 12 lines; no stack, no context."""
+    lines = F.array_join(F.slice(F.split(_c(stack), "\n", -1), 1, 12), "\n")
+    context = F.when(_c(stack).isNotNull(), F.to_json(F.struct(lines.alias("stack"))))
+    return F.struct(F.substring(F.coalesce(_c(message), F.lit("")), 1, 2000).alias("message"), context.alias("context"))
+
+
+def coverage_caveat(marked: str | Column, examined: str | Column, truncated: str | Column) -> Column:
+    """What the share of commits that name an assistant can't tell, in a sentence for the report."""
+    n, all_, cut = _c(marked), _c(examined), F.when(_c(truncated), F.format_string(" Only the last %d commits were at hand; older work is not counted.", _c(examined))).otherwise("")
+    said = F.when(n == 0, F.format_string("None of %d commits names an assistant, which does not show that none was used.", all_))
+    said = said.when(n < rules.MIN_AI_COMMITS, F.format_string("%d of %d commits name an assistant: a direction, no evidence.", n, all_))
+    return F.concat(said.otherwise(F.format_string("%d of %d commits name an assistant: a floor, not a total.", n, all_)), cut)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tarnish.functions import rules
+from tarnish.functions.scalar import system_event
 from tarnish.operators import packages
 from tarnish.operators import relational as R
 from tarnish.plans.analysis import SQUATS, values
@@ -126,3 +127,10 @@ def proposed_dependencies(spark, d):
     asked = table(spark, d, "customer").select(k.alias("repo"), listed([e for e, _ in MEMBERS], k).alias("ecosystem"), listed(names, k).alias("name"))
     declared = table(spark, d, "orders").select(F.col("o_custkey").alias("repo"), listed(names, F.col("o_orderkey") * 7).alias("name"))
     return packages.proposed(asked, declared).withColumn("existing", F.array_join("existing", ","))
+
+
+@query("system_events", """SELECT doc_id, substring(text, 1, 2000) AS message, CASE WHEN doc_id % 3 > 0 THEN array_to_string(string_split(text, chr(10))[1:12], chr(10)) END AS stack FROM documents""")
+def system_events(spark, d):
+    docs = table(spark, d, "documents")
+    logged = system_event(F.col("text"), F.when(F.col("doc_id") % 3 > 0, F.col("text")))
+    return docs.select("doc_id", logged.alias("e")).select("doc_id", "e.message", F.get_json_object("e.context", "$.stack").alias("stack"))

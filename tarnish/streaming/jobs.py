@@ -6,6 +6,7 @@ Late rows up to the watermark count, later ones are dropped.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -55,8 +56,13 @@ def counters(events: DataFrame, keys: list[str]) -> DataFrame:
     return events.groupBy(*keys).agg(F.count(F.lit(1)).alias("report_count"), F.min("ts").alias("first_reported_at"), F.max("ts").alias("last_reported_at"))
 
 
-def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, keep_ms: int | None = None) -> Iterator[pd.DataFrame]:
+    if state.hasTimedOut:
+        state.remove()
+        return
     rows = pd.concat(list(batches))
+    if keep_ms is not None:
+        state.setTimeoutDuration(keep_ms)
     now = list(state.get) if state.exists else ["", -1, -1, 0, 0]
     for seq, seen in sorted({(int(s), bool(x)) for s, x in zip(rows["seq"], rows["seen"], strict=True)}):
         if seen and seq > now[2]:
@@ -70,12 +76,17 @@ def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
     yield pd.DataFrame([(*key, *now)], columns=[c.split()[0] for c in LIFECYCLE.split(", ")])
 
 
-def lifecycle(sightings: DataFrame) -> DataFrame:
+def lifecycle(sightings: DataFrame, keep_days: float | None = None) -> DataFrame:
     """State of findings from (repo, finding_key, seq, seen), one row per scan and key: keyed state, update mode.
 
-    seen is false where a scan ran and did not find the key.
+    seen is false where a scan ran and did not find the key. With keep_days, a
+    key that no scan has told of for so long is forgotten, so that state does
+    not grow for ever; if it comes back, it counts as new.
     """
-    return sightings.groupBy("repo", "finding_key").applyInPandasWithState(_fold, LIFECYCLE, LIFECYCLE_STATE, "update", GroupStateTimeout.NoTimeout)
+    keep_ms = None if keep_days is None else max(1, int(keep_days * 86_400_000))
+    fold = functools.partial(_fold, keep_ms=keep_ms)
+    timeout = GroupStateTimeout.NoTimeout if keep_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return sightings.groupBy("repo", "finding_key").applyInPandasWithState(fold, LIFECYCLE, LIFECYCLE_STATE, "update", timeout)
 
 
 def upsert_into(merge: Callable[[DataFrame | None, DataFrame], DataFrame], path: str) -> Callable[[DataFrame, int], None]:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tarnish.functions import arrow, rules
 from tarnish.functions import scalar as S
-from tarnish.operators import code, config_rules, dependencies, lifecycle, relational, scoring, secrets, text_rules
+from tarnish.operators import code, config_rules, dependencies, lifecycle, packages, relational, scoring, secrets, staged, text_rules
 from tarnish.sources import sinks
 from tarnish.streaming import jobs
 
@@ -216,3 +216,66 @@ def test_uploads_get_zero_counters(spark, tmp_path):
     rows = jobs.read_uploads(spark, f"{tmp_path}/in", "repo string, phantom int, unused int")
     got = jobs.drain(rows, f"{tmp_path}/out", "append", f"{tmp_path}/cp")
     assert {tuple(r) for r in got.collect()} == {("r", 2, 0), ("s", 0, 0)}
+
+
+@pytest.mark.parametrize(
+    ("expression", "legacy", "classifiers", "licence", "text"),
+    [
+        (None, None, [], None, False), (None, None, None, None, False), ("MIT", "x" * 300, [], "MIT", False), (None, "x" * 300, [], None, True), ("a\nb", None, ["License :: OSI Approved :: MIT License"], "MIT", True),
+        (None, "python-ldap", ["License :: OSI Approved :: BSD License"], "python-ldap", False), (None, "Dual Licensed - GNU AFFERO GPL 3.0", [], "AGPL", False),
+        (None, "see the file", ["License :: OSI Approved :: MIT License", "License :: OSI Approved :: GNU General Public License v3"], "GPL", False), ("", "", ["Topic :: GPL"], None, False),
+    ],
+)
+def test_licence_of_a_record(spark, expression, legacy, classifiers, licence, text):
+    rows = spark.createDataFrame([(expression, legacy, classifiers)], "e string, l string, c array<string>")
+    got = rows.select(packages.resolved_licence(F.col("e"), F.col("l"), F.col("c")).alias("r")).first()["r"]
+    assert (got["licence"], got["has_licence_text"]) == (licence, text)
+
+
+def test_first_release(spark):
+    rows = spark.createDataFrame([(1, {"1": [("2024-02-01",)], "0": [("2023-01-01",), (None,)], "2": []}), (2, {}), (3, {"1": [("",)]}), (4, None)], "id int, r map<string, array<struct<uploaded: string>>>")
+    assert {r["id"]: r["at"] for r in rows.select("id", packages.first_release(F.col("r")).alias("at")).collect()} == {1: "2023-01-01", 2: None, 3: None, 4: None}
+
+
+def test_verify_nulls_and_order_of_verdicts(spark):
+    at = relational.moment("2024-01-31 00:00:00")
+    asked = spark.createDataFrame([("npm", "unused-imports", None), ("npm", "expresss", "2.0.0"), ("npm", "expresss", "2.0.0"), ("pypi", "Left_Pad", None), ("npm", None, None)], "ecosystem string, name string, version string")
+    registry = spark.createDataFrame([("npm", "unused-imports", None, None, None), ("npm", "expresss", 10, None, "1.0.0"), ("pypi", "left-pad", None, None, "1")], "ecosystem string, name string, downloads long, created timestamp_ntz, latest string")
+    advisories = spark.createDataFrame([("npm", "expresss", "2.0.0", "A", "low"), ("npm", "expresss", "1.0.0", "B", "high")], "ecosystem string, name string, version string, id string, severity string")
+    got = {r["name"]: r for r in packages.verify(asked, registry, advisories, at).collect()}
+    assert len(got) == 4 and got[None]["status"] == "phantom"
+    assert (got["unused-imports"]["status"], got["unused-imports"]["alternative"]) == ("suspicious", "eslint-plugin-unused-imports")
+    assert (got["expresss"]["status"], got["expresss"]["why"], got["expresss"]["max_severity"]) == ("vulnerable", ["low_downloads", "typosquat", "vulnerable"], "low")
+    assert got["left-pad"]["status"] == "healthy"
+    assert packages.verify(asked.limit(0), registry, advisories, at).count() == 0
+
+
+def test_staged_additions_and_lock(spark):
+    blobs = "repo string, path string, content string"
+    many = "\n".join(f"name{k}" for k in range(30))
+    now = [("r", "a/requirements.txt", many), ("s", "package.json", "not json"), ("r", ".mcp.json", '{"mcpServers": {"x": {"command": "node", "args": ["new.js"]}}}'), ("r", "CLAUDE.md", None)]
+    index, head = spark.createDataFrame(now, blobs), spark.createDataFrame([], blobs)
+    registry = spark.createDataFrame([("pypi", f"name{k}", 5000, None, "1", "MIT") for k in range(30)], "ecosystem string, name string, downloads long, created timestamp_ntz, latest string, licence string")
+    none = spark.createDataFrame([], "ecosystem string, name string, version string, id string, severity string")
+    lock = spark.createDataFrame([("r", "x", "node old.js"), ("other", "x", "node new.js")], "repo string, server string, identity string")
+    report = staged.scan(index, head, registry, none, relational.moment("2024-01-31 00:00:00"), None, lock)
+    assert {(r["repo"], r["rule"], r["line"], r["subject"]) for r in report.collect()} == {("r", "not_checked", 5, None), ("r", "mcp_lock_mismatch", None, "x")}
+    assert [tuple(r) for r in staged.blocking(report).collect()] == [("r", 1)]
+
+
+@pytest.mark.parametrize(("marked", "word"), [(0, "None of"), (2, "a direction"), (3, "a floor")])
+def test_coverage_caveat(spark, marked, word):
+    assert word in spark.range(1).select(S.coverage_caveat(F.lit(marked), F.lit(9), F.lit(False))).first()[0]
+    assert "Only the last 9" in spark.range(1).select(S.coverage_caveat(F.lit(marked), F.lit(9), F.lit(True))).first()[0]
+
+
+def test_state_of_a_stream_is_forgotten():
+    from unittest.mock import Mock
+
+    import pandas as pd
+
+    state = Mock(hasTimedOut=True)
+    assert list(jobs._fold(("r", "k"), iter([]), state, 5)) == [] and state.remove.called
+    state = Mock(hasTimedOut=False, exists=False)
+    assert len(list(jobs._fold(("r", "k"), iter([pd.DataFrame({"seq": [1], "seen": [True]})]), state, 5))) == 1
+    state.setTimeoutDuration.assert_called_once_with(5)
