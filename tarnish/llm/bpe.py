@@ -31,7 +31,7 @@ STEP, SLAB = 1024, 1 << 16
 #: Entries remembered by a Python worker, and the longest unit (characters) remembered.
 KEPT, SHORT = 500_000, 48
 #: Characters of Unicode's White_Space, and how byte-level tokenizers cut a text into pieces (here over ASCII).
-WHITE = r"\t-\r \x85\xa0  -     　"
+WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
 #: A white-space character goes with the word behind it; all before it in a run stand alone. No piece crosses from one unit to the next.
 UNIT = re.compile(rf"[{WHITE}]?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])")
