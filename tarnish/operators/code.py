@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 
-from tarnish.functions import rules
+from tarnish.functions import rules, scripts
 from tarnish.functions.scalar import package_of_specifier
 
 # Words of Python that name nothing.
@@ -58,22 +59,47 @@ def without_noise(content: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(content, r"/\*[\s\S]*?\*/", " "), r"(?m)(^|[^:\"'`\\])//.*$", "$1")
 
 
-def script_imports(files: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
-    """(repo, path, name): packages that script files import, require or load; aliases (repo, prefix) name none.
+@udtf(returnType="kind string, name string, line int, line_end int, exported boolean, text string")
+class ScriptFacts:
+    """(kind, name, line, line_end, exported, text) of a script file: imports, import and export lines, functions and components with their source, references."""
 
-    By pattern on source without comments, not by a parser: an import written
-    inside a string or template counts.
+    def eval(self, content: str, markup: bool):
+        yield from scripts.facts(content, markup)
+
+
+def script_facts(files: DataFrame) -> DataFrame:
+    """The columns of files (repo, path, content) but the content, and each fact of `ScriptFacts`; one pass over a file.
+
+    Elements stand in code except in plain typed files, where `<` begins a type.
     """
-    body = without_noise(F.col("content"))
-    patterns = (r"\bimport\s+(?:[\w*{}\s,$]+\s+from\s+)?[\"']([^\"']+)[\"']", r"\bexport\s+[\w*{}\s,$]+\s+from\s+[\"']([^\"']+)[\"']", r"\b(?:require|import)\s*\(\s*[\"']([^\"']+)[\"']\s*\)")
-    every = F.concat(*[F.regexp_extract_all(body, F.lit(p), F.lit(1)) for p in patterns])
-    specs = files.select("repo", "path", F.explode(F.array_distinct(every)).alias("spec"))
+    rest = [c for c in files.columns if c != "content"]
+    facts = ScriptFacts(F.col("content").outer(), (~F.col("path").rlike(r"\.[mc]?ts$")).outer())
+    return files.lateralJoin(facts).select(*rest, "kind", "name", "line", "line_end", "exported", "text")
+
+
+def register_script_facts(spark: SparkSession, name: str = "script_facts") -> None:
+    """For SQL: `SELECT ... FROM files, LATERAL script_facts(content, true)`."""
+    spark.udtf.register(name, ScriptFacts)
+
+
+def script_imports(files: DataFrame, aliases: DataFrame | None = None, facts: DataFrame | None = None) -> DataFrame:
+    """(repo, path, name): packages that script files import, require or load; aliases (repo, prefix) name none."""
+    specs = (script_facts(files) if facts is None else facts).where("kind = 'import'").select("repo", "path", F.col("name").alias("spec")).distinct()
     if aliases is not None:
         own = F.when(F.col("prefix").endswith("/"), F.col("spec").startswith(F.col("prefix"))).otherwise(F.col("spec") == F.col("prefix"))
         specs = specs.alias("s").join(aliases.withColumnRenamed("repo", "_repo"), (F.col("s.repo") == F.col("_repo")) & own, "left_anti")
     return specs.select("repo", "path", package_of_specifier("spec").alias("name")).where("name is not null").distinct()
 
 
+def import_lines(files: DataFrame, most: int = scripts.LINES, facts: DataFrame | None = None) -> DataFrame:
+    """(repo, path, lines): the first `most` lines (40 at most) on which imports and exports of a file begin, as they stand there."""
+    own = (script_facts(files) if facts is None else facts).where("kind = 'line' and text <> ''")
+    first = Window.partitionBy("repo", "path").orderBy("line", "text")
+    kept = own.withColumn("_k", F.row_number().over(first)).where(F.col("_k") <= most)
+    listed = F.array_sort(F.collect_list(F.struct("_k", "text")))
+    return kept.groupBy("repo", "path").agg(F.transform(listed, lambda x: x["text"]).alias("lines"))
+
+
 def path_aliases(configs: DataFrame) -> DataFrame:
     """(repo, prefix) of compiler configurations (repo, content), comments and trailing commas allowed."""
     bare = F.regexp_replace(without_noise(F.col("content")), r",(\s*[}\]])", "$1")
@@ -82,23 +108,14 @@ def path_aliases(configs: DataFrame) -> DataFrame:
     return keys.select("repo", F.when(F.col("key").endswith("/*"), F.expr("left(key, length(key) - 1)")).otherwise(F.col("key")).alias("prefix")).distinct()
 
 
-def script_symbols(files: DataFrame) -> DataFrame:
-    """(repo, path, line, name, exported, kind): functions and function values at column 0; a capital makes a component."""
-    t = F.col("text")
-    fn = F.regexp_extract(t, r"^(?:export\s+)?(?:async\s+)?function\s*\*?\s*([A-Za-z_$][\w$]*)", 1)
-    value = F.regexp_extract(t, r"^(?:export\s+)?(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*(?::[^=]+)?=\s*(?:async\s*)?(?:function\b|\([^)]*\)\s*(?::[^=]+)?=>|[A-Za-z_$][\w$]*\s*=>)", 1)
-    lines = code_lines(files.withColumn("content", F.regexp_replace("content", r"(?m)^\s*//.*$", "")))
-    named = lines.withColumn("name", F.coalesce(F.nullif(fn, F.lit("")), F.nullif(value, F.lit("")))).where("name is not null")
-    return named.select("repo", "path", "line", "name", t.startswith("export").alias("exported"), F.when(F.col("name").rlike("^[A-Z]"), "component").otherwise("function").alias("kind"))
-
-
-def script_references(files: DataFrame) -> DataFrame:
-    """(repo, path, name): identifiers but those being declared, object keys and member names."""
-    declared = r"\b(?:function\s*\*?|const|let|var|class)\s+[A-Za-z_$][\w$]*"
-    body = F.regexp_replace(without_noise(F.col("content")), declared, " ")
-    body = F.regexp_replace(F.regexp_replace(body, r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'", "''"), r"\.\s*[A-Za-z_$][\w$]*", " ")
-    words = files.select("repo", "path", F.explode(F.array_distinct(F.regexp_extract_all(body, F.lit(r"[A-Za-z_$][\w$]*"), F.lit(0)))).alias("name"))
-    return words.distinct()
+def script_symbols(files: DataFrame, facts: DataFrame | None = None) -> DataFrame:
+    """(repo, path, line, name, exported, kind): functions and function values at the top of a file or exported; a capital makes a component."""
+    return (script_facts(files) if facts is None else facts).where("kind in ('function', 'component')").select("repo", "path", "line", "name", "exported", "kind")
+
+
+def script_references(files: DataFrame, facts: DataFrame | None = None) -> DataFrame:
+    """(repo, path, name): identifiers but those being declared or assigned, object keys and member names; elements that name a component."""
+    return (script_facts(files) if facts is None else facts).where("kind = 'reference'").select("repo", "path", "name")
 
 
 def dead_code(symbols: DataFrame, references: DataFrame, most: int = 40) -> DataFrame:
