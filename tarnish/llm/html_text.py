@@ -88,7 +88,17 @@ class Blocks(HTMLParser):
         self.mains: set[int] = set()
         self.articles: dict[int, bool] = {}
         self.count: dict[str, int] = defaultdict(int)
-        self.fresh = True
+        self.fresh, self.endless = True, False
+
+    def parse_comment(self, i, report=1):
+        if self.endless:  # no comment ends behind an earlier one that doesn't
+            return -1
+        k = super().parse_comment(i, report)
+        self.endless = k < 0
+        return k
+
+    def parse_marked_section(self, i, report=1):
+        return self.parse_bogus_comment(i, report)
 
     def handle_starttag(self, tag, attrs):
         if tag not in IN_HEAD and tag != "head":
@@ -299,8 +309,9 @@ def article_of(page: Blocks, blocks: list[Block], content: list[Block]) -> tuple
 
 def main_text(html: str) -> str:
     """The article of a page, blocks joined by an empty line; empty if there is none."""
-    page = Blocks()
-    page.feed(html)
+    page, ended = Blocks(), html.rfind(">") + 1
+    page.feed(html[:ended])
+    page.feed(html[ended:].replace("<", "&lt;"))  # no tag ends there
     page.close()
     for b in page.blocks:
         b.text = " ".join("".join(b.parts).split())
