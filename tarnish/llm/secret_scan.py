@@ -41,13 +41,15 @@ MORE_RULES = (
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("stripe", r"(?:sk|rk)_live_[A-Za-z0-9]{16,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    # Begin only where a run of their characters does: so the time stays linear, and no part needs a bound.
+    Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
-    # Begins only where a run of scheme characters does: so the time stays linear, and no part needs a bound.
     Rule("url_password", r"(?<![a-z0-9+.-])[a-z][a-z0-9+.-]{2,}://[^\s:/@]+:[^\s:/@]{6,}@"),
 )
 #: A class of so few characters is spelled out; with more ways than this through a regex, a stretch ends.
 SMALL_CLASS, MOST_WAYS = 6, 16
+#: Matches of a text that are placed one behind the other.
+STRETCH = 256
 #: Trigrams of an alternative that go into the index: the rarest, by how seldom their characters are in text.
 GRAMS, OFTEN = 2, "etaoinshrdlucmfwypvbgkqjxz"
 
@@ -107,7 +109,14 @@ def matches(text: Column, rule: Rule) -> Column:
         span = F.struct(start.alias("start"), F.lit(KINDS[rule.kind]).alias("kind"), (start + x["n"]).alias("end"), F.lit(rule.kind).alias("name"))
         return F.struct((start + x["n"]).alias("at"), F.when(x["v"] >= rule.least, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
 
-    found = F.aggregate(lengths, F.struct(F.lit(0).alias("at"), none().alias("spans")), step, lambda acc: acc["spans"])
+    # In stretches, as an array that grows match by match is copied each time. A lambda's argument is worked out once.
+    once = lambda value, f: F.transform(F.array(value), f)[0]
+    chars = lambda part: F.aggregate(part, F.lit(0), lambda n, x: n + x["gap"] + x["n"])
+    cut = lambda every: F.transform(F.sequence(F.lit(0), F.floor((F.size(every) - 1) / STRETCH)), lambda k: F.slice(every, (k * STRETCH + 1).cast("int"), F.lit(STRETCH)))
+    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+    starts = lambda sums: F.aggregate(sums, first, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["starts"], F.array(acc["at"])).alias("starts")), lambda acc: acc["starts"])
+    placed = lambda part, at: F.aggregate(part, F.struct(at.alias("at"), none().alias("spans")), step, lambda acc: acc["spans"])
+    found = once(lengths, lambda every: once(cut(every), lambda parts: F.flatten(F.zip_with(parts, starts(F.transform(parts, chars)), placed))))
     return F.when(text.rlike(rule.regex), found).otherwise(none())
 
 
@@ -149,11 +158,12 @@ def scan(docs: DataFrame, text: str = "text", id_col: str = "doc_id", rules: tup
     rows = scratch.save(read.select("_row", "_key", held_grams(F.col("_folded"), grams).alias("_grams"), (F.flatten(F.array(*every)) if every else none()).alias("_every")), "rows")
     postings = rows.select(F.explode("_grams").alias("gram"), F.col("_key").alias("key")).distinct()
     left = scratch.save(candidates(postings, queries), "candidates")
-    # Texts of candidates only. How they are joined is left to Spark's size check.
-    texts = docs.select(digest.alias("key"), filled(docs[text]).alias("_text")).join(left, "key")
+    # Texts of candidates only, each once however often it is repeated. How they are joined is left to Spark's size check.
+    copies = docs.select(digest.alias("key"), filled(docs[text]).alias("_text")).join(left, "key")
+    texts = copies.groupBy("key").agg(F.first("_text").alias("_text"), F.first("kinds").alias("kinds"))
     found = [F.when(F.array_contains("kinds", r.kind), matches(F.col("_text"), r)) for r in rules if asked[r.kind] is not None]
     verified = texts.select(F.col("key").alias("_key"), (F.flatten(F.array_compact(F.array(*found))) if found else none()).alias("_verified")).where(F.size("_verified") > 0)
-    verified = scratch.save(verified.groupBy("_key").agg(F.first("_verified").alias("_verified")), "verified")
+    verified = scratch.save(verified, "verified")
     whole = rows.drop("_grams").join(verified, "_key", "left")
     return whole.select("_row.*", F.sort_array(F.concat("_every", F.coalesce("_verified", none()))).alias("spans"))
 

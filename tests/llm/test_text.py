@@ -86,6 +86,15 @@ def test_urls_take_linear_time(spark):
     assert time.time() - begun < 60
 
 
+@pytest.mark.parametrize("many", ["eyJ", ".ey ", "eyJaaaaaaaa.", "eyJaaaaaaaa.eyJaaaaaaaa", "ghp_", "xoxb-", "sk_live_", "AIza", "-----BEGIN ", "-----BEGIN PRIVATE", "x://y:", "token", "token='", "AKIA", "0123456789abcdef"])
+def test_every_rule_takes_linear_time(spark, many):
+    import time
+
+    begun = time.time()
+    secret_scan.scan(spark.createDataFrame([(1, many * (400_000 // len(many)))], "doc_id long, text string")).collect()
+    assert time.time() - begun < 60
+
+
 def secret_texts():
     key, low = "AKIA" + "Q" * 16, "0123456789abcdef" * 2
     return [
@@ -232,7 +241,7 @@ def test_an_article_is_whole_however_long(n, outer):
     assert html_text.main_text(page) == "\n\n".join(["Title", "The lead, of the text.", long.strip(), "A linked paragraph", "Sources", "One source", "Two"])
 
 
-@pytest.mark.parametrize("many", ["<div>", "<div>x", "<p><div>x", "<ul><li>", "<b>", "<p><button><div>", "</p>", "<table><td><p>", "<b></div>"])
+@pytest.mark.parametrize("many", ["<div>", "<div>x", "<p><div>x", "<ul><li>", "<b>", "<p><button><div>", "</p>", "<table><td><p>", "<b></div>", "<a ", "<!--", "<!-- >", "</a ", "<![CDATA[", "<![x", "<?x", "<!x", "<a b='", "<a/", "&a", "<script>", "<script></a "])
 def test_time_is_linear_in_the_page(many):
     import time
 
