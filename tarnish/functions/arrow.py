@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,6 +49,39 @@ def canonical_form(text: str) -> tuple[str, list[str]]:
     return after("lowercase", t, t.lower()), steps
 
 
+#: Characters that NFKC leaves as they are beside any others of them: ASCII, Latin and Cyrillic letters, ideographs, what is stripped as invisible.
+SETTLED = (
+    r"[\x00-\x7F\xA1-\xA7\xA9\xAB-\xAE\xB0\xB1\xB6\xB7\xBB\xBF-\x{12F}\x{131}\x{134}-\x{13E}\x{141}-\x{148}\x{14A}-\x{17E}\x{400}-\x{481}\x{48A}-\x{4FF}"
+    r"\x{200B}-\x{200F}\x{2013}\x{2014}\x{2018}-\x{201E}\x{2022}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{2066}-\x{206F}\x{20AC}\x{4E00}-\x{9FEF}\x{FEFF}\x{E0000}-\x{E007F}]*"
+)
+
+
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once, however often f uses it."""
+    return F.transform(F.array(value), f)[0]
+
+
+def settled(text: Column) -> Column:
+    return text.rlike(rf"^{SETTLED}\z")
+
+
+def settled_form(text: Column) -> Column:
+    """`canonical_form` of a settled text as an expression: struct of text and steps."""
+    gap = r"\t-\r\x1C- "
+    stages: list[tuple[str, Callable[[Column], Column]]] = [
+        ("invisible_strip", lambda t: F.regexp_replace(t, rules.INVISIBLE, "")), ("confusable_fold", lambda t: F.translate(t, *rules.CONFUSABLES)), ("markdown_strip", lambda t: F.regexp_replace(t, "[*`~]", "")),
+        ("punctuation_fold", lambda t: F.regexp_replace(t, rf"[^\p{{L}}\p{{N}}{gap}]", " ")), ("whitespace_collapse", lambda t: F.trim(F.regexp_replace(t, f"[{gap}]+", " "))), ("lowercase", F.lower),
+    ]
+
+    def stage(k: int, before: Column, steps: list[Column]) -> Column:
+        if k == len(stages):
+            return F.struct(before.alias("text"), F.array_compact(F.array(*steps)).alias("steps"))
+        name, change = stages[k]
+        return once(change(before), lambda now: stage(k + 1, now, [*steps, F.when(now != before, name)]))
+
+    return stage(0, text, [])
+
+
 def mixed_words(text: str) -> list[str]:
     """Words with Latin letters and look-alikes of them from another script."""
     if _KEYS.isdisjoint(text):

@@ -1,25 +1,32 @@
 """Findings in text that an assistant trusts as instructions.
 
-Files come as (path, surface, content). Line rules are expressions over
-exploded lines; what spans lines or must be settled in order (phrases over
-windows of up to three lines) is settled inside each file, of at most 256 KiB.
+Files come as (path, surface, content). Each file is read in one pass as an
+array of its lines: a rule looks at the lines only where the whole text passes
+it, neighbouring lines are neighbours in the array, and phrases over windows of
+up to three lines are settled by a fold over the windows that match. Nothing is
+shuffled. Python sees only lines that hold characters beyond a fixed set.
 """
 
 from __future__ import annotations
 
-import re
+from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarnish.functions import rules
-from tarnish.functions.arrow import canonical_form, mixed_script_words, redact_snippet
+from tarnish.functions.arrow import canonical_form, mixed_words, once, redact_snippet, settled, settled_form
 
-FINDING = ["path", "surface", "line", "rule", "category", "severity", "tier", "evidence"]
+FINDING = ["path", "surface", "line", "rule", "category", "severity", "tier", "evidence", "steps"]
 LINE_CHARS = 2000
-PHRASES = T.ArrayType(T.StructType([T.StructField("line", T.IntegerType()), T.StructField("rule", T.StringType()), T.StructField("evidence", T.StringType())]))
+FOUND = "array<struct<line:int,rule:string,evidence:string,steps:array<string>>>"
+ODD = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("steps", T.ArrayType(T.StringType())), T.StructField("mixed", T.BooleanType())]))
+#: Each phrase holds one of these words whole, so that a window that matches holds it in one of its lines.
+PHRASE_WORDS = r"instructions|disregard|now|prompt|override|user"
+FOREIGN = r"[\p{IsCyrillic}\p{IsGreek}]"
 #: Rule: category, severity, tier, and whether it counts as a structural hit.
 RULES = {
     "zero_width": ("hidden_text", "critical", 1, True), "unicode_tag": ("hidden_text", "critical", 1, True), "bidi_override": ("hidden_text", "critical", 1, True),
@@ -32,96 +39,111 @@ RULES = {
 ZERO_WIDTH = r"[\x{200B}\x{200C}]|(?<![\x{2001}-\x{10FFFF}])\x{200D}|\x{200D}(?![\x{2001}-\x{10FFFF}])"
 
 
-def lines_of(files: DataFrame) -> DataFrame:
-    """(path, surface, line, text, n_lines): lines from 1, cut at 2000 characters; a byte-order mark is no text."""
-    body = F.regexp_replace("content", r"^\x{FEFF}", "")
-    parts = files.select("path", "surface", F.posexplode(F.split(body, "\n", -1)).alias("_at", "_raw"))
-    return parts.select("path", "surface", (F.col("_at") + 1).alias("line"), F.substring("_raw", 1, LINE_CHARS).alias("text"))
+@F.pandas_udf(ODD)
+def odd_lines(lines: pd.Series) -> pd.Series:
+    """Matching key, steps and mixed-script mark of each line; null for null."""
+
+    def told(line):
+        if line is None:
+            return None
+        key, steps = canonical_form(line)
+        return {"text": key, "steps": steps, "mixed": bool(mixed_words(line))}
+
+    return lines.map(lambda xs: None if xs is None else [told(x) for x in xs])
 
 
-def line_rules(text: Column) -> dict[str, Column]:
+def line_rules() -> dict[str, tuple[Callable[[Column], Column], Callable[[Column], Column]]]:
+    """For each rule that one line shows by itself: whether a whole text can hold it, and whether a line does."""
+    one = lambda *patterns: (lambda t: reduce(lambda a, b: a | b, [t.rlike(p) for p in patterns]),) * 2
+    both = lambda t: t.rlike(rules.DOWNLOAD_TO_FILE) & t.rlike(rules.SHELL_EXEC_AFTER)
     return {
-        "zero_width": text.rlike(ZERO_WIDTH), "unicode_tag": text.rlike(r"[\x{E0000}-\x{E007F}]"), "bidi_override": text.rlike(r"[\x{202A}-\x{202E}\x{2066}-\x{2069}]"),
-        "mixed_script_word": F.col("_mixed"), "curl_pipe_shell": text.rlike(rules.CURL_PIPE_SHELL) | text.rlike(rules.POWERSHELL_DOWNLOAD_EXEC),
-        "download_then_exec": text.rlike(rules.DOWNLOAD_TO_FILE) & text.rlike(rules.SHELL_EXEC_AFTER), "base64_exec": text.rlike(rules.BASE64_EXEC),
+        "zero_width": one(ZERO_WIDTH), "unicode_tag": one(r"[\x{E0000}-\x{E007F}]"), "bidi_override": one(r"[\x{202A}-\x{202E}\x{2066}-\x{2069}]"),
+        "curl_pipe_shell": one(rules.CURL_PIPE_SHELL, rules.POWERSHELL_DOWNLOAD_EXEC), "download_then_exec": (both, both), "base64_exec": one(rules.BASE64_EXEC),
     }
 
 
-def scan_lines(files: DataFrame) -> DataFrame:
-    """Findings that one line shows by itself. The script check runs only on lines with other scripts."""
-    lines = lines_of(files)
-    foreign = lines.where(F.col("text").rlike(r"[\p{IsCyrillic}\p{IsGreek}]")).withColumn("_mixed", F.size(mixed_script_words("text")) > 0)
-    plain = lines.where(~F.col("text").rlike(r"[\p{IsCyrillic}\p{IsGreek}]")).withColumn("_mixed", F.lit(False))
-    both = plain.unionByName(foreign)
-    hit = F.explode(F.array_compact(F.array(*[F.when(c, name) for name, c in line_rules(F.col("text")).items()])))
-    return both.select("path", "surface", "line", hit.alias("rule"), F.col("text").alias("evidence"))
+def finding(line: Column, rule: str, evidence: Column, steps: Column | None = None) -> Column:
+    return F.struct(line.cast("int").alias("line"), F.lit(rule).alias("rule"), evidence.alias("evidence"), (F.lit(None) if steps is None else steps).cast("array<string>").alias("steps"))
 
 
-def structural_files(line_findings: DataFrame) -> DataFrame:
-    """Paths with a structural hit: only there do phrases count in files that merely corroborate."""
-    strong = [name for name, (*_, counts) in RULES.items() if counts]
-    return line_findings.where(F.col("rule").isin(strong)).select("path").distinct()
+def hits(lines: Column, rule: str, holds: Callable[[Column, Column], Column]) -> Column:
+    """A finding for each line (text, place from 0) that holds the rule."""
+    return F.array_compact(F.transform(lines, lambda x, i: F.when(holds(x, i), finding(i + 1, rule, x))))
 
 
-def _phrases(content: str) -> list[tuple[int, str, str]]:
-    """(line, rule, evidence): raw phrases, then canonical ones in the smallest windows that touch no line spent."""
-    pattern = re.compile(rules.INJECTION_PHRASE)
-    lines = [x[:LINE_CHARS] for x in content.removeprefix("﻿").split("\n")]
-    spent = {i for i, x in enumerate(lines) if pattern.search(x)}
-    out = [(i + 1, "injection_phrase", lines[i]) for i in sorted(spent)]
-    keys = [canonical_form(x)[0] for x in lines]
-    for i in range(len(lines)):
-        for size in (1, 2, 3):
-            window = range(i, i + size)
-            if window.stop > len(lines) or not spent.isdisjoint(window):
-                break
-            if pattern.search(" ".join(keys[k] for k in window).strip()):
-                out.append((i + 1, "injection_phrase_canonicalized", "\n".join(lines[k] for k in window)))
-                spent.update(window)
-                break
-    return out
+def where(guard: Column, found: Column) -> Column:
+    """Findings if the guard holds; otherwise they are not worked out."""
+    return F.when(guard, found.cast(FOUND)).otherwise(F.array().cast(FOUND))
 
 
-@F.pandas_udf(PHRASES)
-def phrase_findings(content: pd.Series) -> pd.Series:
-    return content.map(lambda c: [{"line": a, "rule": b, "evidence": e} for a, b, e in _phrases(c or "")])
+def phrases(lines: Column, keys: Column) -> Column:
+    """Raw phrases by line, then canonical ones in the smallest windows that touch no line spent.
 
+    The smallest window that matches at a line hangs on the lines alone; only
+    whether the line is spent by then hangs on earlier windows, which end where
+    `until` says.
+    """
+    pattern = rules.INJECTION_PHRASE
 
-def scan_phrases(files: DataFrame, structural: DataFrame) -> DataFrame:
-    found = files.select("path", "surface", F.explode(phrase_findings("content")).alias("f")).select("path", "surface", "f.line", "f.rule", "f.evidence")
-    backed = found.where("surface = 'corroborate_only'").join(structural, "path", "left_semi")
-    return found.where("surface <> 'corroborate_only'").unionByName(backed)
+    def settle(keys: Column, raw: Column) -> Column:
+        free = lambda i: ~F.get(raw, i)  # noqa: E731  null beyond the end
+        key = lambda i: F.get(keys, i)["text"]
+        size = lambda k, i: (
+            F.when(~free(i), 0).when(k["text"].rlike(pattern), 1).when(free(i + 1) & F.concat_ws(" ", k["text"], key(i + 1)).rlike(pattern), 2)
+            .when(free(i + 1) & free(i + 2) & F.concat_ws(" ", k["text"], key(i + 1), key(i + 2)).rlike(pattern), 3).otherwise(0)
+        )
+        windows = F.filter(F.transform(keys, lambda k, i: F.struct(i.alias("i"), size(k, i).alias("n"))), lambda w: w["n"] > 0)
+        begin = F.struct(F.lit(0).alias("until"), F.array().cast("array<struct<i:int,n:int>>").alias("kept"))
+        step = lambda acc, w: F.when(w["i"] >= acc["until"], F.struct((w["i"] + w["n"]).alias("until"), F.concat(acc["kept"], F.array(w)).alias("kept"))).otherwise(acc)
+        kept = F.aggregate(windows, begin, step, lambda acc: acc["kept"])
+        part = lambda xs, w: F.slice(xs, w["i"] + 1, w["n"])
+        steps = lambda w: F.array_distinct(F.flatten(F.transform(part(keys, w), lambda k: k["steps"])))
+        folded = F.transform(kept, lambda w: finding(w["i"] + 1, "injection_phrase_canonicalized", F.array_join(part(lines, w), "\n"), steps(w)))
+        return F.concat(hits(lines, "injection_phrase", lambda x, i: F.get(raw, i)), folded)
 
+    return once(keys, lambda ks: once(F.transform(lines, lambda x: x.rlike(pattern)), lambda raw: settle(ks, raw)))
 
-def scan_exfiltration(files: DataFrame) -> DataFrame:
-    """Lines that name a credential file within one line of a way out."""
-    near = Window.partitionBy("path").orderBy("line").rowsBetween(-1, 1)
-    marked = lines_of(files).withColumn("_out", F.max(F.col("text").rlike(rules.EGRESS_VERB)).over(near))
-    hit = marked.where(F.col("_out") & F.col("text").rlike(rules.CREDENTIAL_PATH))
-    return hit.select("path", "surface", "line", F.lit("credential_exfiltration").alias("rule"), F.col("text").alias("evidence"))
 
-
-def scan_comments(files: DataFrame) -> DataFrame:
+def comments(body: Column) -> Column:
     """HTML comments whose body another rule would flag, at the line they begin."""
-    body = F.regexp_replace("content", r"^\x{FEFF}", "")
-    gaps, comments = F.split(body, rules.HTML_COMMENT, -1), F.regexp_extract_all(body, F.lit(rules.HTML_COMMENT), F.lit(0))
-    inner = F.regexp_extract_all(body, F.lit(rules.HTML_COMMENT), F.lit(1))
     feeds = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
-    rows = files.where(body.rlike("<!--")).select("path", "surface", gaps.alias("_gaps"), comments.alias("_all"), F.posexplode(inner).alias("_at", "evidence"))
-    before = F.concat(F.slice("_gaps", F.lit(1), F.col("_at") + 1), F.slice("_all", F.lit(1), F.col("_at")))
-    e = F.col("evidence")
-    bad = e.rlike(rules.INJECTION_PHRASE) | e.rlike(rules.CURL_PIPE_SHELL) | e.rlike(rules.BASE64_EXEC) | e.rlike(rules.CREDENTIAL_PATH) & e.rlike(rules.EGRESS_VERB)
-    line = F.aggregate(F.transform(before, feeds), F.lit(1), lambda a, n: a + n)
-    return rows.where(bad).select("path", "surface", line.alias("line"), F.lit("hidden_html_instruction").alias("rule"), "evidence")
+    bad = lambda e: e.rlike(rules.INJECTION_PHRASE) | e.rlike(rules.CURL_PIPE_SHELL) | e.rlike(rules.BASE64_EXEC) | e.rlike(rules.CREDENTIAL_PATH) & e.rlike(rules.EGRESS_VERB)
+    gaps, whole = F.split(body, rules.HTML_COMMENT, -1), F.regexp_extract_all(body, F.lit(rules.HTML_COMMENT), F.lit(0))
+    inner = F.regexp_extract_all(body, F.lit(rules.HTML_COMMENT), F.lit(1))
+
+    def placed(gap: Column, all_: Column) -> Column:
+        line = lambda i: F.aggregate(F.concat(F.slice(gap, F.lit(1), i + 1), F.slice(all_, F.lit(1), i)), F.lit(1), lambda n, x: n + feeds(x))
+        return F.array_compact(F.transform(inner, lambda e, i: F.when(bad(e), finding(line(i), "hidden_html_instruction", e))))
+
+    return once(gaps, lambda gap: once(whole, lambda all_: placed(gap, all_)))
 
 
 def scan_text(files: DataFrame) -> DataFrame:
-    """All text findings, one per rule, line and evidence; evidence made safe to show."""
-    lines = scan_lines(files)
-    found = lines.unionByName(scan_phrases(files, structural_files(lines))).unionByName(scan_exfiltration(files)).unionByName(scan_comments(files))
+    """All text findings as rows of FINDING, one per rule, line and evidence; evidence made safe to show.
+
+    `steps` says how a line was written that only its canonical form gave away.
+    In files that merely corroborate, phrases count beside a structural hit of
+    the same file. A null content has none.
+    """
+    body = F.regexp_replace("content", r"^\x{FEFF}", "")
+    cut = F.transform(F.split(body, "\n", -1), lambda x: F.substring(x, 1, LINE_CHARS))
+    read = files.where("content is not null").select("path", "surface", body.alias("_body"), cut.alias("_lines"))
+    b, lines, odd = F.col("_body"), F.col("_lines"), F.col("_odd")
+    strange = lambda t: ~settled(t) | t.rlike(FOREIGN)
+    rows = read.withColumn("_odd", odd_lines(F.when(strange(b), F.transform(lines, lambda x: F.when(strange(x), x)))))
+    by_line = {name: where(whole(b), hits(lines, name, lambda x, i, line=line: line(x))) for name, (whole, line) in line_rules().items()}
+    by_line["mixed_script_word"] = where(b.rlike(FOREIGN), hits(lines, "mixed_script_word", lambda x, i: F.get(odd, i)["mixed"]))
+    rows = rows.select("path", "surface", "_body", "_lines", "_odd", *[c.alias(f"_{name}") for name, c in by_line.items()])
+    strong = F.concat(*[F.col(f"_{name}") for name in by_line if RULES[name][3]])
+    told = lambda x, i: F.coalesce(F.when(F.get(odd, i).isNotNull(), F.struct(F.get(odd, i)["text"].alias("text"), F.get(odd, i)["steps"].alias("steps"))), settled_form(x))
+    folded = F.lower(F.translate(F.regexp_replace(b, f"{rules.INVISIBLE}|[*`~]", ""), *rules.CONFUSABLES))
+    phrased = where((~settled(b) | folded.rlike(PHRASE_WORDS)) & ((F.col("surface") != "corroborate_only") | (F.size(strong) > 0)), phrases(lines, F.transform(lines, told)))
+    near = lambda out: hits(lines, "credential_exfiltration", lambda x, i: x.rlike(rules.CREDENTIAL_PATH) & (F.get(out, i) | F.coalesce(F.get(out, i - 1), F.lit(False)) | F.coalesce(F.get(out, i + 1), F.lit(False))))
+    leaked = where(b.rlike(rules.CREDENTIAL_PATH) & b.rlike(rules.EGRESS_VERB), once(F.transform(lines, lambda x: x.rlike(rules.EGRESS_VERB)), near))
+    every = F.array_distinct(F.concat(*[F.col(f"_{name}") for name in by_line], phrased, leaked, where(b.rlike("<!--"), comments(b))))
+    found = rows.select("path", "surface", F.explode(every).alias("f")).select("path", "surface", "f.*")
     about = F.create_map(*[x for name, (cat, sev, tier, _) in RULES.items() for x in (F.lit(name), F.struct(F.lit(cat).alias("category"), F.lit(sev).alias("severity"), F.lit(tier).alias("tier")))])
-    rows = found.distinct().withColumn("_a", about[F.col("rule")])
-    return rows.select("path", "surface", "line", "rule", "_a.category", "_a.severity", "_a.tier", redact_snippet("evidence").alias("evidence"))
+    return found.withColumn("_a", about[F.col("rule")]).select("path", "surface", "line", "rule", "_a.category", "_a.severity", "_a.tier", redact_snippet("evidence").alias("evidence"), "steps")
 
 
 def first_findings(found: DataFrame, most: int = 100) -> DataFrame:

@@ -279,3 +279,51 @@ def test_state_of_a_stream_is_forgotten():
     state = Mock(hasTimedOut=False, exists=False)
     assert len(list(jobs._fold(("r", "k"), iter([pd.DataFrame({"seq": [1], "seen": [True]})]), state, 5))) == 1
     state.setTimeoutDuration.assert_called_once_with(5)
+
+
+def test_settled_texts_fold_as_others_do(spark):
+    import random
+    import re
+
+    inside = re.compile(re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: f"\\U{int(m[1], 16):08x}", arrow.SETTLED) + r"\Z")
+    points = [chr(c) for c in range(1, 0x11000) if not 0xD800 <= c < 0xE000 and inside.match(chr(c))] + [chr(c) for c in range(0xE0000, 0xE0080)]
+    assert len(points) > 21_000
+    rng = random.Random(2)
+    texts = ["a" + "B ".join(points[k : k + 7]) + "z" for k in range(0, len(points), 7)] + ["".join(rng.choice([*points[:300], " ", "*", "і", "\t", "­"]) for _ in range(30)) for _ in range(500)]
+    for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", arrow.settled(F.col("t")).alias("s"), arrow.settled_form(F.col("t")).alias("c")).collect():
+        assert r["s"] and (r["c"]["text"], r["c"]["steps"]) == arrow.canonical_form(r["t"]), repr(r["t"])
+    assert [r[0] for r in spark.createDataFrame([("\ufb01",), ("e\u0301",), ("a\xa0b",), ("\u03a9",)], "t string").select(arrow.settled(F.col("t"))).collect()] == [False] * 4
+
+
+def brute_phrases(content):
+    """Lines and sizes of windows as the greedy reading gives them."""
+    import re
+
+    pattern, lines = re.compile(text_rules.rules.INJECTION_PHRASE), content.split("\n")
+    spent = {i for i, x in enumerate(lines) if pattern.search(x)}
+    out, keys = [(i + 1, 0) for i in spent], [arrow.canonical_form(x)[0] for x in lines]
+    for i in range(len(lines)):
+        for n in (1, 2, 3):
+            if i + n > len(lines) or not spent.isdisjoint(range(i, i + n)):
+                break
+            if pattern.search(" ".join(keys[i : i + n])):
+                out.append((i + 1, n))
+                spent.update(range(i, i + n))
+                break
+    return sorted(out)
+
+
+def test_windows_settle_as_they_are_read_in_order(spark):
+    import random
+
+    rng = random.Random(9)
+    parts = ["new", "system", "prompt", "new system", "*system prompt*", "new system prompt", "you are", "now a", "you are now a", "іgnоre", "ﬁne", "ignore all", "previous", "instructions", "", "override your", "rules", "x"]
+    contents = ["\n".join(rng.choice(parts) for _ in range(rng.randint(1, 14))) for _ in range(400)]
+    files = spark.createDataFrame([(str(k), "instructions", c) for k, c in enumerate(contents)], "path string, surface string, content string")
+    found = {}
+    for r in text_rules.scan_text(files).where("rule like 'injection%'").collect():
+        n = 0 if r["rule"] == "injection_phrase" else r["evidence"].count("U+000A") + 1
+        found.setdefault(int(r["path"]), []).append((r["line"], n))
+        assert (r["steps"] is None) == (n == 0)
+    for k, c in enumerate(contents):
+        assert sorted(found.get(k, [])) == brute_phrases(c), c
