@@ -25,7 +25,10 @@ LINE_CHARS = 2000
 FOUND = "array<struct<line:int,rule:string,evidence:string,steps:array<string>>>"
 ODD = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("steps", T.ArrayType(T.StringType())), T.StructField("mixed", T.BooleanType())]))
 #: Each phrase holds one of these words whole, so that a window that matches holds it in one of its lines.
-PHRASE_WORDS = r"instructions|disregard|now|prompt|override|user"
+PHRASE_WORDS = "instructions disregard now prompt override user".split()
+#: In lower case: what a text must hold for any rule, unless it holds characters that folding strips, changes or that are a finding by themselves.
+LITERALS = ["curl", "wget", "iex", "invoke-expression", "base64", "atob", "eval", ".env", "id_rsa", "npmrc", "/.ssh", "/.aws/", "/.config/gh", "credentials.json", "<!--", *PHRASE_WORDS]
+UNUSUAL = r"[*`~\xA0\xA8\xAA\xAD\xAF\xB2-\xB5\xB8-\xBA\xBC-\xBE\x{130}\x{132}\x{133}\x{13F}\x{140}\x{149}\x{17F}-\x{10FFFF}]"
 FOREIGN = r"[\p{IsCyrillic}\p{IsGreek}]"
 #: Rule: category, severity, tier, and whether it counts as a structural hit.
 RULES = {
@@ -52,6 +55,12 @@ def odd_lines(lines: pd.Series) -> pd.Series:
     return lines.map(lambda xs: None if xs is None else [told(x) for x in xs])
 
 
+def spelled(word: str) -> str:
+    """A regex of a word in all its spellings that have it as their canonical form, NFKC aside."""
+    alike = lambda c: "".join(a for a, b in zip(*rules.CONFUSABLES, strict=True) if b.lower() == c)
+    return f"(?:{rules.INVISIBLE}|[*`~])*".join(f"[{c}{c.upper()}{alike(c)}]" for c in word)
+
+
 def line_rules() -> dict[str, tuple[Callable[[Column], Column], Callable[[Column], Column]]]:
     """For each rule that one line shows by itself: whether a whole text can hold it, and whether a line does."""
     one = lambda *patterns: (lambda t: reduce(lambda a, b: a | b, [t.rlike(p) for p in patterns]),) * 2
@@ -130,16 +139,21 @@ def scan_text(files: DataFrame) -> DataFrame:
     read = files.where("content is not null").select("path", "surface", body.alias("_body"), cut.alias("_lines"))
     b, lines, odd = F.col("_body"), F.col("_lines"), F.col("_odd")
     strange = lambda t: ~settled(t) | t.rlike(FOREIGN)
+    phrase_words = b.rlike("|".join(map(spelled, PHRASE_WORDS)))
+    leaks = b.rlike(rules.CREDENTIAL_PATH) & b.rlike(rules.EGRESS_VERB)
+    # A file without any rule's literal, or that passes no rule as a whole, goes no further.
+    low = F.lower(b)
+    read = read.where(reduce(lambda x, y: x | y, [F.contains(low, F.lit(x)) for x in LITERALS]) | b.rlike(UNUSUAL))
+    read = read.where(reduce(lambda x, y: x | y, [*(whole(b) for whole, _ in line_rules().values()), phrase_words, leaks, b.rlike("<!--"), strange(b)]))
     rows = read.withColumn("_odd", odd_lines(F.when(strange(b), F.transform(lines, lambda x: F.when(strange(x), x)))))
     by_line = {name: where(whole(b), hits(lines, name, lambda x, i, line=line: line(x))) for name, (whole, line) in line_rules().items()}
     by_line["mixed_script_word"] = where(b.rlike(FOREIGN), hits(lines, "mixed_script_word", lambda x, i: F.get(odd, i)["mixed"]))
     rows = rows.select("path", "surface", "_body", "_lines", "_odd", *[c.alias(f"_{name}") for name, c in by_line.items()])
     strong = F.concat(*[F.col(f"_{name}") for name in by_line if RULES[name][3]])
     told = lambda x, i: F.coalesce(F.when(F.get(odd, i).isNotNull(), F.struct(F.get(odd, i)["text"].alias("text"), F.get(odd, i)["steps"].alias("steps"))), settled_form(x))
-    folded = F.lower(F.translate(F.regexp_replace(b, f"{rules.INVISIBLE}|[*`~]", ""), *rules.CONFUSABLES))
-    phrased = where((~settled(b) | folded.rlike(PHRASE_WORDS)) & ((F.col("surface") != "corroborate_only") | (F.size(strong) > 0)), phrases(lines, F.transform(lines, told)))
+    phrased = where((~settled(b) | phrase_words) & ((F.col("surface") != "corroborate_only") | (F.size(strong) > 0)), phrases(lines, F.transform(lines, told)))
     near = lambda out: hits(lines, "credential_exfiltration", lambda x, i: x.rlike(rules.CREDENTIAL_PATH) & (F.get(out, i) | F.coalesce(F.get(out, i - 1), F.lit(False)) | F.coalesce(F.get(out, i + 1), F.lit(False))))
-    leaked = where(b.rlike(rules.CREDENTIAL_PATH) & b.rlike(rules.EGRESS_VERB), once(F.transform(lines, lambda x: x.rlike(rules.EGRESS_VERB)), near))
+    leaked = where(leaks, once(F.transform(lines, lambda x: x.rlike(rules.EGRESS_VERB)), near))
     every = F.array_distinct(F.concat(*[F.col(f"_{name}") for name in by_line], phrased, leaked, where(b.rlike("<!--"), comments(b))))
     found = rows.select("path", "surface", F.explode(every).alias("f")).select("path", "surface", "f.*")
     about = F.create_map(*[x for name, (cat, sev, tier, _) in RULES.items() for x in (F.lit(name), F.struct(F.lit(cat).alias("category"), F.lit(sev).alias("severity"), F.lit(tier).alias("tier")))])
