@@ -10,7 +10,8 @@ from tarnish.plans.analysis import SCANS, scan_findings
 from tarnish.plans.registry import query
 from tarnish.plans.standins import table, with_views
 from tarnish.session import shared_dir
-from tarnish.streaming import jobs
+from tarnish.streaming import ingress, jobs, timed_state
+from tarnish.streaming.store import BucketStore, into
 
 
 def events_stream(spark, d):
@@ -52,19 +53,86 @@ def stream_presence(spark, d):
     return result(jobs.presence(events_stream(spark, d), late="60 days"), "append").select("user_id", F.floor(F.unix_timestamp("slot") / 120).alias("slot"))
 
 
+def told(spark, d):
+    """(repo, finding_key, seq, seen): what each scan reports, and the first scan that no longer does."""
+    found = scan_findings(spark, d).select("repo", "finding_key", "seq")
+    last = found.agg(F.max("seq")).first()[0] or 0
+    after = F.lead("seq").over(Window.partitionBy("repo", "finding_key").orderBy("seq"))
+    missed = (F.col("seq") < last) & (F.coalesce(after, F.lit(last + 1)) > F.col("seq") + 1)
+    marks = F.array(F.struct("seq", F.lit(True).alias("seen")), F.when(missed, F.struct((F.col("seq") + 1).alias("seq"), F.lit(False).alias("seen"))))
+    return found.withColumn("_told", F.array_compact(marks)).select("repo", "finding_key", F.inline("_told"))
+
+
 @query("stream_lifecycle", with_views(f"""
     WITH {SCANS}, l AS (SELECT max(seq) AS last FROM f), g AS (SELECT *, lag(seq) OVER (PARTITION BY repo, finding_key ORDER BY seq) AS before FROM f)
     SELECT repo, finding_key, CASE WHEN max(seq) = last THEN 'open' ELSE 'fixed' END AS state, min(seq) AS first_seen, max(seq) AS last_seen, count(*) AS times_seen,
         count(*) FILTER (seq > before + 1) AS times_reintroduced FROM g, l GROUP BY repo, finding_key, last""", "log"))
 def stream_lifecycle(spark, d):
-    found = scan_findings(spark, d).select("repo", "finding_key", "seq")
-    last = found.agg(F.max("seq")).first()[0] or 0
-    after = F.lead("seq").over(Window.partitionBy("repo", "finding_key").orderBy("seq"))
-    # What each scan reports, and the first that no longer does.
-    missed = (F.col("seq") < last) & (F.coalesce(after, F.lit(last + 1)) > F.col("seq") + 1)
-    told = F.array(F.struct("seq", F.lit(True).alias("seen")), F.when(missed, F.struct((F.col("seq") + 1).alias("seq"), F.lit(False).alias("seen"))))
-    sightings = found.withColumn("_told", F.array_compact(told)).select("repo", "finding_key", F.inline("_told"))
+    sightings = told(spark, d)
     path = shared_dir(spark, "sightings")
     sightings.write.parquet(path)
     stream = spark.readStream.schema(sightings.schema).parquet(path)
     return R.last_per(result(jobs.lifecycle(stream), "update"), ["repo", "finding_key"], ["batch"]).drop("batch")
+
+
+def laid(rows, by, parts, path):
+    """The rows in so many files of a folder, in the order of `by`: a stream that takes one file at a time sees them so."""
+    low, high = rows.agg(F.min(by), F.max(by)).first()
+    step = ((high - low) // parts + 1) if high is not None else 1
+    for k in range(parts):
+        at = F.lit(0 if low is None else low) + k * step
+        rows.where((F.col(by) >= at) & (F.col(by) < at + step)).coalesce(1).write.mode("append").parquet(path)
+
+
+@query("stream_store", """SELECT user_id, event_type, count(*) AS report_count, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_at, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_at FROM events GROUP BY ALL""")
+def stream_store(spark, d):
+    """Counters of users and kinds of events, merged batch by batch into buckets."""
+    keys, root = ["user_id", "event_type"], shared_dir(spark, "store")
+    events = table(spark, d, "events").select(*keys, F.col("ts").cast("timestamp").alias("ts"))
+    events.repartitionByRange(4, "ts").write.parquet(f"{root}/events")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/events")
+    store = BucketStore(spark, f"{root}/state", "user_id long, event_type string, report_count long, first_reported_at timestamp, last_reported_at timestamp", keys, 16)
+    merge = lambda old, batch: R.merge_counter(old, R.upsert_counter(batch, keys, "ts"), keys)
+    stream.writeStream.foreachBatch(into(store, merge)).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    at = lambda c, n: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(n)
+    return store.read().select(*keys, "report_count", at("first_reported_at", "first_at"), at("last_reported_at", "last_at"))
+
+
+@query("stream_ingress", """WITH r AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 13 = 0 THEN repeat(p_name, 40) WHEN p_partkey % 17 = 0 THEN '' ELSE p_name END AS name, CASE WHEN p_partkey % 11 = 0 THEN 'cargo' WHEN p_partkey % 2 = 0 THEN 'npm' ELSE 'pypi' END AS ecosystem FROM part),
+    j AS (SELECT *, '{"name":"' || name || '","ecosystem":"' || ecosystem || '","k":' || k || '}' AS raw FROM r),
+    c AS (SELECT *, CASE WHEN k % 7 = 0 THEN ['not an object of the schema'] ELSE list_filter([CASE WHEN length(name) NOT BETWEEN 1 AND 214 THEN 'name: 1 to 214 characters' END, CASE WHEN ecosystem = 'cargo' THEN 'ecosystem: npm or pypi' END], lambda x: x IS NOT NULL) END AS reasons FROM j)
+    SELECT CASE WHEN len(reasons) = 0 THEN 'accepted' ELSE 'quarantined' END AS went, CASE WHEN len(reasons) = 0 THEN name || '/' || ecosystem WHEN k % 7 = 0 THEN left(raw, length(raw) - 3) ELSE raw END AS what, reasons FROM c""")
+def stream_ingress(spark, d):
+    """Reports of unknown packages as JSON lines, some cut short, some against the rules."""
+    k, root = F.col("p_partkey"), shared_dir(spark, "ingress")
+    name = F.when(k % 13 == 0, F.expr("repeat(p_name, 40)")).when(k % 17 == 0, "").otherwise(F.col("p_name"))
+    ecosystem = F.when(k % 11 == 0, "cargo").when(k % 2 == 0, "npm").otherwise("pypi")
+    raw = F.to_json(F.struct(name.alias("name"), ecosystem.alias("ecosystem"), k.alias("k")))
+    whole = table(spark, d, "part").select(raw.alias("value"), k.alias("k"))
+    whole.select(F.when(F.col("k") % 7 == 0, F.expr("left(value, length(value) - 3)")).otherwise(F.col("value")).alias("value")).repartition(4).write.text(f"{root}/in")
+    lines = ingress.read_lines(spark, f"{root}/in", files_per_batch=2, glob="part-*")
+    accepted, quarantined = ingress.ingest(lines, ingress.PHANTOM_REPORT, ingress.PHANTOM_CHECKS, f"{root}/out", f"{root}/checkpoint")
+    none = F.array().cast("array<string>").alias("reasons")
+    good = accepted.select(F.lit("accepted").alias("went"), F.concat("name", F.lit("/"), "ecosystem").alias("what"), none)
+    return good.unionByName(quarantined.select(F.lit("quarantined").alias("went"), F.col("raw").alias("what"), "reasons"))
+
+
+#: Scans come a day apart; a finding of which none tells for so many days is forgotten.
+KEPT_DAYS = 3
+
+
+@query("stream_lifecycle_timed", with_views(f"""
+    WITH {SCANS}, l AS (SELECT max(seq) AS last FROM f), g AS (SELECT *, lag(seq) OVER w AS before, lead(seq) OVER w AS after FROM f WINDOW w AS (PARTITION BY repo, finding_key ORDER BY seq)),
+    told AS (SELECT repo, finding_key, seq, true AS seen FROM g UNION ALL SELECT repo, finding_key, seq + 1, false FROM g, l WHERE seq < last AND coalesce(after, last + 1) > seq + 1),
+    s AS (SELECT *, lag(seq) OVER (PARTITION BY repo, finding_key ORDER BY seq) AS told_before FROM told),
+    i AS (SELECT *, sum(CASE WHEN seq - told_before > {KEPT_DAYS} THEN 1 ELSE 0 END) OVER (PARTITION BY repo, finding_key ORDER BY seq) AS island FROM s),
+    n AS (SELECT *, max(island) OVER (PARTITION BY repo, finding_key) AS newest, lag(seq) OVER (PARTITION BY repo, finding_key, island, seen ORDER BY seq) AS seen_before FROM i)
+    SELECT repo, finding_key, CASE WHEN arg_max(seen, seq) THEN 'open' ELSE 'fixed' END AS state, min(seq) FILTER (seen) AS first_seen, max(seq) FILTER (seen) AS last_seen, count(*) FILTER (seen) AS times_seen,
+        count(*) FILTER (seen AND seq > seen_before + 1) AS times_reintroduced FROM n WHERE island = newest GROUP BY repo, finding_key""", "log"))
+def stream_lifecycle_timed(spark, d):
+    sightings = told(spark, d).withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("seq") * 86_400))
+    path = shared_dir(spark, "timed-sightings")
+    laid(sightings, "seq", 3, path)
+    stream = spark.readStream.schema(sightings.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    with timed_state.rocksdb(spark):
+        return R.last_per(result(timed_state.lifecycle(stream, KEPT_DAYS), "update"), ["repo", "finding_key"], ["batch"]).drop("batch")
