@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarnish.functions import rules
@@ -30,11 +30,17 @@ def added_names(staged: DataFrame, head: DataFrame) -> DataFrame:
     return new.withColumn("checked", place <= CHECKED)
 
 
+def from_repositories(spark: SparkSession, roots: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(staged, head) of repositories that all executors can read; `sources.register` makes the format known."""
+    read = lambda what: spark.read.format("git_history").options(roots=",".join(roots), what=what).load()
+    return read("staged"), read("head")
+
+
 def row(section: str, rule: Column, severity: Column, line: Column, subject: Column) -> list[Column | str]:
     return ["repo", "path", F.lit(section).alias("section"), rule.alias("rule"), severity.alias("severity"), line.cast("int").alias("line"), subject.alias("subject")]
 
 
-def scan(staged: DataFrame, head: DataFrame, registry: DataFrame, advisories: DataFrame, as_of: Column, policy: dict | None = None, lock: DataFrame | None = None) -> DataFrame:
+def scan(staged: DataFrame, head: DataFrame, registry: DataFrame, advisories: DataFrame, as_of: Column, policy: dict | None = None, lock: DataFrame | None = None, tree: DataFrame | None = None) -> DataFrame:
     """Everything found in the blobs of the index, as rows of REPORT.
 
     registry: (ecosystem, name, downloads, created, latest, licence); a name
@@ -42,7 +48,8 @@ def scan(staged: DataFrame, head: DataFrame, registry: DataFrame, advisories: Da
     lookup failed. Files that assistants read as configuration get the
     configuration rules, their other files the text rules, never both. Servers
     are held against HEAD, and against lock (repo, server, identity) where there
-    is one; additions beyond the first 25 of a repository are one row
+    is one: those of the working tree's files, `tree`, so that a server changed
+    before counts too, of the staged files if no tree is given. Additions beyond the first 25 of a repository are one row
     `not_checked`, with their number as its line.
     """
     none, kind = F.lit(None).cast("string"), classify_path("path")
@@ -78,7 +85,12 @@ def scan(staged: DataFrame, head: DataFrame, registry: DataFrame, advisories: Da
         parts.append(back(broken).select(*row("policy", F.col("rule"), none, F.lit(None), F.col("server"))))
     if lock is not None:
         owned = lambda df, repo: df.withColumn("server", F.concat(repo, F.lit("\1"), "server"))
-        there = owned(found, F.substring_index("path", "\1", 1))
+        standing = found
+        if tree is not None:
+            configs = tree.where(classify_path("path") == "mcp_config")
+            standing = config_rules.servers(configs.select(F.concat("repo", F.lit("\1"), "path").alias("path"), F.lit("mcp_config").alias("surface"), "content"))
+            by_key = by_key.unionByName(configs.select("repo", "path", F.concat("repo", F.lit("\1"), "path").alias("_k"))).distinct()
+        there = owned(standing, F.substring_index("path", "\1", 1))
         off = config_rules.verify_lock(there.select("server", "command", "args").distinct(), owned(lock, F.col("repo")))
         where = off.join(there.select("server", "path").distinct(), "server").withColumn("server", F.substring_index("server", "\1", -1))
         parts.append(back(where).select(*row("config", F.col("rule"), F.col("severity"), F.lit(None), F.col("server"))))

@@ -2,6 +2,7 @@ import json
 import subprocess
 
 import pytest
+from pyspark.sql import functions as F
 
 from tarnish.sources import manifests, register, repo_files, sinks
 
@@ -110,3 +111,70 @@ def test_reports(spark):
     assert json.loads(sinks.json_reports(scans).first()["report"])["score"] == 58.5
     done = spark.createDataFrame([("r", 1, 50.0, "complete", 1), ("r", 2, 70.0, "complete", 2), ("r", 3, 10.0, "failed", 3)], "repo string, scan int, score double, status string, completed_at int")
     assert sinks.latest_scores(done).first()["latest_score"] == 70.0
+
+
+@pytest.fixture(scope="module")
+def worked(tmp_path_factory):
+    """A repository with odd messages and paths, a manifest that changes, and things staged."""
+    root = tmp_path_factory.mktemp("git") / "worked"
+    root.mkdir()
+    git = lambda *a: subprocess.run(["git", "-C", str(root), "-c", "user.name=A\x1fnn", "-c", "user.email=a@x.org", *a], check=True, capture_output=True)
+    git("init", "-q")
+    (root / "sub").mkdir()
+    for k in range(7):
+        (root / "sub" / "package.json").write_text(json.dumps({"dependencies": {f"p{j}": "1" for j in range(k)}}))
+        (root / f"tab\t{k} é.txt").write_text(str(k))
+        git("add", ".")
+        git("commit", "-qm", f"commit {k} \x1f with \x1e marks\n\nbody")
+    git("rm", "-q", "tab\t0 é.txt")
+    (root / "sub" / "package.json").write_text('{"dependencies": {"p1": "1", "fresh-name": "2"}}')
+    (root / ".mcp.json").write_text('{"mcpServers": {"s": {"command": "bash", "args": ["x.sh"]}}}')
+    (root / "data.bin").write_bytes(b"\xff\xfe\x00")
+    git("add", ".")
+    (root / "sub" / "package.json").write_text("{}")  # not staged
+    return root
+
+
+@pytest.mark.parametrize("chunk", [1, 3, 100])
+def test_history_in_ranges(spark, worked, chunk):
+    register(spark)
+    load = lambda what, **o: spark.read.format("git_history").options(roots=str(worked), what=what, chunk=chunk, **o).load()
+    read = lambda what, **o: load(what, **o).collect()
+    commits = sorted(read("commits"), key=lambda r: r["seq"])
+    assert [(r["seq"], r["author"], r["message"]) for r in commits] == [(k, "A\x1fnn", f"commit {k} \x1f with \x1e marks\n\nbody") for k in range(7)]
+    assert load("commits").rdd.getNumPartitions() == -(-7 // chunk)
+    assert {(r["seq"], r["path"]) for r in read("files")} == {(k, p) for k in range(7) for p in ("sub/package.json", f"tab\t{k} é.txt")}
+    assert {(r["seq"], r["sha"]) for r in read("files")} == {(r["seq"], r["sha"]) for r in commits}
+    found = sorted(read("manifests"), key=lambda r: r["seq"])
+    assert [(r["path"], r["seq"], len(json.loads(r["content"])["dependencies"])) for r in found] == [("sub/package.json", k, k) for k in range(7)]
+    assert sorted(r["seq"] for r in read("manifests", limit=3)) == [0, 1, 2] and {r["sha"] for r in read("manifests", limit=3)} == {r["sha"] for r in commits[-3:]}
+    assert [r["content"] for r in read("revisions", path="tab\t3 é.txt")] == ["3"]
+
+
+def test_index_and_staged_blobs(spark, worked, tmp_path):
+    register(spark)
+    read = lambda what, root=worked: spark.read.format("git_history").options(roots=str(root), what=what).load().collect()
+    assert {r["path"] for r in read("index")} == {"sub/package.json", ".mcp.json", "data.bin", *(f"tab\t{k} é.txt" for k in range(1, 7))} and {r["mode"] for r in read("index")} == {"100644"}
+    now = {r["path"]: r["content"] for r in read("staged")}
+    assert now.keys() == {"sub/package.json", ".mcp.json"} and "fresh-name" in now["sub/package.json"]
+    assert [r["path"] for r in read("head")] == ["sub/package.json"]
+    bare = tmp_path / "none"
+    bare.mkdir()
+    subprocess.run(["git", "-C", str(bare), "init", "-q"], check=True)
+    assert [read(what, bare) for what in ("commits", "files", "manifests", "index", "staged", "head")] == [[]] * 6
+
+
+def test_staged_scan_of_a_repository(spark, worked):
+    from tarnish.operators import staged
+
+    register(spark)
+    blobs, head = staged.from_repositories(spark, [str(worked)])
+    registry = spark.createDataFrame([], "ecosystem string, name string, downloads long, created timestamp, latest string, licence string")
+    none = spark.createDataFrame([], "ecosystem string, name string, version string, id string, severity string")
+    lock = spark.createDataFrame([("worked", "s", "0"), ("worked", "t", "0")], "repo string, server string, identity string")
+    tree = spark.createDataFrame([("worked", ".cursor/mcp.json", '{"mcpServers": {"t": {"command": "node", "args": ["changed.js"]}}}')], "repo string, path string, content string")
+    found = lambda **o: {(r["path"], r["rule"], r["subject"]) for r in staged.scan(blobs, head, registry, none, F.current_timestamp(), **o).collect()}
+    plain = found()
+    assert ("sub/package.json", "phantom", "fresh-name") in plain and (".mcp.json", "mcp_shell_command", "s") in plain and not any(p == "sub/package.json" and s == "p1" for p, _, s in plain)
+    assert found(lock=lock) - plain == {(".mcp.json", "mcp_lock_mismatch", "s")}
+    assert found(lock=lock, tree=tree) - plain == {(".cursor/mcp.json", "mcp_lock_mismatch", "t")}
