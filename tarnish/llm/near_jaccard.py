@@ -1,22 +1,32 @@
 """Near-dedup for the pipeline: SimHash candidates, confirmed by Jaccard similarity.
 
 The vantage-point trees of `simhash`, at a wider reach than two bits, link the
-fingerprints of texts that may be alike: enough links to connect all that are
-near, so about one a fingerprint and tree, however large a group of copies. Each
-link is confirmed on the sets of word shingles of the two texts; components of
-what is confirmed are the groups.
+fingerprints of texts that may be alike. Candidates are confirmed on the sets of
+word shingles of the two texts, in two rounds. The first takes enough links to
+connect all that are near, about one a fingerprint and tree, however large a
+group of copies: that joins most. A link that fails may have stood for others
+that hold, so the second takes every pair within reach whose texts the first
+has not joined. These are no pairs in a table: a shard hands on blocks of
+fingerprints among which such pairs are, a block's texts come once, and are
+compared where they meet. Components of what is confirmed are the groups.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, bounded_batches, filled
-from .simhash import components, fingerprints, links, sharded
+from .simhash import ALL, BLOCK, SHARD, components, distance, fingerprints, links, parts, sharded
+
+#: Texts of each side that are compared in one place, about.
+SIDE = 512
+
 
 def shingles(text: str, width: int) -> list[bytes]:
     """All runs of `width` words, ASCII letters in lower case; a shorter text is one."""
@@ -45,22 +55,144 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> D
     return both.select("a", "b", "_a", "_b").mapInArrow(run, "a binary, b binary")
 
 
-def fingerprint_pairs(marked: DataFrame, reach: int, scratch: Scratch) -> DataFrame:
+def fingerprint_pairs(marked: DataFrame, fps: DataFrame, shards: DataFrame, reach: int) -> DataFrame:
     """Pairs (a, b) of nodes: for each fingerprint one node with each other of it, and across those that the trees link."""
-    fps = scratch.save(marked.groupBy("fp").agg(F.min("node").alias("a")), "fps")
     same = marked.select("fp", F.col("node").alias("b")).join(fps.hint("merge"), "fp").where("a <> b").select("a", "b")
-    tied = links(sharded(fps.select("fp"), reach, scratch), reach).distinct()
+    tied = links(shards, reach).distinct()
     other = lambda c, n: fps.select(F.col("fp").alias(c), F.col("a").alias(n)).hint("merge")
     tied = tied.join(other("a", "x"), "a").join(other("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     return same.unionByName(tied).distinct()
 
 
+def apart(fps: np.ndarray, group: np.ndarray, mask: int, free: int, reach: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks (indices, indices) that hold all pairs of different groups within reach that agree on `mask`, but for equal fingerprints.
+
+    A pair that agrees on an earlier part of the bits is left to that part's
+    tree. Pairs of the largest group are those of the others with it.
+    """
+    tops = parts(ALL, reach + 1)
+    earlier = tops[: tops.index(mask)] if mask in tops else []
+    largest = np.bincount(group).argmax()
+    stack = [(np.flatnonzero(group != largest), np.arange(len(fps)), mask, free)]
+    while stack:
+        own, every, mask, free = stack.pop()
+        if not len(own) or len(every) < 2 or (group[own[0]] == group[own]).all() and (group[own[0]] == group[every]).all():
+            continue
+        if len(own) * len(every) <= BLOCK * BLOCK:
+            d = distance(fps[own, None], fps[None, every])
+            near = (d <= reach) & (d > 0) & (group[own, None] != group[None, every])
+            near &= (group[None, every] == largest) | (own[:, None] < every[None, :])
+            for part in earlier:
+                near &= ((fps[own, None] ^ fps[None, every]) & np.uint64(part)) != 0
+            if near.any():
+                yield own[near.any(axis=1)], every[near.any(axis=0)]
+            continue
+        bits, v = np.uint64(mask), fps[own[len(own) // 2]]
+        d, own_d = (distance(fps[x] & bits, v & bits) for x in (every, own))
+        if d.max() == 0:
+            free &= ~mask
+            stack += [(own, every, part, free) for part in parts(free, reach + 1)]
+            continue
+        radius = min(int(np.median(own_d)), int(d.max()) - 1)
+        stack += [(own[own_d <= radius], every[d <= radius], mask, free), (own[own_d > radius], every[d > radius], mask, free)]
+
+
+def untried(shards: DataFrame, entries: DataFrame, reach: int, scratch: Scratch) -> DataFrame:
+    """Rows (key, n, side, fp, root): blocks of fingerprints among which pairs within reach are that are not yet joined; entries are (fp, root)."""
+
+    def meet(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("key", ignore_index=True)
+        key, mask, free, fps = (rows[c].to_numpy().view(np.uint64) for c in ("key", "mask", "free", "fp"))
+        group, roots = pd.factorize(rows["root"])
+        edges = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+        out = [np.zeros((0, 4), np.int64)]
+        for lo, hi in zip(edges, edges[1:], strict=False):
+            if hi - lo < 2 or (group[lo:hi] == group[lo]).all():
+                continue
+            for n, sides in enumerate(apart(fps[lo:hi], group[lo:hi], int(mask[lo]), int(free[lo]), reach)):
+                for side, at in enumerate(sides):
+                    out.append(np.stack([np.full(len(at), lo), np.full(len(at), n), np.full(len(at), side), at + lo], axis=1))
+        at, n, side, row = np.concatenate(out).T
+        return pd.DataFrame({"key": rows["key"].to_numpy()[at], "n": n, "side": side, "fp": rows["fp"].to_numpy()[row], "root": [roots[k] for k in group[row]]})
+
+    groups = max(1, -(-shards.count() // SHARD))
+    split = entries.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fp")
+    equal = entries.join(split.hint("merge"), "fp").select(F.col("fp").alias("key"), F.lit(-1).cast("long").alias("n"), F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))).alias("side"), "fp", "root")
+    sent = shards.join(entries.hint("merge"), "fp").withColumn("_group", F.pmod(F.xxhash64("key"), F.lit(groups)))
+    across = sent.groupBy("_group").applyInPandas(meet, "key long, n long, side long, fp long, root binary")
+    return scratch.save(equal.unionByName(across), "untried")
+
+
+def compared(blocks: DataFrame, members: DataFrame, texts: DataFrame, width: int, least: float, reach: int, scratch: Scratch) -> DataFrame:
+    """Edges (a, b) that join what blocks hold of similar texts; members are (node, fp, root), texts (node, _text).
+
+    A block with many texts is cut on both sides, and each part of one side
+    meets each of the other.
+    """
+    nodes = scratch.save(blocks.join(members.hint("merge"), ["fp", "root"]), "block-nodes")
+    sizes = nodes.groupBy("key", "n").agg(*[F.ceil(F.count_if(F.col("side") == k) / SIDE).cast("int").alias(f"_parts{k}") for k in (0, 1)])
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("side") == 0, F.col("_parts0")).otherwise(F.col("_parts1"))).cast("int")
+    all_of = lambda n: F.sequence(F.lit(0), F.greatest(F.col(n), F.lit(1)) - 1)
+    sent = nodes.join(sizes.hint("merge"), ["key", "n"]).withColumn("_own", own)
+    sent = sent.withColumn("_other", F.explode(F.when(F.col("side") == 0, all_of("_parts1")).otherwise(all_of("_parts0"))))
+    place = F.when(F.col("side") == 0, F.struct(F.col("_own").alias("i"), F.col("_other").alias("j"))).otherwise(F.struct(F.col("_other").alias("i"), F.col("_own").alias("j")))
+    sent = scratch.save(sent.select(F.xxhash64("key", "n", place).alias("key"), "side", "fp", "root", "node"), "block-parts")
+    groups = max(1, -(-sent.count() // (8 * SIDE)))
+
+    def verify(rows: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        for _, part in rows.groupby("key", sort=False):
+            found += similar(part, width, least, reach)
+        return pd.DataFrame(found, columns=["a", "b"])
+
+    whole = sent.join(texts.hint("merge"), "node").withColumn("_group", F.pmod("key", F.lit(groups)))
+    return whole.groupBy("_group").applyInPandas(verify, "a binary, b binary")
+
+
+def similar(part: pd.DataFrame, width: int, least: float, reach: int) -> list[tuple[bytes, bytes]]:
+    """Of the texts of two sides as many similar pairs as join what they join."""
+    sides = [part[part["side"] == k].reset_index(drop=True) for k in (0, 1)]
+    known: dict[bytes, set[bytes]] = {}
+    joined: dict[bytes, bytes] = {}
+
+    def top(root: bytes) -> bytes:
+        while (up := joined.get(root, root)) != root:
+            root = up
+        return root
+
+    fps = [x["fp"].to_numpy(np.int64).view(np.uint64) for x in sides]
+    near = distance(fps[0][:, None], fps[1][None, :]) <= reach
+    columns = [list(zip(x["node"], x["root"], x["_text"], strict=True)) for x in sides]
+    found = []
+    for i, j in zip(*np.nonzero(near), strict=True):
+        (a, ra, x), (b, rb, y) = columns[0][i], columns[1][j]
+        if a == b or top(ra) == top(rb):
+            continue
+        for node, text in ((a, x), (b, y)):
+            if node not in known:
+                known[node] = set(shingles(text, width))
+        p, q = known[a], known[b]
+        if min(len(p), len(q)) < least * max(len(p), len(q)):
+            continue
+        both = len(p & q)
+        if both / (len(p) + len(q) - both) >= least:
+            joined[top(ra)] = top(rb)
+            found.append((a, b))
+    return found
+
+
+def stars_of(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """(node, root) of all nodes of the edges, roots included."""
+    stars = components(edges, Scratch(scratch.spark, f"near-components{name}"))
+    return scratch.save(stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct()), f"stars{name}")
+
+
 def drop_near(docs: DataFrame, width: int = 5, least: float = 0.8, reach: int = 10, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Rows of `docs` with its own columns, one text of each component of similar texts: that of the smallest id.
 
     Texts are linked if their fingerprints are linked by at most `reach` bits and
     the Jaccard similarity of their sets of `width` words in a row is at least
-    `least`. Rows count by their text, whatever their ids: equal texts stay or go
+    `least`; all pairs within reach are held against that. Rows count by their text, whatever their ids: equal texts stay or go
     together; among equal ids, or where none has an id, one text stays. Null
     text counts as empty; texts without words are alike. An empty table gives no
     rows.
@@ -70,14 +202,21 @@ def drop_near(docs: DataFrame, width: int = 5, least: float = 0.8, reach: int =
     node = F.unhex(F.substring(F.sha2(filled(docs[text]), 256), 1, 32))
     rows = docs.select(node.alias("node"), docs[id_col].alias("_id"), filled(docs[text]).alias("_text"))
     marked = scratch.save(fingerprints(rows, "_text", width), "fingerprints")
-    pairs = scratch.save(fingerprint_pairs(marked, reach, scratch), "pairs")
+    fps = scratch.save(marked.groupBy("fp").agg(F.min("node").alias("a")), "fps")
+    shards = sharded(fps.select("fp"), reach, scratch)
+    pairs = scratch.save(fingerprint_pairs(marked, fps, shards, reach), "pairs")
     asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    texts = rows.select("node", "_text").join(asked.hint("merge"), "node", "left_semi").dropDuplicates(["node"])
-    edges = scratch.save(confirmed(pairs, scratch.save(texts, "texts"), width, least), "edges")
+    # Each fingerprint within reach of another has a link, so the texts of all candidates are among these.
+    texts = scratch.save(rows.select("node", "_text").join(asked.hint("merge"), "node", "left_semi").dropDuplicates(["node"]), "texts")
+    edges = scratch.save(confirmed(pairs, texts, width, least), "edges")
+    members = marked.select("node", "fp").distinct().join(asked.hint("merge"), "node", "left_semi")
+    members = scratch.save(members.join(stars_of(edges, scratch, "1").hint("merge"), "node", "left").select("node", "fp", F.coalesce("root", "node").alias("root")), "members")
+    entries = scratch.save(members.select("fp", "root").distinct(), "entries")
+    more = scratch.save(compared(untried(shards, entries, reach, scratch), members, texts, width, least, reach, scratch), "more-edges")
+    edges = edges.unionByName(more)
     if edges.isEmpty():
         return docs
-    stars = components(edges, Scratch(scratch.spark, "near-components"))
-    stars = scratch.save(stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct()), "stars")
+    stars = stars_of(edges, scratch, "2")
     named = marked.select("node", "_id").join(stars.hint("merge"), "node")
     best = named.groupBy("root").agg(F.min(F.struct(F.col("_id").isNull().alias("nameless"), F.col("_id").alias("id"), F.col("node").alias("node"))).alias("best"))
     gone = scratch.save(stars.join(best.hint("merge"), "root").where(F.col("node") != F.col("best.node")).select(F.col("node").alias("_gone")), "gone")

@@ -1,7 +1,7 @@
 import random
 
 import corpus_pipeline
-from tarnish.llm import near_jaccard
+from tarnish.llm import near_jaccard, simhash
 
 from .conftest import SCHEMA
 
@@ -65,3 +65,47 @@ def test_null_ids_and_empty_tables(spark, empty):
     df = spark.createDataFrame([(None, "A b c"), (None, "a b c"), (None, None), (3, ""), (1, "x")], "doc_id long, text string")
     got = sorted((str(r["doc_id"]), (r["text"] or "").lower()) for r in near_jaccard.drop_near(df).collect())
     assert ("None", "a b c") in got and ("1", "x") in got and sum(t == "a b c" for _, t in got) == 1
+
+
+def variants(seed=5):
+    """A base, variants whose similarity to it and to each other is below 0.8, and a near copy of each variant."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    base = [word() for _ in range(300)]
+    texts = [base]
+    for k in range(40):
+        own = list(base)
+        for at in range(10):
+            own[(k * 7 + at * 30) % 300] = word()
+        texts.append(own)
+        copy = list(own)
+        copy[(k * 7 + 3) % 300] = word()
+        texts.append(copy)
+    return [" ".join(t) for t in texts]
+
+
+def test_links_that_fail_do_not_hide_those_that_hold(spark):
+    texts = variants()
+    rows = [(k, t) for k, t in enumerate(texts)]
+    got = {r["doc_id"] for r in near_jaccard.drop_near(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    fps = [simhash.fingerprint(t, 5) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def top(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= 10 and near_jaccard.jaccard(rows[i][1], rows[j][1], 5) >= 0.8:
+                root[max(top(i), top(j))] = min(top(i), top(j))
+    assert got == {k for k in range(len(rows)) if top(k) == k}
+    assert len(got) == 41
+
+
+def test_parts_of_large_blocks_meet_each_other(spark, monkeypatch):
+    monkeypatch.setattr(near_jaccard, "SIDE", 4)
+    texts = variants(6)
+    got = near_jaccard.drop_near(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3))
+    assert got.count() == 41
