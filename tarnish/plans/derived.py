@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tarnish.functions import rules
 from tarnish.functions import scalar as S
-from tarnish.operators import history
+from tarnish.operators import config_rules, history
 from tarnish.plans.registry import query
 from tarnish.plans.standins import table
 
@@ -108,3 +108,73 @@ _COMMIT = """CASE event_id % 6 WHEN 0 THEN 'dependabot[bot]' WHEN 1 THEN 'aider'
 def commit_rows(spark, d):
     rows = table(spark, d, "events").selectExpr("event_id AS sha", *[f"{e}" for e in _COMMIT.replace("\n", " ").split(", ")])
     return history.classified(rows).select("sha", "automation", "ai")
+
+
+# Tool servers: one configuration for each customer.
+_SERVERS = """SELECT c_custkey AS k, 's' || CAST(c_custkey AS STRING) AS server, 'c' || CAST(c_custkey AS STRING) || '/.mcp.json' AS path,
+    CASE c_custkey % 7 WHEN 0 THEN 'npx' WHEN 1 THEN 'bash' WHEN 2 THEN 'node' WHEN 3 THEN 'uvx' WHEN 4 THEN 'https://mcp.example.com/sse' WHEN 5 THEN 'npx' ELSE '' END AS command,
+    CASE c_custkey % 5 WHEN 0 THEN '-y' WHEN 1 THEN '-c' WHEN 2 THEN '/home' WHEN 3 THEN '--yes' ELSE 'a | b' END AS a1,
+    'pkg-' || CAST(c_custkey % 9 AS STRING) || CASE c_custkey % 4 WHEN 0 THEN '@1.' || CAST(c_custkey AS STRING) WHEN 1 THEN '@latest' ELSE '' END AS a2 FROM customer"""
+_S = f"s AS ({_SERVERS.replace('STRING', 'VARCHAR')}), p AS (SELECT *, CASE WHEN command IN ('npx', 'uvx') THEN CASE WHEN a1 NOT LIKE '-%' THEN a1 ELSE a2 END END AS package FROM s)"
+_STRIP = lambda c: "(SELECT " + RULES["strip"] + f" FROM (SELECT {c} AS x))"
+_ID = f"trim(command || ' ' || {_STRIP('a1')} || ' ' || {_STRIP('a2')})"
+
+
+def tool_servers(spark, d):
+    table(spark, d, "customer").createOrReplaceTempView("customer_of_tool_servers")
+    return spark.sql(_SERVERS.replace("FROM customer", "FROM customer_of_tool_servers"))
+
+
+def configs_of(rows, *flags):
+    """Rows (k, server, path, command, a1, a2) as configuration files."""
+    server = F.struct("command", F.array("a1", "a2").alias("args"), *flags)
+    return rows.select("path", F.lit("mcp_config").alias("surface"), F.to_json(F.struct(F.map_from_arrays(F.array("server"), F.array(server)).alias("mcpServers"))).alias("content"))
+
+
+@query("config_rows", f"""WITH {_S}
+    SELECT path, 'always_allow' AS rule, server FROM s WHERE k % 6 = 0
+    UNION ALL SELECT path, 'mcp_shell_command', server FROM s WHERE regexp_matches(command, '{_q(rules.SHELL_COMMAND)}') OR regexp_matches(a1, '{_q(rules.SHELL_METACHAR)}')
+    UNION ALL SELECT path, 'unpinned_npx', server FROM p WHERE package IS NOT NULL AND a1 IN ('-y', '--yes') AND NOT regexp_matches(package, '^.+@[^@]*$')
+    UNION ALL SELECT 'p' || c_custkey || '/.claude/settings.json', 'wildcard_permission', NULL FROM customer WHERE c_custkey % 3 = 0""")
+def config_rows(spark, d):
+    allow = F.when(F.col("k") % 6 == 0, F.array(F.lit("t"))).when(F.col("k") % 6 == 1, F.array().cast("array<string>"))
+    files = configs_of(tool_servers(spark, d), allow.alias("alwaysAllow"))
+    k = F.col("c_custkey")
+    permissions = table(spark, d, "customer").select(F.concat(F.lit("p"), k, F.lit("/.claude/settings.json")).alias("path"), F.lit("permissions").alias("surface"),
+        F.to_json(F.struct(F.struct(F.array(F.when(k % 3 == 0, "Bash(*)").otherwise("Bash(ls)"), F.lit("Read(src/**)")).alias("allow")).alias("permissions"))).alias("content"))
+    broken = permissions.select("path", "surface", F.expr("left(content, 5)").alias("content"))
+    return config_rules.audit(files.unionByName(permissions).unionByName(broken.withColumn("path", F.concat(F.lit("x"), "path")))).select("path", "rule", "server")
+
+
+@query("server_rows", f"""WITH {_S}, f AS (SELECT *, command IN ({", ".join(f"'{x}'" for x in rules.RISK_SHELLS)}) OR regexp_matches(a1, '{_q(rules.RISK_METACHAR)}') AS shell, a1 LIKE '/%' AS paths, command LIKE 'https://%' AS remote,
+        coalesce(regexp_matches(package, '^.+@[\\d~^><=v][^@]*$'), true) AS fixed FROM p),
+    r AS (SELECT *, list_filter([CASE WHEN shell THEN 'shell' END, CASE WHEN paths THEN 'filesystem_paths' END, CASE WHEN remote THEN 'remote_endpoint' END, CASE WHEN command = '' THEN 'no_executable' END,
+        CASE WHEN NOT remote AND NOT fixed AND package IS NOT NULL THEN 'unpinned_package' END], lambda x: x IS NOT NULL) AS reasons FROM f)
+    SELECT server, CASE WHEN shell THEN 'high' WHEN len(reasons) > 0 THEN 'medium' ELSE 'low' END AS risk, CASE WHEN fixed THEN regexp_extract(package, '^(.+)@[^@]*$', 1) ELSE package END AS package_ref, NOT remote AND fixed AS pinned, array_to_string(reasons, ',') AS reasons FROM r""")
+def server_rows(spark, d):
+    found = config_rules.assess(config_rules.servers(configs_of(tool_servers(spark, d))))
+    return found.select("server", "risk", "package_ref", "pinned", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query("lock_rows", f"""WITH {_S} SELECT server, CASE k % 3 WHEN 1 THEN 'mcp_lock_mismatch' ELSE 'mcp_server_unapproved' END AS rule, CASE k % 3 WHEN 1 THEN 'critical' ELSE 'high' END AS severity FROM s WHERE k % 3 > 0
+    UNION ALL SELECT 'gone' || k, 'stale', 'low' FROM s WHERE k % 10 = 0""")
+def lock_rows(spark, d):
+    rows = tool_servers(spark, d)
+    found = config_rules.servers(configs_of(rows))
+    args = F.array("a1", F.regexp_replace("a2", "@.*", "@9.9"))  # another version is no other program
+    same = rows.where("k % 3 = 0").select("server", S.invocation_identity("command", args).alias("identity"))
+    other = rows.where("k % 3 = 1").select("server", F.concat("command", F.lit(" other")).alias("identity"))
+    gone = rows.where("k % 10 = 0").select(F.concat(F.lit("gone"), "k").alias("server"), F.lit("x").alias("identity"))
+    lock = same.unionByName(other).unionByName(gone)
+    return config_rules.verify_lock(found, lock).unionByName(config_rules.stale_locks(found, lock).select("server", F.lit("stale").alias("rule"), F.lit("low").alias("severity")))
+
+
+@query("redefinition_rows", f"""WITH {_S}, v AS (SELECT *, CASE k % 4 WHEN 1 THEN 'q-' || a2 ELSE a2 END AS b2, CASE WHEN k % 4 = 2 THEN 'bash' ELSE command END AS b, regexp_matches(a1, '{_q(rules.SHELL_METACHAR)}') AS piped FROM s)
+    SELECT path, 2 AS seq, server, CASE WHEN b = 'bash' AND command <> 'bash' AND NOT piped THEN 'critical' ELSE 'high' END AS severity FROM v WHERE {_STRIP('b2')} <> {_STRIP('a2')} OR b <> command""")
+def redefinition_rows(spark, d):
+    rows = tool_servers(spark, d)
+    k = F.col("k") % 4
+    second = F.when(k == 1, F.concat(F.lit("q-"), "a2")).when((k == 3) & ~F.col("a2").contains("@"), F.concat("a2", F.lit("@2.0"))).otherwise(F.col("a2"))
+    later = rows.withColumns({"a2": second, "command": F.when(k == 2, "bash").otherwise(F.col("command"))})
+    revision = lambda r, seq: configs_of(r).select("path", F.lit(seq).alias("seq"), "content")
+    return config_rules.redefined(revision(rows, 1).unionByName(revision(later, 2))).select("path", F.col("seq").cast("int").alias("seq"), "server", "severity")
