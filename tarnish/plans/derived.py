@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from tarnish.functions import rules
 from tarnish.functions import scalar as S
-from tarnish.operators import config_rules, history
+from tarnish.operators import config_rules, dependencies, history
+from tarnish.operators import relational as R
 from tarnish.plans.registry import query
-from tarnish.plans.standins import table
+from tarnish.plans.standins import AS_OF, table
 
 K, N = "CAST(p_partkey AS STRING)", "replace(p_name, ' ', '-')"
 
@@ -178,3 +179,41 @@ def redefinition_rows(spark, d):
     later = rows.withColumns({"a2": second, "command": F.when(k == 2, "bash").otherwise(F.col("command"))})
     revision = lambda r, seq: configs_of(r).select("path", F.lit(seq).alias("seq"), "content")
     return config_rules.redefined(revision(rows, 1).unionByName(revision(later, 2))).select("path", F.col("seq").cast("int").alias("seq"), "server", "severity")
+
+
+# Packages: one for each part, in twenty repositories.
+_PACKAGES = """q AS (SELECT p_partkey AS k, 'r' || p_partkey % 20 AS repo, 'package-of-part-' || p_partkey AS name, p_partkey % 2 = 0 OR p_partkey % 5 = 0 AS declared, p_partkey % 3 = 0 AS imported,
+        CASE p_partkey % 7 WHEN 0 THEN 'not_found' WHEN 1 THEN 'error' ELSE 'ok' END AS lookup, p_partkey % 10 * 20 AS downloads, p_partkey % 200 AS age, p_partkey % 11 = 0 AS member FROM part),
+    v AS (SELECT *, CASE WHEN member OR lookup = 'error' THEN CASE WHEN declared AND NOT imported THEN 'unused' ELSE 'healthy' END WHEN lookup = 'not_found' THEN 'phantom'
+        WHEN declared AND NOT imported THEN 'unused' WHEN downloads < 50 OR age < 90 THEN 'suspicious' ELSE 'healthy' END AS status, CASE WHEN lookup = 'error' AND NOT member THEN 'registry_unreachable' END AS error FROM q WHERE declared OR imported)"""
+
+
+def package_verdicts(spark, d):
+    k = F.col("p_partkey")
+    rows = table(spark, d, "part").select(k.alias("k"), F.concat(F.lit("r"), k % 20).alias("repo"), F.lit("npm").alias("ecosystem"), F.concat(F.lit("package-of-part-"), k).alias("name"))
+    declared = rows.where("k % 2 = 0 OR k % 5 = 0").select("repo", "ecosystem", "name", F.lit("^1.2.3").alias("spec"), F.lit(False).alias("is_dev"))
+    imported = rows.where("k % 3 = 0").select("repo", "ecosystem", "name")
+    lookup = F.when(F.col("k") % 7 == 0, "not_found").when(F.col("k") % 7 == 1, "error").otherwise("ok")
+    registry = rows.select("ecosystem", "name", lookup.alias("lookup_status"), (F.col("k") % 10 * 20).cast("double").alias("downloads"), (R.moment(AS_OF) - F.make_dt_interval(days=(F.col("k") % 200).cast("int"))).alias("created"))
+    required = spark.createDataFrame([], "repo string, ecosystem string, name string")
+    listed = dependencies.exempt(dependencies.declared_or_imported(declared, imported), required)
+    return dependencies.verdicts(listed, registry, rows.where("k % 11 = 0").select("repo", "name"), R.moment(AS_OF))
+
+
+@query("verdict_rows", f"WITH {_PACKAGES} SELECT repo, name, status, error, member AS workspace_member FROM v")
+def verdict_rows(spark, d):
+    return package_verdicts(spark, d).select("repo", "name", "status", "error", "workspace_member")
+
+
+@query("vulnerability_rows", f"""WITH {_PACKAGES}, a AS (SELECT repo, name, CASE WHEN k % 17 = 0 THEN 'critical' ELSE 'high' END AS worst FROM q WHERE k % 13 = 0 OR k % 17 = 0 UNION ALL SELECT repo, 'deep-' || k, 'medium' FROM q WHERE k % 29 = 0)
+    SELECT coalesce(v.repo, a.repo) AS repo, coalesce(v.name, a.name) AS name, CASE WHEN a.worst IS NOT NULL AND (v.status IS NULL OR v.status <> 'phantom') THEN 'vulnerable' ELSE v.status END AS status, a.worst AS max_severity, v.status IS NULL AS transitive
+    FROM v FULL JOIN a ON v.repo = a.repo AND v.name = a.name""")
+def vulnerability_rows(spark, d):
+    k = F.col("p_partkey")
+    told = F.array_compact(F.array(
+        *[F.when(k % 13 == 0, F.struct(F.concat(F.lit("package-of-part-"), k).alias("name"), F.lit(i).alias("id"), F.lit(s).alias("severity"))) for i, s in (("G-1", "low"), ("G-2", "high"))],
+        F.when(k % 17 == 0, F.struct(F.concat(F.lit("package-of-part-"), k).alias("name"), F.lit("G-3").alias("id"), F.lit("critical").alias("severity"))),
+        F.when(k % 29 == 0, F.struct(F.concat(F.lit("deep-"), k).alias("name"), F.lit("G-4").alias("id"), F.lit("medium").alias("severity"))),
+    ))
+    advisories = table(spark, d, "part").select(F.concat(F.lit("r"), k % 20).alias("repo"), F.lit("npm").alias("ecosystem"), F.inline(told))
+    return dependencies.apply_vulnerabilities(package_verdicts(spark, d), advisories).select("repo", "name", "status", "max_severity", "transitive")
