@@ -82,7 +82,8 @@ def proposed(asked: DataFrame, declared: DataFrame) -> DataFrame:
 def verify(asked: DataFrame, registry: DataFrame, advisories: DataFrame, as_of: Column) -> DataFrame:
     """Whether packages (ecosystem, name, version or null) are real and can be trusted, one row for each distinct one asked for.
 
-    registry: (ecosystem, name, downloads, created, latest) of what exists.
+    registry: (ecosystem, name, downloads, created, latest) of what exists, and
+    deprecated where it is known: a notice that stays beside the status.
     advisories: (ecosystem, name, version, id, severity). Missing comes first;
     few downloads or a recent date make a package suspicious, then a name close
     to a popular one, then a name that assistants are known to invent; known
@@ -94,7 +95,8 @@ def verify(asked: DataFrame, registry: DataFrame, advisories: DataFrame, as_of:
     names = asked.select("ecosystem", F.when(eco == "pypi", pypi_name("name")).otherwise(F.col("name")).alias("name"), "version").distinct()
     invented = spark.createDataFrame([(e, n, rules.CONFUSED_WITH.get(n)) for e, n in rules.HALLUCINATED], "ecosystem string, _lower string, confused_with string").withColumn("_listed", F.lit(True))
     close = nearest_popular(names).select("ecosystem", "name", F.col("target").alias("_target"), F.col("distance").alias("_distance"))
-    rows = names.join(registry.select("ecosystem", "name", "downloads", "created", "latest", F.lit(True).alias("_there")), ["ecosystem", "name"], "left").join(close, ["ecosystem", "name"], "left")
+    notice = F.col("deprecated") if "deprecated" in registry.columns else F.lit(None).cast("string")
+    rows = names.join(registry.select("ecosystem", "name", "downloads", "created", "latest", notice.alias("_notice"), F.lit(True).alias("_there")), ["ecosystem", "name"], "left").join(close, ["ecosystem", "name"], "left")
     rows = rows.withColumn("_lower", F.lower("name")).join(F.broadcast(invented), ["ecosystem", "_lower"], "left")
     worst = F.max_by("severity", rank_in(rules.SEVERITIES, "severity", 0)).alias("max_severity")
     known = advisories.groupBy("ecosystem", "name", F.col("version").alias("_at")).agg(F.count_distinct("id").alias("vulnerabilities"), worst)
@@ -115,4 +117,5 @@ def verify(asked: DataFrame, registry: DataFrame, advisories: DataFrame, as_of:
         F.when(there & alike, F.col("_target")).alias("typosquat_of"), F.when(there & alike, F.col("_distance")).alias("typosquat_distance"),
         F.coalesce(near, F.col("confused_with")).alias("alternative"), F.when(near.isNotNull(), fuzzy_alternative(F.col("_distance"))).when(F.col("confused_with").isNotNull(), 1.0).alias("alternative_confidence"),
         F.when(there, F.col("vulnerabilities")).alias("vulnerabilities"), F.when(there, F.col("max_severity")).alias("max_severity"),
+        F.when(there, F.col("_notice")).alias("deprecated"),
     )

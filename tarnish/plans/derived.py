@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from tarnish.functions import rules
 from tarnish.functions import scalar as S
-from tarnish.operators import config_rules, dependencies, history
+from tarnish.operators import config_rules, dependencies, history, packages
 from tarnish.operators import relational as R
 from tarnish.plans.registry import query
 from tarnish.plans.standins import AS_OF, table
+from tarnish.sources import registry
 
 K, N = "CAST(p_partkey AS STRING)", "replace(p_name, ' ', '-')"
 
@@ -217,3 +218,46 @@ def vulnerability_rows(spark, d):
     ))
     advisories = table(spark, d, "part").select(F.concat(F.lit("r"), k % 20).alias("repo"), F.lit("npm").alias("ecosystem"), F.inline(told))
     return dependencies.apply_vulnerabilities(package_verdicts(spark, d), advisories).select("repo", "name", "status", "max_severity", "transitive")
+
+
+# Registry documents: one for each part, of several shapes.
+@query("registry_rows", f"""SELECT p_partkey AS id, CASE WHEN p_partkey % 10 = 9 THEN 'not_found' WHEN p_partkey % 10 = 8 THEN 'error' ELSE 'ok' END AS lookup_status,
+    CASE WHEN p_partkey % 10 < 8 THEN CASE WHEN p_partkey % 2 = 1 THEN p_size WHEN p_partkey % 3 = 0 THEN NULL WHEN p_partkey % 3 = 1 THEN 0 ELSE p_size END END::DOUBLE AS downloads,
+    CASE WHEN p_partkey % 10 < 8 THEN '2020-01-0' || (1 + p_partkey % 5) END AS created, CASE WHEN p_partkey % 10 < 8 THEN '1.' || p_partkey END AS latest,
+    CASE WHEN p_partkey % 10 < 8 THEN CASE WHEN p_partkey % 2 = 1 THEN 'MIT' WHEN p_partkey % 4 = 0 THEN 'ISC' ELSE 'BSD-' || p_size END END AS licence,
+    CASE WHEN p_partkey % 10 < 8 THEN CASE WHEN p_partkey % 2 = 1 THEN CASE WHEN p_partkey % 3 = 0 THEN 'yanked from the index' END WHEN p_partkey % 6 = 0 THEN 'use ' || p_name END END AS deprecated,
+    CASE WHEN p_partkey % 10 < 8 AND p_partkey % 2 = 0 THEN p_size * 100 END AS unpacked_size FROM part""")
+def registry_rows(spark, d):
+    return registry.records(registry_documents(spark, d)).select(
+        F.regexp_extract("name", r"\d+", 0).cast("long").alias("id"), "lookup_status", "downloads", F.date_format("created", "yyyy-MM-dd").alias("created"), "latest", "licence", "deprecated", "unpacked_size")
+
+
+@query("release_rows", """SELECT p_partkey AS id, '1.' || p_partkey AS version, CASE WHEN p_partkey % 2 = 0 AND p_partkey % 6 = 0 THEN 'use ' || p_name END AS deprecated, p_partkey % 2 = 1 AND p_partkey % 5 = 0 AS yanked FROM part WHERE p_partkey % 10 < 8
+    UNION ALL SELECT p_partkey, '0.9', NULL, false FROM part WHERE p_partkey % 10 < 8""")
+def release_rows(spark, d):
+    return registry.versions(registry_documents(spark, d)).select(F.regexp_extract("name", r"\d+", 0).cast("long").alias("id"), "version", "deprecated", "yanked")
+
+
+def registry_documents(spark, d):
+    k = F.col("p_partkey")
+    at, version, last = F.concat(F.lit("2020-01-0"), 1 + k % 5, F.lit("T10:00:00.000Z")), F.concat(F.lit("1."), k), F.lit("2021-05-05T00:00:00Z")
+    licence = F.when(k % 4 == 0, '"ISC"').otherwise(F.concat(F.lit('{"type": "BSD-'), "p_size", F.lit('"}')))
+    notice = F.when(k % 6 == 0, F.concat(F.lit(', "deprecated": "use '), "p_name", F.lit('"'))).when(k % 6 == 2, ', "deprecated": true').otherwise("")
+    npm = F.concat(F.lit('{"dist-tags": {"latest": "'), version, F.lit('"}, "time": {"created": "'), at, F.lit('"}, "versions": {"0.9": {"license": 5}, "'), version, F.lit('": {"license": '), licence, F.lit(', "dist": {"unpackedSize": '), F.col("p_size") * 100, F.lit("}"), notice, F.lit("}}}"))
+    pypi = F.concat(F.lit('{"info": {"version": "'), version, F.lit('", "license": "MIT", "classifiers": null, "yanked": '), F.when(k % 3 == 0, "true").otherwise("null"), F.lit('}, "releases": {"0.9": [], "'), version,
+        F.lit('": [{"upload_time_iso_8601": "'), last, F.lit('", "yanked": true}, {"upload_time_iso_8601": "'), at, F.lit('", "yanked": '), F.when(k % 5 == 0, "true").otherwise("false"), F.lit("}]}}"))
+    counted = F.when(k % 2 == 1, F.concat(F.lit('{"data": {"last_month": '), "p_size", F.lit("}}"))).when(k % 3 == 1, '{"downloads": null}').when(k % 3 == 2, F.concat(F.lit('{"downloads": '), "p_size", F.lit("}")))
+    return table(spark, d, "part").select(
+        F.when(k % 2 == 0, "npm").otherwise("pypi").alias("ecosystem"), F.concat(F.lit("part-"), k).alias("name"), F.when(k % 10 == 9, 404).otherwise(200).alias("http_status"),
+        F.when(k % 10 == 9, None).when(k % 10 == 8, "<html>").when(k % 2 == 0, npm).otherwise(pypi).alias("body"), counted.alias("downloads"))
+
+
+@query("verified_documents", """SELECT p_partkey AS id, p_partkey % 10 <> 9 AS there,
+    CASE WHEN p_partkey % 10 < 8 THEN CASE WHEN p_partkey % 2 = 1 THEN CASE WHEN p_partkey % 3 = 0 THEN 'yanked from the index' END WHEN p_partkey % 6 = 0 THEN 'use ' || p_name END END AS deprecated FROM part WHERE p_partkey % 10 <> 8""")
+def verified_documents(spark, d):
+    """Packages verified against the documents; one whose lookup failed is not asked for."""
+    found = registry.records(registry_documents(spark, d))
+    asked = found.where("lookup_status <> 'error'").select("ecosystem", "name", F.lit(None).cast("string").alias("version"))
+    none = spark.createDataFrame([], "ecosystem string, name string, version string, id string, severity string")
+    told = packages.verify(asked, found.where("lookup_status = 'ok'"), none, R.moment(AS_OF))
+    return told.select(F.regexp_extract("name", r"\d+", 0).cast("long").alias("id"), F.col("exists").alias("there"), "deprecated")

@@ -69,7 +69,7 @@ def verify_packages(spark, d):
     registry = known.where(h % 5 > 0).select("ecosystem", "name", downloads.alias("downloads"), created.alias("created"), F.concat(F.lit("1.0."), h % 3).alias("latest"))
     told = F.array(F.struct(F.lit("A-1").alias("id"), F.lit("low").alias("severity")), F.struct(F.lit("A-2").alias("id"), F.when(h % 12 < 6, "high").otherwise("critical").alias("severity")))
     advisories = known.where((h % 6 == 1) & (h % 5 > 0)).select("ecosystem", "name", F.concat(F.lit("1.0."), h % 2).alias("version"), F.inline(told))
-    return packages.verify(asked, registry, advisories, R.moment(AS_OF)).withColumn("why", F.array_join("why", ",")).drop("exists")
+    return packages.verify(asked, registry, advisories, R.moment(AS_OF)).withColumn("why", F.array_join("why", ",")).drop("exists").drop("deprecated")
 
 
 _FAMILY = lambda t: "CASE " + " ".join(f"WHEN regexp_matches({t}, '{p}') THEN '{f}'" for f, p in rules.LICENCE_FAMILIES) + " END"

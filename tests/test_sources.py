@@ -178,3 +178,15 @@ def test_staged_scan_of_a_repository(spark, worked):
     assert ("sub/package.json", "phantom", "fresh-name") in plain and (".mcp.json", "mcp_shell_command", "s") in plain and not any(p == "sub/package.json" and s == "p1" for p, _, s in plain)
     assert found(lock=lock) - plain == {(".mcp.json", "mcp_lock_mismatch", "s")}
     assert found(lock=lock, tree=tree) - plain == {(".cursor/mcp.json", "mcp_lock_mismatch", "t")}
+
+
+def test_registry_documents_of_odd_shapes(spark):
+    from tarnish.sources import registry
+
+    odd = ["null", "5", "[]", "{}", "not json", None, '{"versions": [], "dist-tags": 7}', '{"dist-tags": {"latest": "1\'.0"}, "versions": {"1\'.0": {"license": {"type": 3}, "deprecated": true, "dist": {"unpackedSize": "x"}}}}', '{"info": 5, "releases": {"1": {}, "2": [7, null]}}']
+    rows = [(eco, f"{eco}{k}", 200, body, "[]") for k, body in enumerate(odd) for eco in ("npm", "pypi")] + [("npm", "gone", 404, None, None), ("npm", "down", 503, "{}", None), ("npm", "none", None, "{}", None)]
+    fetched = spark.createDataFrame(rows, "ecosystem string, name string, http_status int, body string, downloads string")
+    got = {r["name"]: r for r in registry.records(fetched).collect()}
+    assert {n for n, r in got.items() if r["lookup_status"] != "ok"} == {"npm4", "pypi4", "npm5", "pypi5", "gone", "down", "none"} and got["gone"]["lookup_status"] == "not_found"
+    assert got["npm7"]["latest"] == "1'.0" and all(got["npm7"][c] is None for c in ("licence", "deprecated", "unpacked_size", "created")) and got["npm3"]["downloads"] == 0 and got["pypi3"]["downloads"] is None
+    assert {(r["name"], r["version"]) for r in registry.versions(fetched).collect()} == {("npm7", "1'.0"), ("pypi8", "1"), ("pypi8", "2")}
