@@ -227,3 +227,13 @@ def coverage_caveat(marked: str | Column, examined: str | Column, truncated: str
     said = F.when(n == 0, F.format_string("None of %d commits names an assistant, which does not show that none was used.", all_))
     said = said.when(n < rules.MIN_AI_COMMITS, F.format_string("%d of %d commits name an assistant: a direction, no evidence.", n, all_))
     return F.concat(said.otherwise(F.format_string("%d of %d commits name an assistant: a floor, not a total.", n, all_)), cut)
+
+
+def normalise_email(address: str | Column) -> Column:
+    """Addresses that differ by case or white space round them are one mailbox."""
+    return F.lower(F.regexp_replace(_c(address), r"^\s+|\s+\z", ""))
+
+
+def evidence_key(rule: str | Column, line: str | Column, evidence: str | Column) -> Column:
+    """What two findings of a file share if they are one."""
+    return F.concat_ws(":", _c(rule), _c(line).cast("string"), F.substring(F.sha2(_c(evidence), 256), 1, 12))

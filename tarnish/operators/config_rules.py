@@ -160,3 +160,10 @@ def surface_score(found: DataFrame) -> DataFrame:
 
     counts = found.groupBy("path").agg(*[F.count_if(F.col("severity") == s).alias(f"agent_{s}") for s in rules.AGENT_DAMAGE])
     return counts.withColumn("score", axis(*by_severity("agent", rules.AGENT_DAMAGE)))
+
+
+def locked_servers(locks: DataFrame) -> DataFrame:
+    """(repo, server, identity) of lock files (repo, content): of version 1 only; a malformed file counts as none."""
+    doc = F.from_json("content", "version int, servers map<string,struct<identity:string>>", {"mode": "PERMISSIVE"})
+    rows = locks.select("repo", doc.alias("d")).where("d.version = 1 AND d.servers IS NOT NULL")
+    return rows.select("repo", F.explode("d.servers").alias("server", "_s")).select("repo", "server", F.col("_s.identity").alias("identity"))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnish.functions.scalar import identity_key
+
 STATE = "repo string, finding_key string, kind string, state string, first_seen long, last_seen long, fixed_at long, reintroduced_at long, times_seen int, times_reintroduced int, note string"
 
 
@@ -36,6 +40,25 @@ def reconcile(state: DataFrame, found: DataFrame, scan: int) -> DataFrame:
     return both.select("repo", "finding_key", *[e.alias(n) for n, e in columns.items()], event.alias("event"))
 
 
+def identities(dependencies: DataFrame, dead_code: DataFrame, secrets: DataFrame, agent: DataFrame) -> DataFrame:
+    """(repo, kind, finding_key, title, location): what a scan found, of four kinds, each once; for `reconcile`.
+
+    dependencies: (repo, ecosystem, name, status), healthy ones are no finding;
+    dead_code: (repo, path, name); secrets, those of the history included:
+    (repo, fingerprint, provider, path); agent: (repo, path, rule). Of what
+    shares a key, the first by title stays.
+    """
+    say = lambda *parts: F.concat(*[F.lit(p) if p.startswith(" ") or p in "()" else F.col(p) for p in parts])
+    row = lambda df, kind, key, title, location: df.select("repo", F.lit(kind).alias("kind"), identity_key(F.lit(kind), *key).alias("finding_key"), title.alias("title"), location.alias("location"))
+    every = [
+        row(dependencies.where("status <> 'healthy'"), "dependency", ["ecosystem", "name", "status"], say("name", " (", "status", ")"), F.lit(None).cast("string")),
+        row(dead_code, "dead_code", ["path", "name"], say("name", " in ", "path"), F.col("path")), row(secrets, "secret", ["fingerprint"], say("provider", " in ", "path"), F.col("path")),
+        row(agent, "agent_config", ["path", "rule"], say("rule", " in ", "path"), F.col("path")),
+    ]
+    first = F.min(F.struct("title", "location")).alias("_first")
+    return reduce(DataFrame.unionByName, every).groupBy("repo", "kind", "finding_key").agg(first).select("repo", "kind", "finding_key", "_first.*")
+
+
 def transition(state: DataFrame, decisions: DataFrame) -> DataFrame:
     """State after people's decisions (repo, finding_key, to_state, note); a null note keeps the old one."""
     d = decisions.select("repo", "finding_key", "to_state", F.col("note").alias("_note")).where(F.col("to_state").isin("open", "ignored", "acknowledged"))

@@ -163,3 +163,10 @@ def revision_pairs(df: DataFrame, key: str, order: Sequence[str], value: str) ->
     """Each revision of a key beside the one before it, where the value changed."""
     w = Window.partitionBy(key).orderBy(*order)
     return df.withColumn("previous", F.lag(value).over(w)).where(F.col("previous").isNotNull() & (F.col("previous") != F.col(value)))
+
+
+def first_installation(asked: DataFrame, installed: DataFrame) -> DataFrame:
+    """(org, full_name) with the first installation (org, installation, full_name) of the organisation that lists the repository, whatever its case; null if none does."""
+    name = F.lower("full_name")
+    first = installed.groupBy("org", name.alias("_name")).agg(F.min("installation").alias("installation"))
+    return asked.withColumn("_name", name).join(first, ["org", "_name"], "left").drop("_name")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tarnish.functions import rules
 from tarnish.functions import scalar as S
-from tarnish.operators import config_rules, dependencies, history, packages
+from tarnish.operators import config_rules, dependencies, history, lifecycle, packages
 from tarnish.operators import relational as R
 from tarnish.plans.registry import query
 from tarnish.plans.standins import AS_OF, table
@@ -261,3 +261,47 @@ def verified_documents(spark, d):
     none = spark.createDataFrame([], "ecosystem string, name string, version string, id string, severity string")
     told = packages.verify(asked, found.where("lookup_status = 'ok'"), none, R.moment(AS_OF))
     return told.select(F.regexp_extract("name", r"\d+", 0).cast("long").alias("id"), F.col("exists").alias("there"), "deprecated")
+
+
+@query("identity_rows", f"""WITH {_PACKAGES}, {_S}, e AS (
+    SELECT repo, 'dependency' AS kind, 'dependency:npm:' || name || ':' || status AS finding_key, name || ' (' || status || ')' AS title, NULL AS location FROM v WHERE status <> 'healthy'
+    UNION ALL SELECT 'r' || p_partkey % 20, 'dead_code', 'dead_code:src/' || replace(replace(p_brand, '\\', '\\\\'), ':', '\\:') || '\\:x.ts:f' || p_partkey % 30, 'f' || p_partkey % 30 || ' in src/' || p_brand || ':x.ts', 'src/' || p_brand || ':x.ts' FROM part
+    UNION ALL SELECT 'r' || k % 20, 'secret', 'secret:' || md5((k % 50)::VARCHAR), 'aws in ' || path, path FROM s UNION ALL SELECT 'r' || k % 20, 'agent_config', 'agent_config:' || path || ':always_allow', 'always_allow in ' || path, path FROM s WHERE k % 6 = 0)
+    SELECT repo, kind, finding_key, min(title) AS title, arg_min(location, title) AS location FROM e GROUP BY ALL""")
+def identity_rows(spark, d):
+    k = F.col("k")
+    rows = tool_servers(spark, d).withColumn("repo", F.concat(F.lit("r"), k % 20))
+    dead = table(spark, d, "part").select(F.concat(F.lit("r"), F.col("p_partkey") % 20).alias("repo"), F.concat(F.lit("src/"), "p_brand", F.lit(":x.ts")).alias("path"), F.concat(F.lit("f"), F.col("p_partkey") % 30).alias("name"))
+    secrets = rows.select("repo", F.md5((k % 50).cast("string")).alias("fingerprint"), F.lit("aws").alias("provider"), "path")
+    agent = rows.where("k % 6 = 0").select("repo", "path", F.lit("always_allow").alias("rule"))
+    return lifecycle.identities(package_verdicts(spark, d), dead, secrets, agent)
+
+
+@query("installation_rows", """WITH i AS (SELECT c_nationkey AS org, c_custkey AS installation, upper(c_name) AS full_name FROM customer UNION ALL SELECT c_nationkey, c_custkey + 1, lower(c_name) FROM customer WHERE c_custkey % 2 = 0)
+    SELECT c.c_nationkey AS org, c.c_name AS full_name, min(i.installation) AS installation FROM customer c LEFT JOIN i ON i.org = c.c_nationkey AND lower(i.full_name) = lower(c.c_name) AND c.c_custkey % 3 > 0 GROUP BY ALL""")
+def installation_rows(spark, d):
+    users = table(spark, d, "customer").select(F.col("c_nationkey").alias("org"), F.col("c_custkey").alias("installation"), F.col("c_name").alias("full_name"))
+    there = users.where("installation % 3 > 0")
+    again = there.where("installation % 2 = 0").select("org", (F.col("installation") + 1).alias("installation"), F.lower("full_name").alias("full_name"))
+    return R.first_installation(users.select("org", "full_name"), there.withColumn("full_name", F.upper("full_name")).unionByName(again))
+
+
+@query("mailboxes", "SELECT lower(trim(x)) AS mailbox, count(*) AS n FROM (SELECT CASE o_orderkey % 3 WHEN 0 THEN ' User' WHEN 1 THEN 'USER' ELSE 'user' END || o_custkey || '@X.org ' AS x FROM orders) GROUP BY 1")
+def mailboxes(spark, d):
+    k = F.col("o_orderkey") % 3
+    address = F.concat(F.when(k == 0, " User").when(k == 1, "USER").otherwise("user"), F.col("o_custkey"), F.lit("@X.org "))
+    return table(spark, d, "orders").select(S.normalise_email(address).alias("mailbox")).groupBy("mailbox").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("finding_keys", """SELECT c.conv_id, c.turn, role || ':' || turn || ':' || left(sha256(text), 12) AS key FROM conversations c WHERE text IS NOT NULL AND role IS NOT NULL""")
+def finding_keys(spark, d):
+    return table(spark, d, "conversations").where("text IS NOT NULL AND role IS NOT NULL").select("conv_id", "turn", S.evidence_key("role", "turn", "text").alias("key"))
+
+
+@query("locked_server_rows", f"""WITH {_S} SELECT 'r' || k AS repo, server, {_ID} AS identity FROM s WHERE k % 4 = 0""")
+def locked_server_rows(spark, d):
+    rows = tool_servers(spark, d)
+    identity = S.invocation_identity("command", F.array("a1", "a2"))
+    doc = F.to_json(F.struct(F.when(F.col("k") % 4 == 1, 2).otherwise(1).alias("version"), F.map_from_arrays(F.array("server"), F.array(F.struct(identity.alias("identity")))).alias("servers")))
+    content = F.when(F.col("k") % 4 == 2, F.expr("left(doc, 20)")).when(F.col("k") % 4 == 3, '{"version": 1}').otherwise(F.col("doc"))
+    return config_rules.locked_servers(rows.withColumn("doc", doc).select(F.concat(F.lit("r"), "k").alias("repo"), content.alias("content")))
