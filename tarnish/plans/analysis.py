@@ -343,17 +343,32 @@ def injection_phrases(spark, d):
     return seeds.unionByName(chats).unionByName(docs).where(F.col("body").rlike(rules.INJECTION_PHRASE)).select("id")
 
 
-@query("secret_lines")
+def _quoted(pattern):
+    return pattern.replace("'", "''")
+
+
+_SHAPES = {name: _quoted(pattern) for name, pattern in rules.PROVIDER_KEYS}
+# Without look-ahead: the address is taken with what follows, and what must not follow is tested by itself.
+_ADDRESS, _HOST = _SHAPES["connection_string"].split("(?!", 1)[0], r"[\w.-]+"
+_NO_HOST = r"^(localhost|127\.0\.0\.1|host\.docker|[\w-]+(:\d+)?([/''\x22]|\s|$)|[\w.-]*example\.)"
+_LITERAL = _quoted(rf"({rules.CREDENTIAL_NAME})[\"']?\s*[:=]\s*[\"']([^\"'\s]{{{rules.MIN_SECRET_LENGTH},}})[\"']")
+_SHAPED = " UNION ALL ".join([f"SELECT doc_id, line, '{name}' AS provider, unnest(regexp_extract_all(t, '{pattern}')) AS value FROM q" for name, pattern in _SHAPES.items() if name != "connection_string"] + [
+    f"SELECT doc_id, line, 'connection_string', regexp_extract(m, '{_ADDRESS}{_HOST}') FROM (SELECT doc_id, line, unnest(regexp_extract_all(t, '{_ADDRESS}{_HOST}(?::\\d+)?.?')) AS m FROM q) WHERE NOT regexp_matches(split_part(m, '@', -1), '{_NO_HOST}')"])
+
+
+@query("secret_lines", f"""WITH {DOC_LINES}, q AS (SELECT doc_id, line, regexp_replace(text, '([:=])\\s*([A-Za-z0-9+/_.=-]{{16,}})', '\\1 "\\2"', 'g') AS t FROM l),
+    shaped AS (SELECT * FROM ({_SHAPED}) WHERE value NOT IN ({", ".join(f"'{k}'" for k in rules.DOCUMENTED_KEYS)})),
+    named AS (SELECT doc_id, line, 'generic_secret' AS provider, unnest(regexp_extract_all(t, '{_LITERAL}', 2)) AS value FROM q ANTI JOIN shaped USING (doc_id, line)),
+    rated AS (SELECT *, (SELECT -sum(n * log2(n)) FROM (SELECT count(*) / length(value) AS n FROM (SELECT unnest(string_split(value, '')) AS ch) GROUP BY ch)) AS bits FROM named),
+    kept AS (SELECT doc_id, line, provider, 1 AS tier, value FROM shaped UNION ALL SELECT doc_id, line, provider, 2, value FROM rated
+        WHERE bits >= {rules.MIN_ENTROPY} AND bits * length(value) >= {rules.MIN_TOTAL_ENTROPY} AND NOT regexp_matches(value, '{_quoted(rules.PLACEHOLDER)}'))
+    SELECT 'src/d' || doc_id || '.ts' AS path, line, provider, tier, left(value, 4) || '…(' || length(value) || ')' AS redacted, left(sha256(provider || ':' || value), 16) AS fingerprint FROM kept""")
 def secret_lines(spark, d):
     lines = doc_lines(spark, d).select(F.concat(F.lit("src/d"), "doc_id", F.lit(".ts")).alias("path"), "line", "text")
     quoted = lines.withColumn("text", F.regexp_replace("text", r"([:=])\s*([A-Za-z0-9+/_.=-]{16,})", "$1 \"$2\""))
     return secrets.scan_secrets(quoted)
 
 
-def _quoted(pattern):
-    return pattern.replace("'", "''")
-
-
 # The rules again, in the dialect that knows no look-around and no NFKC, which changes nothing in the tables' texts.
 _HIDDEN = r"[\x00-\x1F\x7F-\x9F\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2066}-\x{2069}\x{E0000}-\x{E007F}\x{FEFF}]"
 _STAGES = f"""SELECT *, lower(w) AS key FROM (SELECT *, trim(regexp_replace(p, '\\s+', ' ', 'g')) AS w FROM (SELECT *, regexp_replace(m, '[^\\p{{L}}\\p{{N}}\\s]', ' ', 'g') AS p
