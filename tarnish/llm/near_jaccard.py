@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, bounded_batches, filled
-from .simhash import ALL, BLOCK, SHARD, components, distance, fingerprints, links, parts, sharded
+from .simhash import ALL, BLOCK, SHARD, components, distance, fingerprints, links, parts, sharded, unite
 
 #: Texts of each side that are compared in one place, about.
 SIDE = 512
@@ -149,35 +149,50 @@ def compared(blocks: DataFrame, members: DataFrame, texts: DataFrame, width: int
     return whole.groupBy("_group").applyInPandas(verify, "a binary, b binary")
 
 
-def similar(part: pd.DataFrame, width: int, least: float, reach: int) -> list[tuple[bytes, bytes]]:
-    """Of the texts of two sides as many similar pairs as join what they join."""
-    sides = [part[part["side"] == k].reset_index(drop=True) for k in (0, 1)]
-    known: dict[bytes, set[bytes]] = {}
-    joined: dict[bytes, bytes] = {}
+def shared(sides: list[list[set[bytes]]], step: int = 8192) -> np.ndarray:
+    """How many members each set of the first list has in common with each of the second."""
+    both = set().union(*sides[0]) & set().union(*sides[1])
+    column = {x: k for k, x in enumerate(both)}
+    places = []
+    for sets in sides:
+        at = [np.fromiter((column[x] for x in own if x in column), np.int64) for own in sets]
+        rows, columns = np.repeat(np.arange(len(sets)), [len(x) for x in at]), np.concatenate([np.zeros(0, np.int64), *at])
+        order = np.argsort(columns, kind="stable")
+        places.append((rows[order], columns[order]))
+    counts = np.zeros((len(sides[0]), len(sides[1])), np.float32)  # exact below 2^24
+    for lo in range(0, len(column), step):
+        blocks = []
+        for (rows, columns), sets in zip(places, sides, strict=True):
+            i, j = np.searchsorted(columns, [lo, lo + step])
+            block = np.zeros((len(sets), min(step, len(column) - lo)), np.float32)
+            block[rows[i:j], columns[i:j] - lo] = 1
+            blocks.append(block)
+        counts += blocks[0] @ blocks[1].T
+    return counts.astype(np.int64)
 
-    def top(root: bytes) -> bytes:
-        while (up := joined.get(root, root)) != root:
-            root = up
-        return root
 
+def similar(part: pd.DataFrame, width: int, least: float, reach: int) -> list[tuple[bytes, bytes]]:
+    """Of the texts of two sides as many similar pairs as join what they join."""
+    sides = [part[part["side"] == k] for k in (0, 1)]
+    nodes, roots = [x["node"].tolist() for x in sides], pd.factorize(pd.concat([x["root"] for x in sides]))[0]
+    code = [roots[: len(nodes[0])], roots[len(nodes[0]) :]]
     fps = [x["fp"].to_numpy(np.int64).view(np.uint64) for x in sides]
-    near = distance(fps[0][:, None], fps[1][None, :]) <= reach
-    columns = [list(zip(x["node"], x["root"], x["_text"], strict=True)) for x in sides]
+    near = (distance(fps[0][:, None], fps[1][None, :]) <= reach) & (code[0][:, None] != code[1][None, :])
+    if not near.any():
+        return []
+    sets = [[set(shingles(t, width)) for t in x["_text"]] for x in sides]
+    sizes = [np.array([len(s) for s in own]) for own in sets]
+    both = shared(sets)
+    alike = near & (both / (sizes[0][:, None] + sizes[1][None, :] - both) >= least)
+    i, j = np.nonzero(alike)
+    root = np.arange(roots.max() + 1)
     found = []
-    for i, j in zip(*np.nonzero(near), strict=True):
-        (a, ra, x), (b, rb, y) = columns[0][i], columns[1][j]
-        if a == b or top(ra) == top(rb):
-            continue
-        for node, text in ((a, x), (b, y)):
-            if node not in known:
-                known[node] = set(shingles(text, width))
-        p, q = known[a], known[b]
-        if min(len(p), len(q)) < least * max(len(p), len(q)):
-            continue
-        both = len(p & q)
-        if both / (len(p) + len(q) - both) >= least:
-            joined[top(ra)] = top(rb)
-            found.append((a, b))
+    while len(i):  # one pair for each two groups that are still apart
+        apart_ = root[code[0][i]] != root[code[1][j]]
+        i, j = i[apart_], j[apart_]
+        one = np.unique(np.maximum(root[code[0][i]], root[code[1][j]]), return_index=True)[1]
+        found += [(nodes[0][x], nodes[1][y]) for x, y in zip(i[one], j[one], strict=True)]
+        unite(root, code[0][i[one]], code[1][j[one]])
     return found
 
 
