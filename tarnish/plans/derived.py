@@ -72,7 +72,7 @@ def _applied(kind, x):
     req, repo = S.requirement(x), S.repo_of_url(x)
     return {
         "specifier": S.package_of_specifier, "pypi": S.pypi_name, "import": S.distribution_of_import, "strip": S.strip_version, "version": S.coerce_version, "error": S.scan_error, "csv": S.csv_cell, "html": S.html_safe,
-        "markdown": S.markdown_safe, "key": S.identity_key, "wait": lambda c: S.rate_limit_seconds(c).cast("string"), "surface": S.classify_path, "licence": S.licence_class,
+        "markdown": S.markdown_safe, "key": S.identity_key, "wait": lambda c: S.decimal_text(S.rate_limit_seconds(c)), "surface": S.classify_path, "licence": S.licence_class,
         "requirement": lambda c: F.when(req.isNotNull(), F.concat(req["name"], F.lit("|"), F.coalesce(req["spec"], F.lit("")))), "url": lambda c: F.when(repo.isNotNull(), F.concat_ws("/", repo["owner"], repo["name"])),
     }[kind](x)
 

@@ -327,3 +327,8 @@ def test_windows_settle_as_they_are_read_in_order(spark):
         assert (r["steps"] is None) == (n == 0)
     for k, c in enumerate(contents):
         assert sorted(found.get(k, [])) == brute_phrases(c), c
+
+
+@pytest.mark.parametrize(("wait", "seconds"), [("200000m", "12000000.0"), ("1200001m3.5s", "72000063.5"), ("123456789.125s", "123456789.125"), ("5s", "5.0"), ("2h", "7200.0"), ("soon", "0.0"), ("1000000000000000s", "1000000000000000.0")])
+def test_long_waits_are_written_in_digits(spark, wait, seconds):
+    assert spark.range(1).select(S.decimal_text(S.rate_limit_seconds(F.lit(wait)))).first()[0] == seconds
