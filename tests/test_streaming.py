@@ -144,3 +144,17 @@ def test_replayed_data_give_the_same_state_whatever_the_batches(spark, tmp_path)
 def test_rows_behind_the_watermark_change_nothing(spark, tmp_path):
     first, late = [("r", "a", 5, True, 5 * DAY), ("r", "b", 6, True, 6 * DAY)], [("r", "a", 4, False, 4 * DAY), ("r", "n", 4, True, 4 * DAY), ("r", "b", 7, False, 7 * DAY)]
     assert run_timed(spark, tmp_path, "late", [first, first[1:], late]) == {("a", "open", 5, 5, 1, 0), ("b", "fixed", 6, 6, 1, 0)}
+
+
+def test_states_of_findings_share_buckets(spark, tmp_path):
+    """Two batches of 40 findings: what is kept is a row a bucket, and the states carry over."""
+    schema = "repo string, finding_key string, seq long, seen boolean"
+    for told in ([(k, 0, True) for k in range(40)], [(k, 1, False) for k in range(20)] + [(k, 1, True) for k in range(20, 40)], [(k, 2, True) for k in range(10)]):
+        rows = [("r" if k else None, f"k{k}", seq, seen) for k, seq, seen in told]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    run = jobs.lifecycle(stream, buckets=4).writeStream.outputMode("update").format("memory").queryName("shared_buckets").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    run.awaitTermination()
+    assert run.lastProgress["stateOperators"][0]["numRowsTotal"] <= 4
+    got = {r["finding_key"]: tuple(r)[2:] for r in sorted(spark.table("shared_buckets").collect(), key=lambda r: (r["last_seen"], r["state"] == "fixed"))}
+    assert got == {f"k{k}": ("open", 0, 2, 2, 1) if k < 10 else ("fixed", 0, 0, 1, 0) if k < 20 else ("open", 0, 1, 2, 0) for k in range(40)}
