@@ -75,13 +75,23 @@ def stream_lifecycle(spark, d):
     return R.last_per(result(jobs.lifecycle(stream), "update"), ["repo", "finding_key"], ["batch"]).drop("batch")
 
 
+#: Rows of a file that a stream takes up.
+FILE_ROWS = 100_000
+
+
 def laid(rows, by, parts, path):
-    """The rows in so many files of a folder, in the order of `by`: a stream that takes one file at a time sees them so."""
+    """The rows as files of a folder, in the order of `by`, so many files to each of the parts; a stream that takes that many at a time sees the parts one by one.
+
+    Returns the number of files. No part has fewer rows than that, unless it is one.
+    """
     low, high = rows.agg(F.min(by), F.max(by)).first()
     step = ((high - low) // parts + 1) if high is not None else 1
+    within = lambda k: (F.col(by) >= F.lit(low or 0) + k * step) & (F.col(by) < F.lit(low or 0) + (k + 1) * step)
+    files = max(1, min(rows.agg(*[F.count_if(within(k)) for k in range(parts)]).first()) // FILE_ROWS)
     for k in range(parts):
-        at = F.lit(0 if low is None else low) + k * step
-        rows.where((F.col(by) >= at) & (F.col(by) < at + step)).coalesce(1).write.mode("append").parquet(path)
+        part = rows.where(within(k))
+        (part.repartition(files) if files > 1 else part.coalesce(1)).write.mode("append").parquet(path)
+    return files
 
 
 @query("stream_store", """SELECT user_id, event_type, count(*) AS report_count, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_at, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_at FROM events GROUP BY ALL""")
@@ -131,8 +141,9 @@ KEPT_DAYS = 3
         count(*) FILTER (seen AND seq > seen_before + 1) AS times_reintroduced FROM n WHERE island = newest GROUP BY repo, finding_key""", "log"))
 def stream_lifecycle_timed(spark, d):
     sightings = told(spark, d).withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("seq") * 86_400))
-    path = shared_dir(spark, "timed-sightings")
-    laid(sightings, "seq", 3, path)
-    stream = spark.readStream.schema(sightings.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    once, path = shared_dir(spark, "timed-told"), shared_dir(spark, "timed-sightings")
+    sightings.write.parquet(once)
+    files = laid(spark.read.schema(sightings.schema).parquet(once), "seq", 3, path)
+    stream = spark.readStream.schema(sightings.schema).option("maxFilesPerTrigger", files).parquet(path)
     with timed_state.rocksdb(spark):
         return R.last_per(result(timed_state.lifecycle(stream, KEPT_DAYS), "update"), ["repo", "finding_key"], ["batch"]).drop("batch")

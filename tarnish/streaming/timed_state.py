@@ -8,6 +8,7 @@ its timer has run by then or not. The timer only frees the state.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -16,8 +17,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from tarnish.streaming.jobs import BUCKETS, bucketed, names_of, told_of
+
 COLUMNS = "repo string, finding_key string, state string, first_seen long, last_seen long, times_seen int, times_reintroduced int"
-STATE = "state string, first_seen long, last_seen long, times_seen int, times_reintroduced int, told_ms long"
+#: A list of (repo, finding_key, state, first_seen, last_seen, times_seen, times_reintroduced, told_ms) as JSON.
+STATES = "states string"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -50,43 +54,54 @@ def folded(now: tuple | None, rows: list[tuple[int, int, bool]], keep_ms: int |
 
 
 class Lifecycle(StatefulProcessor):
-    """State of one finding, and a timer at the end of its keeping time."""
+    """States of the findings of a bucket, and a timer at the end of the shortest keeping time among them."""
 
     def __init__(self, keep_ms: int | None):
         self.keep_ms = keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.now = handle.getValueState("finding", STATE)
+        self.kept = handle.getValueState("findings", STATES)
+
+    def read(self) -> dict[tuple, tuple]:
+        return {(repo, finding): tuple(now) for repo, finding, *now in json.loads(self.kept.get()[0])} if self.kept.exists() else {}
+
+    def write(self, states: dict[tuple, tuple]) -> None:
+        if not states:
+            self.kept.clear()
+            return
+        self.kept.update((json.dumps([(*k, *now) for k, now in states.items()]),))
+        if self.keep_ms is not None:
+            self.handle.registerTimer(min(now[5] for now in states.values()) + self.keep_ms + 1)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        told = [x for part in rows for x in zip(part["told_ms"].tolist(), part["seq"].tolist(), part["seen"].tolist(), strict=True)]
-        now = folded(tuple(self.now.get()) if self.now.exists() else None, told, self.keep_ms)
-        if now is None:
+        states = self.read()
+        changed = {k: now for k, told in told_of(rows, "told_ms", "seq", "seen").items() if (now := folded(states.get(k), told, self.keep_ms)) is not None}
+        if not changed:
             return
-        self.now.update(now)
         if self.keep_ms is not None:
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
-            self.handle.registerTimer(now[5] + self.keep_ms + 1)
-        yield pd.DataFrame([(*key, *now[:5])], columns=[c.split()[0] for c in COLUMNS.split(", ")])
+        self.write(states | changed)
+        yield pd.DataFrame([(*k, *now[:5]) for k, now in changed.items()], columns=names_of(COLUMNS))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.now.clear()
+        now_ms = timerValues.getCurrentWatermarkInMs()
+        self.write({k: now for k, now in self.read().items() if now[5] + self.keep_ms + 1 > now_ms})
         yield from ()
 
     def close(self) -> None:
         pass
 
 
-def lifecycle(sightings: DataFrame, keep_days: float | None = None, late: str = "1 day") -> DataFrame:
+def lifecycle(sightings: DataFrame, keep_days: float | None = None, late: str = "1 day", buckets: int = BUCKETS) -> DataFrame:
     """State of findings from (repo, finding_key, seq, seen, ts), one row per scan and key: update mode, RocksDB.
 
     seen is false where a scan ran and did not find the key. With keep_days, a
     key of which no row tells for so long, by the rows' own time, is forgotten.
     Rows later than the watermark by `late` may be lost; within it, rows of one
-    key are taken in order inside a batch.
+    key are taken in order inside a batch. For `buckets` see `jobs.lifecycle`.
     """
     keep_ms = None if keep_days is None else int(keep_days * 86_400_000)
-    keyed = sightings.withColumn("told_ms", F.unix_millis("ts")).withWatermark("ts", late).groupBy("repo", "finding_key")
-    return keyed.transformWithStateInPandas(Lifecycle(keep_ms), COLUMNS, "update", "none" if keep_ms is None else "eventTime")
+    rows = sightings.select("repo", "finding_key", "seq", "seen", "ts", F.unix_millis("ts").alias("told_ms")).withWatermark("ts", late)
+    return bucketed(rows, buckets).transformWithStateInPandas(Lifecycle(keep_ms), COLUMNS, "update", "none" if keep_ms is None else "eventTime")

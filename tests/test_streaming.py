@@ -9,10 +9,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarnish.operators import relational
+from tarnish.plans import streams
 from tarnish.streaming import ingress, jobs, timed_state
 from tarnish.streaming.store import BucketStore, into
 
 KEYS = ["name"]
+F_BASE = 1_700_000_000_000
 
 
 def merge(old, batch):
@@ -158,3 +160,25 @@ def test_states_of_findings_share_buckets(spark, tmp_path):
     assert run.lastProgress["stateOperators"][0]["numRowsTotal"] <= 4
     got = {r["finding_key"]: tuple(r)[2:] for r in sorted(spark.table("shared_buckets").collect(), key=lambda r: (r["last_seen"], r["state"] == "fixed"))}
     assert got == {f"k{k}": ("open", 0, 2, 2, 1) if k < 10 else ("fixed", 0, 0, 1, 0) if k < 20 else ("open", 0, 1, 2, 0) for k in range(40)}
+
+
+def test_a_bucket_forgets_only_what_is_due(spark, tmp_path):
+    at = lambda key, k, seen: ("r", key, k, seen, F_BASE + k * DAY)
+    schema = "repo string, finding_key string, seq long, seen boolean, at long"
+    for rows in ([at("a", 0, True), at("b", 0, True)], [at("b", 2, True)], [at("b", 5, False)], [at("a", 6, True), at("b", 6, True)]):
+        spark.createDataFrame(rows, schema).withColumn("ts", F.timestamp_millis("at")).drop("at").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("repo string, finding_key string, seq long, seen boolean, ts timestamp").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    with timed_state.rocksdb(spark):
+        out = jobs.drain(timed_state.lifecycle(stream, 3, "1 hour", buckets=1), f"{tmp_path}/out", "update", f"{tmp_path}/cp")
+    assert {tuple(r)[1:] for r in relational.last_per(out, ["repo", "finding_key"], ["batch"]).drop("batch").collect()} == {("a", "open", 6, 6, 1, 0), ("b", "open", 0, 6, 3, 1)}
+
+
+def test_parts_of_a_stream_lie_in_equally_many_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(streams, "FILE_ROWS", 10)
+    rows = spark.range(100).select(F.floor(F.col("id") / 34).alias("seq"), "id").repartition(3)
+    files = streams.laid(rows, "seq", 3, f"{tmp_path}/in")
+    names = sorted((os.stat(f"{tmp_path}/in/{n}").st_mtime_ns, n) for n in os.listdir(f"{tmp_path}/in") if n.endswith(".parquet"))
+    assert files == 3 and len(names) == 9
+    for k in range(3):
+        part = spark.read.parquet(*[f"{tmp_path}/in/{n}" for _, n in names[3 * k : 3 * k + 3]])
+        assert {r[0] for r in part.select("seq").distinct().collect()} == {k}
