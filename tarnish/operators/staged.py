@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tarnish.functions import rules
 from tarnish.functions.scalar import classify_path
 from tarnish.operators import code, config_rules, dependencies, packages, secrets, text_rules
+from tarnish.session import shared_dir
 from tarnish.sources import manifests
 
 REPORT = ["repo", "path", "section", "rule", "severity", "line", "subject"]
@@ -36,6 +37,14 @@ def from_repositories(spark: SparkSession, roots: list[str]) -> tuple[DataFrame,
     return read("staged"), read("head")
 
 
+def stored(blobs: DataFrame) -> DataFrame:
+    """Blobs written once to the shared folder, in even parts: a scan reads them a dozen times, and small files can take long to scan."""
+    spark = blobs.sparkSession
+    path = shared_dir(spark, "staged-blobs")
+    blobs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).write.parquet(path)
+    return spark.read.schema(blobs.schema).parquet(path)
+
+
 def row(section: str, rule: Column, severity: Column, line: Column, subject: Column) -> list[Column | str]:
     return ["repo", "path", F.lit(section).alias("section"), rule.alias("rule"), severity.alias("severity"), line.cast("int").alias("line"), subject.alias("subject")]
 
@@ -52,9 +61,11 @@ def scan(staged: DataFrame, head: DataFrame, registry: DataFrame, advisories: Da
     before counts too, of the staged files if no tree is given. Additions beyond the first 25 of a repository are one row
     `not_checked`, with their number as its line.
     """
-    none, kind = F.lit(None).cast("string"), classify_path("path")
+    none = F.lit(None).cast("string")
+    blob = [F.col(c).cast("string").alias(c) for c in ("repo", "path", "content")]
+    staged, head = stored(staged.select(*blob, classify_path("path").alias("surface"))), stored(head.select(*blob))
     # Rules below know files by path alone: one key for repository and path.
-    keyed = staged.withColumn("surface", kind).where("surface is not null").select("*", F.concat("repo", F.lit("\1"), "path").alias("_key"))
+    keyed = staged.where("surface is not null").select("*", F.concat("repo", F.lit("\1"), "path").alias("_key"))
     by_key = keyed.select("repo", "path", F.col("_key").alias("_k"))
     back = lambda found: found.withColumnRenamed("path", "_k").join(by_key, "_k")
     files = keyed.select(F.col("_key").alias("path"), "surface", "content")
