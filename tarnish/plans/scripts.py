@@ -26,7 +26,9 @@ def script_files(spark, d):
         F.concat(F.lit("/* import x from 'blocked' "), noted, F.lit(" */ load"), F.floor(F.col("doc_id") / 2).cast("string"), F.lit("(note);")),
         F.concat(F.lit("const Page = () => <Card"), F.floor(F.col("doc_id") / 3).cast("string"), F.lit(" title={quoted} />;")),
     ]
-    docs = table(spark, d, "documents").where("doc_id is not null")
+    docs = table(spark, d, "documents").where("doc_id is not null").select("doc_id", "lang", "source", "text")
+    # Reading a file takes the lexer far longer than reading its row took: few parts of a table would be few tasks.
+    docs = docs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
     return docs.select(F.coalesce("lang", F.lit("no")).alias("repo"), F.concat(F.lit("src/d"), n, F.lit(".tsx")).alias("path"), F.concat_ws("\n", *lines).alias("content"), F.col("doc_id").alias("id"))
 
 

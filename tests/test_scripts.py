@@ -83,3 +83,16 @@ def test_facts_as_a_table(spark):
     assert code.import_lines(many).first()["lines"] == [f"import a{k} from 'p{k}'" for k in range(40)]
     code.register_script_facts(spark)
     assert spark.sql("SELECT name FROM script_facts('require(\"a\")', true) WHERE kind = 'import'").first()["name"] == "a"
+
+
+def test_files_are_spread(spark):
+    from tarnish.plans import scripts as plans
+
+    sf = "/root/testdata/sf0.001"
+    assert plans.script_files(spark, sf).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_long_comments_strings_and_templates_are_read_to_their_ends():
+    long = "x * y ' $ \\\\ " * 20_000
+    source = f"/* {long} **/ import a from 'a';\nconst s = \"{long}\";\nconst t = `{long} ${{require('b')}}`; /* {long}"
+    assert [(f.name, f.line) for f in scripts.facts(source) if f.kind == "import"] == [("a", 1), ("b", 3)]
