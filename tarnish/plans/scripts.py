@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tarnish.operators import code
 from tarnish.plans.registry import query
 from tarnish.plans.standins import table
+from tarnish.session import shared_dir
 
 
 def script_files(spark, d):
@@ -65,7 +66,9 @@ def script_packages(spark, d):
     QUALIFY row_number() OVER (PARTITION BY lang ORDER BY 'src/d' || doc_id || '.tsx', line, name) <= 40""")
 def script_dead_code(spark, d):
     files = script_files(spark, d)
-    facts = code.script_facts(files)
+    facts, path = code.script_facts(files).where("kind in ('function', 'component', 'reference')").select("repo", "path", "kind", "name", "line", "exported"), shared_dir(spark, "script-facts")
+    facts.write.parquet(path)  # symbols and references are read from one pass of the lexer
+    facts = spark.read.schema(facts.schema).parquet(path)
     return code.dead_code(code.script_symbols(files, facts), code.script_references(files, facts)).select("repo", "path", "name", "finding_type")
 
 

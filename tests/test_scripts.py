@@ -85,11 +85,12 @@ def test_facts_as_a_table(spark):
     assert spark.sql("SELECT name FROM script_facts('require(\"a\")', true) WHERE kind = 'import'").first()["name"] == "a"
 
 
-def test_files_are_spread(spark):
+def test_files_are_spread_and_read_once(spark):
     from tarnish.plans import scripts as plans
 
     sf = "/root/testdata/sf0.001"
     assert plans.script_files(spark, sf).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert "PythonUDTF" not in spark._jvm.PythonSQLUtils.explainString(plans.script_dead_code(spark, sf)._jdf.queryExecution(), "simple")
 
 
 def test_long_comments_strings_and_templates_are_read_to_their_ends():
