@@ -344,3 +344,21 @@ def test_a_staged_scan_reads_its_blobs_once(spark, tmp_path):
     assert report.count() == 40
     assert report.inputFiles() and not any(str(tmp_path) in f for f in report.inputFiles())
     assert len(staged.stored(index).inputFiles()) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_targets_are_cut_before_they_are_grouped(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [(rng.randrange(3), "npm", f"n{rng.randrange(30):02}", rng.randrange(2), f"{rng.randrange(9)}.0.0") for _ in range(300)]
+    frame = spark.createDataFrame(rows, "repo int, ecosystem string, name string, kind int, version string")
+    resolved, declared = frame.where("kind = 0 AND (repo > 0 OR name < 'n05')"), frame.where("kind = 1").select("repo", "ecosystem", "name", F.col("version").alias("spec"), F.lit("healthy").alias("status"))
+    best = {}
+    for repo, _, name, kind, version in rows:
+        if kind or repo > 0 or name < "n05":
+            best[repo, name] = min(best.get((repo, name), (9, "")), (kind, version))
+    for most in (1, 4, 12, 40):
+        want = {(r, n, best[r, n][1]) for repo in range(3) for r, n in sorted((k for k in best if k[0] == repo), key=lambda k: (best[k][0], k[1]))[:most]}
+        got = dependencies.vulnerability_targets(resolved, declared, most)
+        assert {(r["repo"], r["name"], r["version"]) for r in got.collect()} == want
+    assert spark._jvm.PythonSQLUtils.explainString(got._jdf.queryExecution(), "simple").count("WindowGroupLimit") >= 2
