@@ -21,7 +21,6 @@ from tarnish.functions import rules
 from tarnish.functions.arrow import canonical_form, mixed_words, once, redact_snippet, settled, settled_form
 
 FINDING = ["path", "surface", "line", "rule", "category", "severity", "tier", "evidence", "steps"]
-LINE_CHARS = 2000
 FOUND = "array<struct<line:int,rule:string,evidence:string,steps:array<string>>>"
 ODD = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("steps", T.ArrayType(T.StringType())), T.StructField("mixed", T.BooleanType())]))
 #: Each phrase holds one of these words whole, so that a window that matches holds it in one of its lines.
@@ -127,16 +126,19 @@ def comments(body: Column) -> Column:
     return once(gaps, lambda gap: once(whole, lambda all_: placed(gap, all_)))
 
 
-def scan_text(files: DataFrame) -> DataFrame:
+def scan_text(files: DataFrame, line_chars: int | None = None) -> DataFrame:
     """All text findings as rows of FINDING, one per rule, line and evidence; evidence made safe to show.
 
+    Lines are read whole, or up to `line_chars` characters where that is given.
     `steps` says how a line was written that only its canonical form gave away.
     In files that merely corroborate, phrases count beside a structural hit of
     the same file. A null content has none.
     """
     body = F.regexp_replace("content", r"^\x{FEFF}", "")
-    cut = F.transform(F.split(body, "\n", -1), lambda x: F.substring(x, 1, LINE_CHARS))
-    read = files.where("content is not null").select("path", "surface", body.alias("_body"), cut.alias("_lines"))
+    split = F.split(body, "\n", -1)
+    if line_chars is not None:
+        split = F.transform(split, lambda x: F.substring(x, 1, line_chars))
+    read = files.where("content is not null").select("path", "surface", body.alias("_body"), split.alias("_lines"))
     b, lines, odd = F.col("_body"), F.col("_lines"), F.col("_odd")
     strange = lambda t: ~settled(t) | t.rlike(FOREIGN)
     phrase_words = b.rlike("|".join(map(spelled, PHRASE_WORDS)))
