@@ -12,7 +12,7 @@ from tarnish.session import shared_dir
 from tarnish.sources import manifests
 
 REPORT = ["repo", "path", "section", "rule", "severity", "line", "subject"]
-#: Additions that are looked up; a report's length, and the rest is counted.
+#: Additions of a repository that are looked up where a caller doesn't say; the rest is counted.
 CHECKED = 25
 
 
@@ -24,11 +24,13 @@ def declared_names(blobs: DataFrame) -> DataFrame:
     return found.select("repo.repo", "repo.path", "ecosystem", "name").distinct()
 
 
-def added_names(staged: DataFrame, head: DataFrame) -> DataFrame:
-    """(repo, path, ecosystem, name, checked): names that a manifest's HEAD lacks, the first of a repository to be looked up."""
+def added_names(staged: DataFrame, head: DataFrame, checked: int | None = CHECKED) -> DataFrame:
+    """(repo, path, ecosystem, name, checked): names that a manifest's HEAD lacks; the first `checked` of a repository are to be looked up, all if that is None."""
     new = declared_names(staged).join(declared_names(head), ["repo", "path", "ecosystem", "name"], "left_anti")
+    if checked is None:
+        return new.withColumn("checked", F.lit(True))
     place = F.row_number().over(Window.partitionBy("repo").orderBy("path", "ecosystem", "name"))
-    return new.withColumn("checked", place <= CHECKED)
+    return new.withColumn("checked", place <= checked)
 
 
 def from_repositories(spark: SparkSession, roots: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -49,7 +51,7 @@ def row(section: str, rule: Column, severity: Column, line: Column, subject: Col
     return ["repo", "path", F.lit(section).alias("section"), rule.alias("rule"), severity.alias("severity"), line.cast("int").alias("line"), subject.alias("subject")]
 
 
-def scan(staged: DataFrame, head: DataFrame, registry: DataFrame, advisories: DataFrame, as_of: Column, policy: dict | None = None, lock: DataFrame | None = None, tree: DataFrame | None = None) -> DataFrame:
+def scan(staged: DataFrame, head: DataFrame, registry: DataFrame, advisories: DataFrame, as_of: Column, policy: dict | None = None, lock: DataFrame | None = None, tree: DataFrame | None = None, checked: int | None = CHECKED) -> DataFrame:
     """Everything found in the blobs of the index, as rows of REPORT.
 
     registry: (ecosystem, name, downloads, created, latest, licence); a name
@@ -58,8 +60,8 @@ def scan(staged: DataFrame, head: DataFrame, registry: DataFrame, advisories: Da
     configuration rules, their other files the text rules, never both. Servers
     are held against HEAD, and against lock (repo, server, identity) where there
     is one: those of the working tree's files, `tree`, so that a server changed
-    before counts too, of the staged files if no tree is given. Additions beyond the first 25 of a repository are one row
-    `not_checked`, with their number as its line.
+    before counts too, of the staged files if no tree is given. With `checked` None all additions are looked up; otherwise those
+    beyond the first `checked` of a repository are one row `not_checked`, with their number as its line.
     """
     none = F.lit(None).cast("string")
     blob = [F.col(c).cast("string").alias(c) for c in ("repo", "path", "content")]
@@ -80,13 +82,14 @@ def scan(staged: DataFrame, head: DataFrame, registry: DataFrame, advisories: Da
     drift = config_rules.redefined(before.join(now.select("path"), "path", "left_semi").unionByName(now))
     parts.append(back(drift).select(*row("config", F.lit("mcp_server_redefined"), F.col("severity"), F.lit(None), F.col("server"))))
 
-    added = added_names(staged, head)
+    added = added_names(staged, head, checked)
     asked = added.where("checked")
     verdict = packages.verify(asked.select("ecosystem", "name", none.alias("version")), registry, advisories, as_of)
     known = asked.join(verdict, ["ecosystem", "name"])
     parts.append(known.where("status <> 'healthy'").select(*row("dependency", F.col("status"), F.col("max_severity"), F.lit(None), F.col("name"))))
-    more = added.where("not checked").groupBy("repo").agg(F.count(F.lit(1)).alias("n")).withColumn("path", none)
-    parts.append(more.select(*row("dependency", F.lit("not_checked"), none, F.col("n"), none)))
+    if checked is not None:
+        more = added.where("not checked").groupBy("repo").agg(F.count(F.lit(1)).alias("n")).withColumn("path", none)
+        parts.append(more.select(*row("dependency", F.lit("not_checked"), none, F.col("n"), none)))
 
     found = config_rules.servers(config)
     if policy is not None:

@@ -388,3 +388,19 @@ def test_staged_queries_read_lines_whole(spark, monkeypatch):
     monkeypatch.setattr(plan, "index", lambda spark, d: (index, index.limit(0)))
     assert {(r["repo"], r["rule"], r["line"]) for r in plan.staged_scan(spark, "").collect()} == {("r", "injection_phrase", 2), ("t", "curl_pipe_shell", 1), ("t", "injection_phrase", 2)}
     assert {tuple(r) for r in plan.staged_blocking(spark, "").collect()} == {("r", 1), ("t", 2)}
+
+
+def test_staged_queries_look_up_every_addition(spark, monkeypatch):
+    from tarnish.plans import staged as plan
+
+    blobs = "repo string, path string, content string"
+    many = "\n".join(["reqeusts", *(f"missing{k:03}" for k in range(60)), "requests"])
+    manifest = '{"dependencies": {%s, "left-pad": "1", "lodash": "4"}}' % ", ".join(f'"absent{k:02}": "1"' for k in range(40))
+    index = spark.createDataFrame([("r", "requirements.txt", many), ("r", "a/package.json", '{"dependencies": {"zz-gone": "1"}}'), ("s", "package.json", manifest), ("t", "package.json", manifest)], blobs)
+    head = spark.createDataFrame([("r", "requirements.txt", "missing007\n"), ("t", "package.json", manifest)], blobs)
+    monkeypatch.setattr(plan, "index", lambda spark, d: (index, head))
+    want = {("r", "requirements.txt", "phantom", f"missing{k:03}") for k in range(60) if k != 7} | {("s", "package.json", "phantom", f"absent{k:02}") for k in range(40)}
+    want |= {("r", "requirements.txt", "suspicious", "reqeusts"), ("r", "a/package.json", "phantom", "zz-gone"), ("s", "package.json", "policy_deny_package", "left-pad")}
+    rows = [(r["repo"], r["path"], r["rule"], r["subject"]) for r in plan.staged_scan(spark, "").collect()]
+    assert len(rows) == len(want) and set(rows) == want
+    assert {tuple(r) for r in plan.staged_blocking(spark, "").collect()} == {("r", 60), ("s", 41)}
