@@ -39,10 +39,10 @@ def from_repositories(spark: SparkSession, roots: list[str]) -> tuple[DataFrame,
     return read("staged"), read("head")
 
 
-def stored(blobs: DataFrame) -> DataFrame:
-    """Blobs written once to the shared folder, in even parts: a scan reads them a dozen times, and small files can take long to scan."""
+def stored(blobs: DataFrame, name: str = "staged-blobs") -> DataFrame:
+    """Blobs, or what is made of them, written once to the shared folder, in even parts: a scan reads them a dozen times, and small files can take long to scan."""
     spark = blobs.sparkSession
-    path = shared_dir(spark, "staged-blobs")
+    path = shared_dir(spark, name)
     blobs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).write.parquet(path)
     return spark.read.schema(blobs.schema).parquet(path)
 
@@ -82,7 +82,7 @@ def scan(staged: DataFrame, head: DataFrame, registry: DataFrame, advisories: Da
     drift = config_rules.redefined(before.join(now.select("path"), "path", "left_semi").unionByName(now))
     parts.append(back(drift).select(*row("config", F.lit("mcp_server_redefined"), F.col("severity"), F.lit(None), F.col("server"))))
 
-    added = added_names(staged, head, checked)
+    added = stored(added_names(staged, head, checked), "staged-additions")
     asked = added.where("checked")
     verdict = packages.verify(asked.select("ecosystem", "name", none.alias("version")), registry, advisories, as_of)
     known = asked.join(verdict, ["ecosystem", "name"])
